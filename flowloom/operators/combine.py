@@ -51,7 +51,6 @@ def batch_norm_apply(
     stats: DataFrame,
     keys: Sequence[str],
     array: str,
-    width: int,
     gamma: float = 1.0,
     beta: float = 0.0,
     eps: float = 1e-5,
@@ -60,8 +59,8 @@ def batch_norm_apply(
     ordered = F.array_sort(F.collect_list(F.struct("pos", "mean", "var")))
     packed = small_table(stats.groupBy(*keys).agg(ordered.alias("_stats")), "norm")
     joined = rows.join(packed, list(keys))
-    scaled = [
-        (v - F.col("_stats")[i]["mean"]) / F.sqrt(F.col("_stats")[i]["var"] + eps) * gamma + beta
-        for i, v in enumerate(S.items(array, width))
-    ]
-    return joined.withColumn("normalised", F.array(*scaled)).drop("_stats")
+
+    def scaled(v, s):
+        return (v - s["mean"]) / F.sqrt(s["var"] + eps) * gamma + beta
+
+    return joined.withColumn("normalised", F.zip_with(array, "_stats", scaled)).drop("_stats")
