@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from flowloom.catalog.common import (
-    CONFIG, GROUP, ORDER_SQL, SPEC, TRAIN_SQL, WINDOWED_SQL, all_flows, features_sql, flows_sql, holdout_flows, once,
+    CONFIG, GROUP, ORDER_SQL, SPEC, TRAIN_SQL, all_flows, features_sql, flows_sql, holdout_flows, once,
     q6, query, r6_all, table, train_edges, train_flows,
 )
 from flowloom.functions.scalar import r6
@@ -152,9 +152,7 @@ def confusion(spark, sf):
 @query(
     "classify",
     f"""WITH {CAL_SQL} SELECT s.silo, s.split, s.flow_id, CAST(score >= threshold AS INTEGER) AS attack
-    FROM scores s JOIN thresholds t ON s.silo = t.silo AND quantile = 0.99""".replace(
-        "s.flow_id", "s.flow_id"
-    ),
+    FROM scores s JOIN thresholds t ON s.silo = t.silo AND quantile = 0.99""",
 )
 def classify(spark, sf):
     from flowloom.functions.scalar import is_attack
@@ -225,7 +223,7 @@ def pooled_eval(spark, sf):
 )
 def threshold_sweep(spark, sf):
     holdout = byte_scores(spark, sf).filter(F.col("split") == "holdout")
-    out = ev.threshold_sweep(holdout, _thresholds(spark, sf), ["silo"])
+    out = ev.threshold_sweep(holdout, _thresholds(spark, sf), ["silo"], ev.metrics(holdout, ["silo"]))
     return r6_all(out, ["expected_fpr", "threshold", *RATIOS])
 
 
@@ -303,7 +301,8 @@ def train_val_split(spark, sf):
 def split_flows(spark, sf):
     from flowloom.catalog.common import train_windows
 
-    out = split.split_flows(train_windows(spark, sf), _windows(spark, sf), ["silo"], 0.8, 42)
+    cuts = split.split_cuts(_windows(spark, sf), ["silo"], 0.8, 42)
+    out = split.split_flows(train_windows(spark, sf), cuts, ["silo"], 42)
     return out.select("silo", "window_id", "flow_id", "part")
 
 
@@ -457,11 +456,6 @@ def summary_table(spark, sf):
 # Model runs: least squares fits are outside SQL, so these have no oracle ------------------
 
 
-@once
-def _trained(spark, sf):
-    raise NotImplementedError
-
-
 def _run(mode: str):
     def fit(spark, sf):
         model = training.fit(train_flows(spark, sf), CONFIG, mode)
@@ -504,7 +498,7 @@ def chunked_scoring(spark, sf):
 @query("validation_mse")
 def validation_mse_query(spark, sf):
     model = TRAINED["per_silo"](spark, sf)
-    edges = training.training_part(train_flows(spark, sf), model.encoder, CONFIG, False, "val")
+    edges = training.training_part(train_flows(spark, sf), model.encoder, model.cuts, CONFIG, False, "val")
     from flowloom.operators.reconstruct import score_flows
 
     return validation_mse(score_flows(edges, model.coefficients, CONFIG.context), ["silo"])
@@ -545,4 +539,3 @@ def save_load_state(spark, sf):
     return rows.join(restored.select("silo", "n_features"), "silo").select("silo", "feature", r6(F.col("mean")).alias("mean"), "n_features")
 
 
-_ = WINDOWED_SQL

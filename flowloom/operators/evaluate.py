@@ -191,9 +191,9 @@ CALIBRATION_QUANTILES = (0.90, 0.95, 0.99, 0.995, 0.999)
 SWEEP = ("threshold", "precision", "recall", "f1", "fpr", "tpr", "tp", "fp", "tn", "fn")
 
 
-def threshold_sweep(scores: DataFrame, thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The Youden point and every calibrated quantile of `thresholds`, on the same scores."""
-    oracle = metrics(scores, keys).select(
+def threshold_sweep(scores: DataFrame, thresholds: DataFrame, keys: Sequence[str], found: DataFrame) -> DataFrame:
+    """The Youden point of `found` (`metrics` of the scores) and every calibrated quantile of `thresholds`."""
+    oracle = found.select(
         *keys,
         F.lit("youden_oracle").alias("method"),
         F.lit(None).cast("double").alias("quantile"),

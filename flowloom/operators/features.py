@@ -57,6 +57,9 @@ def fit_vocab(flows: DataFrame, spec: FeatureSpec, keys: Sequence[str]) -> DataF
     """
     limits = {"PROTOCOL": spec.top_protocols, "L4_DST_PORT": spec.top_ports}
     present = [c for c in VOCAB_COLUMNS if c in spec.columns]
+    if not present:
+        nothing = {"column": F.lit(""), "slot": F.lit(0), "value": F.lit(0)}
+        return flows.select(*keys, *[c.alias(n) for n, c in nothing.items()]).filter(F.lit(False))
     codes = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("int").alias("value")) for c in present])
     counted = (
         flows.select(*keys, F.inline(codes))

@@ -5,7 +5,8 @@ partitions and write the result with the partition number and the local row
 number.  One small aggregate per (partition, key group) then gives every
 partition its offset.  Because the partition number is stored, the second pass
 cannot disagree with the first about where a row was, even after a task is run
-again.  The offset table has at most (partitions + key groups) rows.
+again.  The offset table has at most (partitions + key groups) rows,
+so it is one partition and needs no exchange of its own.
 """
 
 from __future__ import annotations
@@ -25,16 +26,18 @@ def _order_columns(order: Sequence[str]) -> list[Column]:
     return [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
 
-def _sorted_table(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None) -> DataFrame:
+def _sorted_table(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None, number_copies: bool
+) -> DataFrame:
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(k).asc() for k in keys] + _order_columns(order)
-    names = [*keys, *(o.lstrip("-") for o in order)]
-    # the window needs no exchange: range partitioning on `names` already clusters equal keys
-    copies = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))
+    ranged = df.repartitionByRange(n, *by)
+    if number_copies:
+        # no exchange: range partitioning on these columns already clusters equal ones
+        names = [*keys, *(o.lstrip("-") for o in order)]
+        ranged = ranged.withColumn("_copy", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0))))
     tagged = (
-        df.repartitionByRange(n, *by)
-        .withColumn("_copy", copies)
-        .sortWithinPartitions(*by)
+        ranged.sortWithinPartitions(*by)
         .withColumn("_mid", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_mid", 33))
     )
@@ -64,11 +67,11 @@ def prefix_index(
     `order` must be unique inside a group; the query fails if it is not, because
     a position would then depend on chance.  `total` adds the size of the group.
     """
-    rows = _sorted_table(df, keys, order, partitions)
+    rows = _sorted_table(df, keys, order, partitions, True)
     unique = F.assert_true(F.max("_copy") == 1, F.lit(f"order key {list(order)} is not unique"))
     per_part = rows.groupBy("_part", *keys).agg(
         F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_count"), unique.alias("_checked")
-    )
+    ).coalesce(1)
     running = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
     offsets = small_table(
         per_part.select(
@@ -101,9 +104,9 @@ def prefix_sums(
     have been aggregated to one row before.
     """
     totals = totals or {}
-    rows = _sorted_table(df, keys, order, partitions)
+    rows = _sorted_table(df, keys, order, partitions, False)
     summed = sorted({*sums.values(), *totals.values()})
-    per_part = rows.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_s_{c}") for c in summed])
+    per_part = rows.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_s_{c}") for c in summed]).coalesce(1)
     running = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     offsets = small_table(

@@ -35,17 +35,19 @@ def train_val_split(windows: DataFrame, keys: Sequence[str], ratio: float = 0.8,
     return ranked.select(*keys, "window_id", part.alias("part"))
 
 
-def split_flows(
-    windowed: DataFrame, windows: DataFrame, keys: Sequence[str], ratio: float = 0.8, seed: int = 42
-) -> DataFrame:
+def split_cuts(windows: DataFrame, keys: Sequence[str], ratio: float = 0.8, seed: int = 42) -> DataFrame:
+    """(keys, cut): the last training window of every key in hash order."""
+    ranked = _ranked(windows, keys, window_hash(seed, keys))
+    last = ranked.filter(F.col("rank") == _train_size(ratio) - 1)
+    return small_table(last.select(*keys, F.struct("hash", "window_id").alias("cut")), "cuts")
+
+
+def split_flows(windowed: DataFrame, cuts: DataFrame, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Add `part` to windowed flows without joining the window list.
 
-    Only the last training window in hash order of every key is looked up (one row
-    per key); a flow compares the hash of its own window with it.
+    A flow compares the hash of its own window with the cut of its key, so only
+    one row per key is joined.
     """
-    ranked = _ranked(windows, keys, window_hash(seed, keys))
-    last = ranked.filter(F.col("rank") == _train_size(ratio) - 1)
-    cuts = small_table(last.select(*keys, F.struct("hash", "window_id").alias("cut")), "cuts")
     here = F.struct(window_hash(seed, keys).alias("hash"), F.col("window_id").alias("window_id"))
     joined = windowed.join(cuts, list(keys), "left")
     return joined.withColumn("part", F.when(here <= F.col("cut"), "train").otherwise("val")).drop("cut")

@@ -78,21 +78,22 @@ def _others(edges: DataFrame, keys: Sequence[str], width: int, out: str) -> Data
     return joined.withColumn(out, F.array(*[F.when(others == 0, 0.0).otherwise(m) for m in mean])).drop("_sums", "_count")
 
 
-def single_graph(edges: DataFrame, spec: ContextSpec, pos: str = "flow_id") -> DataFrame:
+def frame_addresses(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, ip) of all hosts, without numbers."""
+    return edges.select(*keys, F.explode(F.array(SRC, DST)).alias("ip")).distinct()
+
+
+def single_graph(edges: DataFrame, spec: ContextSpec) -> DataFrame:
     """Edges of the frame with predictors, as `context.endpoint_context` has them per window.
 
     `spec.group` names the frame(s).  Edges need `features`; labels are 0.
     """
     keys = list(spec.group)
     edges = materialize(edges, "edges")
-    nodes = materialize(frame_nodes(edges, keys, pos), "nodes")
+    nodes = frame_addresses(edges, keys)
     vectors = frame_embeddings(edges, nodes, keys, spec.dim, spec.hops, spec.weights)
-    src = vectors.select(
-        *keys, F.col("ip").alias(SRC), F.col("node_id").alias("src_node"), F.col("embedding").alias("src_embedding")
-    )
-    dst = vectors.select(
-        *keys, F.col("ip").alias(DST), F.col("node_id").alias("dst_node"), F.col("embedding").alias("dst_embedding")
-    )
+    src = vectors.select(*keys, F.col("ip").alias(SRC), F.col("embedding").alias("src_embedding"))
+    dst = vectors.select(*keys, F.col("ip").alias(DST), F.col("embedding").alias("dst_embedding"))
     out = _others(edges, [*keys, SRC], spec.width, "src_context")
     out = _others(out, [*keys, DST], spec.width, "dst_context")
     f = S.items("features", spec.width)
@@ -112,6 +113,4 @@ def single_graph(edges: DataFrame, spec: ContextSpec, pos: str = "flow_id") -> D
         F.array(F.lit(1.0)), "src_context", "dst_context", F.array(*context), "src_embedding", "dst_embedding"
     )
     kept = [c for c in edges.columns if c not in ("label", *keys)]
-    return out.select(
-        *keys, *kept, F.lit(0).alias("label"), "src_node", "dst_node", predictors.alias("predictors")
-    )
+    return out.select(*keys, *kept, F.lit(0).alias("label"), predictors.alias("predictors"))

@@ -20,7 +20,7 @@ from flowloom.operators import federated as fed
 from flowloom.operators import reconstruct as rec
 from flowloom.operators.context import ContextSpec
 from flowloom.operators.features import fit_encoder
-from flowloom.plans.training import RunConfig, training_part
+from flowloom.plans.training import RunConfig, training_part, window_cuts
 from flowloom.stage import small_table
 
 MEAN, SCALE = "encoder.batch_norm.running_mean", "encoder.batch_norm.running_scale"
@@ -261,8 +261,10 @@ def prepare_clients(flows: DataFrame, cfg: RunConfig) -> Clients:
     keyed = flows.withColumn("enc", F.col("silo"))
     encoder = small_table(fit_encoder(keyed, cfg.features, ["enc"], padded=True), "encoder")
 
+    cuts = window_cuts(flows, cfg)
+
     def sums(part: str) -> DataFrame:
-        edges = training_part(flows, encoder, cfg, False, part)
+        edges = training_part(flows, encoder, cuts, cfg, False, part)
         gram = rec.gram_sums(edges, cfg.context, "model")
         return small_table(gram.withColumnRenamed("model", "client"), "gram")
 

@@ -12,10 +12,10 @@ from flowloom.operators import evaluate, reconstruct
 from flowloom.operators.context import ContextSpec
 from flowloom.operators.features import encode, fit_encoder
 from flowloom.operators.prefix import prefix_index
-from flowloom.operators.split import split_flows
+from flowloom.operators.split import split_cuts, split_flows
 from flowloom.operators.windows import row_windows, window_list
 from flowloom.sources.flows import LABEL, FeatureSpec, benign_only, drop_incomplete
-from flowloom.stage import small_table
+from flowloom.stage import materialize, small_table
 
 
 @dataclass(frozen=True)
@@ -50,6 +50,7 @@ class Training:
     mode: str
     config: RunConfig
     encoder: DataFrame
+    cuts: DataFrame
     gram: DataFrame
     coefficients: DataFrame
     thresholds: DataFrame | None = None
@@ -74,12 +75,15 @@ def ordered_flows(rows: DataFrame, order: Sequence[str], split: str, cfg: RunCon
     return prefix_index(part, ["silo"], order, name="flow_id")
 
 
-def encoded_windows(flows: DataFrame, encoder: DataFrame, cfg: RunConfig, shared: bool, model: str = "silo") -> DataFrame:
-    """Windowed, encoded flows with `model` (which coefficients they use) and `label`."""
-    windowed = row_windows(flows, cfg.window, cfg.step, pos="flow_id")
+def encoded(windowed: DataFrame, encoder: DataFrame, cfg: RunConfig, shared: bool) -> DataFrame:
+    """Encoded windowed flows with `model` (whose coefficients they use) and `label`."""
     keyed = windowed.withColumn("enc", F.lit("all") if shared else F.col("silo"))
     out = encode(keyed, encoder, cfg.features, ["enc"])
-    return out.withColumns({"model": F.col(model), "label": F.col(LABEL).cast("int")})
+    return out.withColumns({"model": F.col("silo"), "label": F.col(LABEL).cast("int")})
+
+
+def encoded_windows(flows: DataFrame, encoder: DataFrame, cfg: RunConfig, shared: bool) -> DataFrame:
+    return encoded(row_windows(flows, cfg.window, cfg.step, pos="flow_id"), encoder, cfg, shared)
 
 
 def fit(flows: DataFrame, cfg: RunConfig, mode: str) -> Training:
@@ -89,10 +93,11 @@ def fit(flows: DataFrame, cfg: RunConfig, mode: str) -> Training:
     shared = mode != "per_silo"
     keyed = flows.withColumn("enc", F.lit("all") if shared else F.col("silo"))
     encoder = small_table(fit_encoder(keyed, cfg.features, ["enc"]), "encoder")
-    train = training_part(flows, encoder, cfg, shared, "train")
+    cuts = window_cuts(flows, cfg)
+    train = training_part(flows, encoder, cuts, cfg, shared, "train")
     gram = small_table(reconstruct.gram_sums(train, cfg.context, "model"), "gram")
     coefficients = small_table(fit_coefficients(gram, cfg, mode), "coefficients")
-    return Training(mode, cfg, encoder, gram, coefficients)
+    return Training(mode, cfg, encoder, cuts, gram, coefficients)
 
 
 def fit_coefficients(gram: DataFrame, cfg: RunConfig, mode: str) -> DataFrame:
@@ -108,12 +113,19 @@ def fit_coefficients(gram: DataFrame, cfg: RunConfig, mode: str) -> DataFrame:
     return reconstruct.fit_adapted(gram, spec, mode.removeprefix("combined_"), cfg.penalty)
 
 
-def training_part(flows: DataFrame, encoder: DataFrame, cfg: RunConfig, shared: bool, part: str) -> DataFrame:
-    """Encoded windows of the training or validation part."""
+def window_cuts(flows: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Where the hash order of a silo's windows turns from training to validation."""
     sizes = flows.groupBy("silo").agg(F.max("n_rows").alias("n_rows"))
-    windows = window_list(sizes, ["silo"], cfg.window, cfg.step)
-    edges = encoded_windows(flows, encoder, cfg, shared)
-    return split_flows(edges, windows, ["silo"], cfg.train_ratio, cfg.seed).filter(F.col("part") == part)
+    return split_cuts(window_list(sizes, ["silo"], cfg.window, cfg.step), ["silo"], cfg.train_ratio, cfg.seed)
+
+
+def training_part(
+    flows: DataFrame, encoder: DataFrame, cuts: DataFrame, cfg: RunConfig, shared: bool, part: str
+) -> DataFrame:
+    """Encoded windows of the training or validation part; the split is decided before the encoding."""
+    windowed = row_windows(flows, cfg.window, cfg.step, pos="flow_id")
+    chosen = split_flows(windowed, cuts, ["silo"], cfg.seed).filter(F.col("part") == part)
+    return encoded(chosen, encoder, cfg, shared)
 
 
 def _named_model(edges: DataFrame, mode: str) -> DataFrame:
@@ -123,7 +135,7 @@ def _named_model(edges: DataFrame, mode: str) -> DataFrame:
 def calibrate(flows: DataFrame, training: Training) -> Training:
     """Thresholds: quantiles of the scores of benign validation windows (per silo, or pooled for 'combined')."""
     cfg = training.config
-    edges = training_part(flows, training.encoder, cfg, training.shared_encoder, "val")
+    edges = training_part(flows, training.encoder, training.cuts, cfg, training.shared_encoder, "val")
     scores = reconstruct.score_flows(_named_model(edges, training.mode), training.coefficients, cfg.context)
     training.thresholds = small_table(evaluate.exact_quantiles(scores, ["model"], "score", cfg.quantiles), "thresholds")
     return training
@@ -138,14 +150,12 @@ def score_holdout(flows: DataFrame, training: Training) -> DataFrame:
 
 def evaluate_holdout(scores: DataFrame, training: Training, pooled: bool = False) -> tuple[DataFrame, DataFrame]:
     """(metrics, sweep) per silo, and for all silos together if `pooled`."""
-    from flowloom.stage import materialize
-
     scores = materialize(scores.select("model", "silo", "flow_id", "label", "score"), "scores")
     scores = evaluate.scrub_scores(evaluate.with_pooled(scores) if pooled else scores, ["silo"])
     models = scores.select("silo", "model").distinct()
     thresholds = models.join(training.thresholds, "model").select("silo", "quantile", "threshold").distinct()
-    sweep = evaluate.threshold_sweep(scores, thresholds, ["silo"])
-    return evaluate.metrics(scores, ["silo"]), sweep
+    found = small_table(evaluate.metrics(scores, ["silo"]), "metrics")
+    return found, evaluate.threshold_sweep(scores, thresholds, ["silo"], found)
 
 
 def flow_scores(scores: DataFrame, how: str = "max") -> DataFrame:

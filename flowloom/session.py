@@ -15,6 +15,10 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    local = spark.sparkContext.master.startswith("local")
+    if local and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # the untouched default is far more than a local session has threads
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark
 
 

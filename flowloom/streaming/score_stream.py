@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowloom.operators.combine import combine_by_flow
-from flowloom.operators.context import ContextSpec
+from flowloom.operators.context import ContextSpec, endpoint_context
 from flowloom.operators.features import encode
 from flowloom.operators.reconstruct import score_predictors
 from flowloom.operators.wholegraph import single_graph
@@ -24,20 +24,37 @@ def pack_model(coefficients: DataFrame, model: str) -> DataFrame:
     return packed.select("model", F.flatten(F.transform("c", lambda p: p["coef"])).alias("coef"))
 
 
+# A batch up to this many flows is one bounded graph and is scored inside one task.
+ONE_TASK_FLOWS = 50_000
+
+
 def score_batch(
-    flows: DataFrame, encoder: DataFrame, model: DataFrame, features: FeatureSpec, dim: int, batch_id: int, flow_key: str
+    flows: DataFrame,
+    encoder: DataFrame,
+    model: DataFrame,
+    features: FeatureSpec,
+    dim: int,
+    batch_id: int,
+    flow_key: str,
+    one_task: int = ONE_TASK_FLOWS,
 ) -> DataFrame:
     """Flows of one batch as one graph, with `probability_anomalous` (a reconstruction error).
 
-    `encoder` and `model` hold one row each; `flow_key` is a unique order of the batch.
+    `encoder` and `model` hold one row each; `flow_key` is a unique number of the
+    flow.  The batch is counted first: a small one is handled like a window, a
+    larger one by the joins and aggregates of `single_graph`, with equal scores.
     """
     spec = ContextSpec(("window_id",), features.width, dim)
     name = model.first()["model"]
     batch = materialize(flows.withColumn("window_id", F.lit(batch_id).cast("bigint")), "batch")
-    keyed = batch.withColumns({"enc": F.lit("all"), "model": F.lit(name)})
+    keyed = batch.withColumns({"enc": F.lit("all"), "model": F.lit(name), "label": F.lit(0)})
     edges = encode(keyed, encoder, features, ["enc"])
-    edges = edges.withColumn("flow_id", F.col(flow_key).cast("bigint"))
-    scored = score_predictors(single_graph(edges, spec).join(model, "model"), spec)
+    edges = edges.withColumns({"flow_id": F.col(flow_key).cast("bigint"), "pos_in_window": F.lit(0)})
+    if batch.count() <= one_task:
+        predictors = endpoint_context(edges, spec).withColumn("model", F.lit(name))
+    else:
+        predictors = single_graph(edges, spec)
+    scored = score_predictors(predictors.join(model, "model"), spec)
     scores = scored.select("window_id", F.col("flow_id").alias(flow_key), "score")
     return combine_by_flow(batch, scores, ["window_id", flow_key])
 
