@@ -10,7 +10,8 @@ from flowloom.catalog.common import (
 )
 from flowloom.functions.scalar import r6
 from flowloom.operators import combine, graph, wholegraph
-from flowloom.operators.context import ContextSpec, endpoint_context
+from flowloom.operators import context
+from flowloom.operators.context import ContextSpec
 from flowloom.sources.flows import DST, SRC
 
 G = list(GROUP)
@@ -62,8 +63,8 @@ def propagate_1hop(spark, sf):
     SELECT silo, window_id, node_id, ip, {each6('v', 4)} FROM emb""",
 )
 def node_embeddings(spark, sf):
-    out = graph.node_embeddings(train_windows(spark, sf), G, 4)
-    return out.select(*G, F.col("node_id").cast("bigint").alias("node_id"), "ip", *r6_items("embedding", 4, "v"))
+    out = context.node_embeddings(train_windows(spark, sf), SPEC4)
+    return out.select(*G, "node_id", "ip", *r6_items("embedding", 4, "v"))
 
 
 @query(
@@ -74,9 +75,9 @@ def node_embeddings(spark, sf):
     FROM edges e JOIN emb s ON {ON.format('s')} AND e.src = s.ip JOIN emb d ON {ON.format('d')} AND e.dst = d.ip""",
 )
 def graph_windows(spark, sf):
-    out = graph.graph_windows(train_edges(spark, sf), G, 4)
+    out = context.graph_windows(train_edges(spark, sf), SPEC4)
     return out.select(
-        *G, "flow_id", "label", *[F.col(c).cast("bigint").alias(c) for c in ("src_node", "dst_node")],
+        *G, "flow_id", "label", "src_node", "dst_node",
         *r6_items("features", SPEC.width, "f"), *r6_items("src_embedding", 4, "s"), *r6_items("dst_embedding", 4, "d"),
     )
 
@@ -121,7 +122,7 @@ def _context_sql() -> str:
 @query("endpoint_context", _context_sql())
 def endpoint_context_query(spark, sf):
     edges = train_edges(spark, sf)
-    out = endpoint_context(edges, SPEC4)
+    out = context.endpoint_context(edges, SPEC4)
     names = [f"{p}{i}" for p in "abw" for i in range(18)] + [f"{p}v{i}" for p in "sd" for i in range(4)]
     x = F.col("predictors")
     return out.select(*G, "flow_id", *[r6(x.getItem(1 + i)).alias(n) for i, n in enumerate(names)])
@@ -137,7 +138,7 @@ def endpoint_context_query(spark, sf):
 )
 def endpoint_gather(spark, sf):
     edges = graph.edge_list(train_windows(spark, sf), G, ["flow_id"])
-    nodes = graph.node_embeddings(train_windows(spark, sf), G, 4)
+    nodes = context.node_embeddings(train_windows(spark, sf), SPEC4)
     contexts = graph.window_mean(train_edges(spark, sf), G, SPEC.width)
     out = combine.endpoint_gather(edges, nodes, contexts, G)
     return out.select(
@@ -157,10 +158,10 @@ def endpoint_gather(spark, sf):
     FROM soft GROUP BY silo, window_id, dst_node""",
 )
 def attention_aggregate(spark, sf):
-    edges = graph.graph_windows(train_edges(spark, sf), G, 4, ["flow_id", "features"])
+    edges = context.graph_windows(train_edges(spark, sf), SPEC4, ["features"])
     weights = [0.5, 0.0, 0.0, -0.25] + [0.0] * (SPEC.width - 4)
     out = graph.attention_aggregate(edges, G, 4, SPEC.width, weights)
-    return out.select(*G, F.col("dst_node").cast("bigint").alias("dst_node"), "n_in", *r6_items("aggregated", 4, "g"))
+    return out.select(*G, "dst_node", "n_in", *r6_items("aggregated", 4, "g"))
 
 
 @query(

@@ -234,7 +234,7 @@ def pad_vocab(spark, sf):
     f"WITH {features_sql()} SELECT silo, window_id, flow_id, {', '.join(f'f{i}' for i in range(4, 18))} FROM edges",
 )
 def one_hot(spark, sf):
-    joined = train_windows(spark, sf).join(silo_encoder(spark, sf), "silo")
+    joined = train_windows(spark, sf).join(silo_encoder(spark, sf), "silo").withColumns(FE.categorical_codes(SPEC))
     hot = [c.alias(f"f{4 + i}") for i, c in enumerate(FE.categorical_block(SPEC))]
     return joined.select("silo", "window_id", "flow_id", *hot)
 

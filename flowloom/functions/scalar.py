@@ -119,6 +119,5 @@ def safe_ratio(a: Column, b: Column) -> Column:
 
 
 def r6(c: Column) -> Column:
-    """Rounded to 6 places with one kind of zero, for stable comparison of doubles."""
-    rounded = F.round(c, 6)
-    return F.when(rounded == 0, F.lit(0.0)).otherwise(rounded)
+    """Rounded to 6 places, for stable comparison of doubles (never -0.0)."""
+    return F.round(c, 6)

@@ -4,7 +4,7 @@ Spark orders, encodes, shuffles by (group, window) and sorts; a task then holds
 whole windows, each at most `size` flows, and the sums over hosts and hops of
 all windows of a batch are a few NumPy calls.  The same quantities written as
 window functions need six sorts of two rows per flow and took several times as
-long (see README); `graph.graph_windows` keeps that form for the graph tables.
+long (see README).  A graph that is not bounded by a window is `wholegraph`'s.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from flowloom.functions import scalar as S
 from flowloom.operators.graph import hop_weights
 from flowloom.sources.flows import DST, SRC
 
-INPUT = ("pos_in_window", "flow_id", "label", "n_features", "features")
+FLOW = ("pos_in_window", "flow_id")
+INPUT = (*FLOW, "label", "n_features", "features")
 
 
 @dataclass(frozen=True)
@@ -44,15 +45,11 @@ class ContextSpec:
         return 1 + 3 * self.width + 2 * self.dim
 
 
-def window_partitions(edges: DataFrame, spec: ContextSpec) -> DataFrame:
-    """Whole windows in one partition each, in order; the only shuffle of the context."""
+def window_partitions(edges: DataFrame, group: Sequence[str], payload: Sequence[str] = INPUT) -> DataFrame:
+    """Whole windows in one partition each, in order; the only shuffle of a window graph."""
     octets = {"src_octets": F.array(*S.ip_octets(F.col(SRC))), "dst_octets": F.array(*S.ip_octets(F.col(DST)))}
-    narrow = edges.select(*spec.group, *INPUT, SRC, DST)
-    return (
-        narrow.repartition(*spec.group)
-        .sortWithinPartitions(*spec.group, "pos_in_window")
-        .withColumns(octets)
-    )
+    narrow = edges.select(*group, *payload, SRC, DST)
+    return narrow.repartition(*group).sortWithinPartitions(*group, "pos_in_window").withColumns(octets)
 
 
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -122,36 +119,64 @@ def _embeddings(src: np.ndarray, dst: np.ndarray, start: np.ndarray, weights: Se
     return total
 
 
-def context_blocks(
-    batches: Iterator[pa.RecordBatch], spec: ContextSpec
-) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """(rows, predictors, targets) of whole windows."""
+@dataclass
+class _Graph:
+    """The graphs of some whole windows; nodes of different windows are different nodes."""
+
+    table: pa.Table
+    window: np.ndarray
+    src: np.ndarray
+    dst: np.ndarray
+    first: np.ndarray  # place where a node is seen first: sources by row, then destinations by row
+    vectors: np.ndarray
+
+    @property
+    def first_row(self) -> np.ndarray:
+        return self.first % self.table.num_rows
+
+    def node_ids(self) -> np.ndarray:
+        """Number of every node inside its window, in the order of first appearance."""
+        window = self.window[self.first_row]
+        order = np.lexsort((self.first, window))
+        starts = np.searchsorted(window[order], np.arange(window.max() + 1))
+        ids = np.empty(len(order), dtype=np.int64)
+        ids[order] = np.arange(len(order)) - starts[window[order]]
+        return ids
+
+
+def _graphs(batches: Iterator[pa.RecordBatch], spec: ContextSpec) -> Iterator[_Graph]:
     weights = hop_weights(spec.hops, spec.weights)
     projection = S.projection(spec.dim)
     for table, window in _whole_windows(batches, spec.group):
         n = table.num_rows
-        y = matrix(table["features"], spec.width)
         ips = pa.concat_arrays([table[c].combine_chunks().cast(pa.string()) for c in (SRC, DST)])
         ip = pc.dictionary_encode(ips).indices.to_numpy()
-        _, first, node = np.unique(
-            np.concatenate((window, window)) * (int(ip.max()) + 1) + ip, return_index=True, return_inverse=True
-        )
-        src, dst = node[:n], node[n:]
+        place = np.concatenate((window, window)) * (int(ip.max()) + 1) + ip
+        _, first, node = np.unique(place, return_index=True, return_inverse=True)
         octets = np.concatenate((matrix(table["src_octets"], 4), matrix(table["dst_octets"], 4)))[first]
         start = octets if projection is None else octets @ projection
-        vectors = _embeddings(src, dst, start, weights)
-        n_nodes, n_windows = len(first), int(window[-1]) + 1
+        src, dst = node[:n], node[n:]
+        yield _Graph(table, window, src, dst, first, _embeddings(src, dst, start, weights))
+
+
+def context_blocks(
+    batches: Iterator[pa.RecordBatch], spec: ContextSpec
+) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(rows, predictors, targets) of whole windows."""
+    for g in _graphs(batches, spec):
+        y = matrix(g.table["features"], spec.width)
+        n_nodes, n_windows = len(g.first), int(g.window[-1]) + 1
         x = np.hstack(
             (
-                np.ones((n, 1)),
-                _others_mean(src, y, n_nodes),
-                _others_mean(dst, y, n_nodes),
-                _others_mean(window, y, n_windows),
-                vectors[src],
-                vectors[dst],
+                np.ones((len(y), 1)),
+                _others_mean(g.src, y, n_nodes),
+                _others_mean(g.dst, y, n_nodes),
+                _others_mean(g.window, y, n_windows),
+                g.vectors[g.src],
+                g.vectors[g.dst],
             )
         )
-        yield table, x, y
+        yield g.table, x, y
 
 
 def _rows(values: np.ndarray) -> pa.Array:
@@ -160,15 +185,61 @@ def _rows(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values).ravel()))
 
 
+def _with_columns(table: pa.Table, columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    for name, values in columns.items():
+        table = table.append_column(name, values)
+    yield from table.combine_chunks().to_batches()
+
+
 def endpoint_context(edges: DataFrame, spec: ContextSpec) -> DataFrame:
-    """(group, pos, flow_id, label, n_features, features, predictors) for every flow in every window."""
-    prepared = window_partitions(edges, spec)
+    """(group, pos, flow_id, label, n_features, features, predictors) for every flow in every window.
+
+    Predictors never contain the flow's own vector: both contexts are means over
+    the other flows of its source, of its destination, and of its window.
+    """
+    prepared = window_partitions(edges, spec.group)
     kept = [*spec.group, *INPUT]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, x, _ in context_blocks(batches, spec):
-            out = table.select(kept).append_column("predictors", _rows(x))
-            yield from out.combine_chunks().to_batches()
+            yield from _with_columns(table.select(kept), {"predictors": _rows(x)})
 
     schema = prepared.select(*kept, F.lit(None).cast("array<double>").alias("predictors")).schema
     return prepared.mapInArrow(run, schema)
+
+
+def node_embeddings(edges: DataFrame, spec: ContextSpec) -> DataFrame:
+    """(group, node_id, ip, embedding): distance-weighted sum of isolated hop vectors."""
+    prepared = window_partitions(edges, spec.group, FLOW)
+    group = list(spec.group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _graphs(batches, spec):
+            ips = pa.concat_arrays([g.table[c].combine_chunks() for c in (SRC, DST)])
+            named = {"node_id": pa.array(g.node_ids()), "ip": ips.take(pa.array(g.first)), "embedding": _rows(g.vectors)}
+            yield from _with_columns(g.table.select(group).take(pa.array(g.first_row)), named)
+
+    added = [F.lit(0).cast("bigint").alias("node_id"), F.lit("").alias("ip")]
+    schema = prepared.select(*group, *added, F.lit(None).cast("array<double>").alias("embedding")).schema
+    return prepared.mapInArrow(run, schema)
+
+
+def graph_windows(edges: DataFrame, spec: ContextSpec, payload: Sequence[str] = ("label", "features")) -> DataFrame:
+    """All window graphs as one edge table with node numbers, addresses and both end vectors."""
+    prepared = window_partitions(edges, spec.group, (*FLOW, *payload))
+    kept = [*spec.group, *FLOW, *payload, SRC, DST]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _graphs(batches, spec):
+            ids = g.node_ids()
+            named = {
+                "src_node": pa.array(ids[g.src]),
+                "dst_node": pa.array(ids[g.dst]),
+                "src_embedding": _rows(g.vectors[g.src]),
+                "dst_embedding": _rows(g.vectors[g.dst]),
+            }
+            yield from _with_columns(g.table.select(kept), named)
+
+    numbers = [F.lit(0).cast("bigint").alias(c) for c in ("src_node", "dst_node")]
+    vectors = [F.lit(None).cast("array<double>").alias(c) for c in ("src_embedding", "dst_embedding")]
+    return prepared.mapInArrow(run, prepared.select(*kept, *numbers, *vectors).schema)

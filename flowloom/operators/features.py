@@ -141,27 +141,29 @@ def numeric_block(spec: FeatureSpec) -> list[Column]:
     return [(v - F.col("means")[i]) / F.col("scales")[i] for i, v in enumerate(values)]
 
 
+def categorical_codes(spec: FeatureSpec) -> dict[str, Column]:
+    """Slot number of every selected categorical column; needs the vocabularies on the row."""
+    codes = {
+        "PROTOCOL": lambda c: S.vocab_code(c.cast("int"), F.col("protocol_vocab")),
+        "L4_SRC_PORT": S.port_bucket,
+        "L4_DST_PORT": lambda c: S.port_code(c.cast("int"), F.col("port_vocab")),
+    }
+    return {f"_code_{name}": codes[name](F.col(name)) for name in spec.categorical}
+
+
 def categorical_block(spec: FeatureSpec) -> list[Column]:
-    """0/1 columns of the selected categorical columns; needs the vocabularies on the row."""
-    block: list[Column] = []
-    for name in spec.categorical:
-        if name == "PROTOCOL":
-            code = S.vocab_code(F.col(name).cast("int"), F.col("protocol_vocab"))
-            block += S.one_hot(code, spec.top_protocols + 1)
-        elif name == "L4_SRC_PORT":
-            block += S.one_hot(S.port_bucket(F.col(name)), 3)
-        else:
-            code = S.port_code(F.col(name).cast("int"), F.col("port_vocab"))
-            block += S.one_hot(code, spec.top_ports + 2)
-    return block
+    """0/1 columns of the selected categorical columns; needs `categorical_codes` on the row."""
+    widths = {"PROTOCOL": spec.top_protocols + 1, "L4_SRC_PORT": 3, "L4_DST_PORT": spec.top_ports + 2}
+    return [c for name in spec.categorical for c in S.one_hot(F.col(f"_code_{name}"), widths[name])]
 
 
 def encode(flows: DataFrame, encoder: DataFrame, spec: FeatureSpec, keys: Sequence[str]) -> DataFrame:
     """Add the array `features` and `n_features`; the encoder is joined on `keys`."""
-    state = ["means", "scales", "protocol_vocab", "port_vocab"]
-    joined = flows.join(encoder, list(keys))
+    codes = categorical_codes(spec)
+    joined = flows.join(encoder, list(keys)).withColumns(codes)
     vector = F.array(*numeric_block(spec), *categorical_block(spec))
-    return joined.withColumn("features", vector).drop(*state)
+    used = ["means", "scales", "protocol_vocab", "port_vocab", *codes]
+    return joined.withColumn("features", vector).drop(*used)
 
 
 def feature_names(vocab_state: DataFrame, spec: FeatureSpec, keys: Sequence[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Window graphs: node numbers, hop propagation, attention.
+"""Window graphs: node numbers, degrees, one hop, window means, attention.
 
 A window holds at most `size` flows, so a (keys, window) group is bounded no
 matter how the silos or hosts are distributed.  The functions on windowed flows
@@ -122,27 +122,6 @@ def _mean_over_out_edges(ends: DataFrame, w: _Ends, dim: int, out: str) -> DataF
     return ends.withColumn(out, mean).drop("_n_out", *[f"_m{i}" for i in range(dim)])
 
 
-def _propagated(ends: DataFrame, w: _Ends, dim: int, hops: int, weights: Sequence[float]) -> DataFrame:
-    """Replace `start` and `message` by `embedding` of the own host on every end row.
-
-    r1 = P e0 and r(d+1) = P (r(d) - e(d)) with e(d) = unit(r(d)) * weight(d):
-    one look at the other end and one sum per host for each hop.  The first
-    message needs no look: it depends on the other end's address alone.
-    """
-    out = ends.withColumn("embedding", F.array(*[v * weights[0] for v in S.items("start", dim)])).drop("start")
-    for d in range(1, hops + 1):
-        if d > 1:
-            out = out.withColumn("message", F.lead("rest").over(w.flow))
-        out = _mean_over_out_edges(out, w, dim, "r")
-        r = S.items("r", dim)
-        out = out.withColumn("r_norm", S.norm(r))
-        e = S.unit(r, F.col("r_norm"), weights[d])
-        total = F.array(*[a + b for a, b in zip(S.items("embedding", dim), e, strict=True)])
-        rest = F.array(*[a - b for a, b in zip(r, e, strict=True)])
-        out = out.withColumns({"embedding": total, "rest": rest})
-    return out.drop("message", "r", "r_norm", "rest")
-
-
 def propagate(edges: DataFrame, group: Sequence[str], dim: int = 4) -> DataFrame:
     """One hop: mean of the start vectors of a node's destinations."""
     w = _Ends(group)
@@ -151,38 +130,6 @@ def propagate(edges: DataFrame, group: Sequence[str], dim: int = 4) -> DataFrame
     return out.filter(_is_first(out)).select(*group, "node_id", "ip", "vector")
 
 
-def node_embeddings(
-    edges: DataFrame, group: Sequence[str], dim: int = 32, hops: int = 3, weights: Sequence[float] | None = None
-) -> DataFrame:
-    """(group, node_id, ip, embedding): distance-weighted sum of isolated hop vectors."""
-    w = _Ends(group)
-    ends = _with_node_ids(_split_ends(edges, group, [], dim), w)
-    ends = _propagated(ends, w, dim, hops, hop_weights(hops, weights))
-    return ends.filter(_is_first(ends)).select(*group, "node_id", "ip", "embedding")
-
-
-def graph_windows(
-    edges: DataFrame,
-    group: Sequence[str],
-    dim: int = 32,
-    payload: Sequence[str] = ("flow_id", "features", "label"),
-    hops: int = 3,
-    weights: Sequence[float] | None = None,
-) -> DataFrame:
-    """All window graphs as one edge table with node numbers, addresses and both end vectors."""
-    w = _Ends(group)
-    ends = _with_node_ids(_split_ends(edges, group, payload, dim), w)
-    ends = _propagated(ends, w, dim, hops, hop_weights(hops, weights))
-    paired = ends.withColumns(
-        {c: F.lead(v).over(w.flow) for c, v in {"dst_node": "node_id", "dst_embedding": "embedding"}.items()}
-    )
-    return paired.filter(F.col("end") == 0).select(
-        *group, "pos_in_window", *payload,
-        F.col("ip").alias(SRC), F.col("peer_ip").alias(DST), F.col("node_id").alias("src_node"), "dst_node",
-        F.col("embedding").alias("src_embedding"), "dst_embedding",
-    )
-
-
 def window_mean(edges: DataFrame, group: Sequence[str], width: int) -> DataFrame:
     """Mean edge vector per window."""
     return edges.groupBy(*group).agg(
@@ -197,12 +144,13 @@ def attention_aggregate(
     """Per destination: sum of source vectors weighted by a softmax over its incoming flows.
 
     The score of a flow is the scaled dot product of both end vectors plus
-    `edge_weights` times its features.  Needs the columns of `graph_windows`.
+    `edge_weights` times its features.  Needs the columns of `context.graph_windows`.
     """
     src, dst = S.items("src_embedding", dim), S.items("dst_embedding", dim)
     score = S.add([a * b for a, b in zip(src, dst, strict=True)]) / float(dim) ** 0.5
     if edge_weights is not None:
         score = score + S.add([f * float(c) for f, c in zip(S.items("features", width), edge_weights, strict=True)])
+    edges = edges.repartition(*group)
     incoming = Window.partitionBy(*group, "dst_node").rowsBetween(*WHOLE)
     scored = edges.withColumn("attention_score", score)
     scored = scored.withColumn("mass", F.exp(F.col("attention_score") - F.max("attention_score").over(incoming)))

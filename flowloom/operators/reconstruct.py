@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.operators.context import ContextSpec, _rows, context_blocks, matrix, window_partitions
+from flowloom.operators.context import (
+    ContextSpec, _rows, _with_columns, context_blocks, endpoint_context, matrix, window_partitions,
+)
 from flowloom.stage import small_table
 
 
 def gram_sums(edges: DataFrame, spec: ContextSpec, key: str) -> DataFrame:
     """(key, i, j, value): sums of products of the entries i and j of [predictors, targets] per key."""
-    prepared = window_partitions(edges, spec)
+    prepared = window_partitions(edges, spec.group)
     total = spec.size + spec.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +205,6 @@ def model_map(coefficients: DataFrame, limit: int = MAX_MODEL_ROWS) -> dict[str,
     }
 
 
-SCORED = "flow_id bigint, label int, score double"
-
-
 def score_flows(edges: DataFrame, coefficients: DataFrame, spec: ContextSpec, model: str = "model") -> DataFrame:
     """(group, flow_id, label, score): mean squared difference of the vector and its prediction.
 
@@ -215,7 +214,7 @@ def score_flows(edges: DataFrame, coefficients: DataFrame, spec: ContextSpec, mo
     models = model_map(coefficients)
     if models is None:
         return _score_joined(edges, coefficients, spec, model)
-    prepared = window_partitions(edges, spec)
+    prepared = window_partitions(edges, spec.group)
     kept = [*spec.group, "flow_id", "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,8 +227,7 @@ def score_flows(edges: DataFrame, coefficients: DataFrame, spec: ContextSpec, mo
                     rows = which == code
                     error[rows] = ((x[rows] @ models[name] - y[rows]) ** 2).sum(axis=1)
             score = error / table["n_features"].to_numpy()
-            out = table.select(kept).append_column("score", pa.array(score))
-            yield from out.combine_chunks().to_batches()
+            yield from _with_columns(table.select(kept), {"score": pa.array(score)})
 
     schema = prepared.select(*kept, F.lit(None).cast("double").alias("score")).schema
     return prepared.mapInArrow(run, schema)
@@ -237,8 +235,6 @@ def score_flows(edges: DataFrame, coefficients: DataFrame, spec: ContextSpec, mo
 
 def _score_joined(edges: DataFrame, coefficients: DataFrame, spec: ContextSpec, model: str) -> DataFrame:
     """Scores with the coefficients joined on, for more models than fit into a task."""
-    from flowloom.operators.context import endpoint_context
-
     packed = coefficients.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("i", "coef"))).alias("c"))
     packed = packed.select(F.col("model").alias(model), F.flatten(F.transform("c", lambda p: p["coef"])).alias("coef"))
     return score_predictors(endpoint_context(edges, spec).join(packed, model), spec)
@@ -254,8 +250,7 @@ def score_predictors(rows: DataFrame, spec: ContextSpec) -> DataFrame:
             x, y = matrix(table["predictors"], spec.size), matrix(table["features"], spec.width)
             coef = matrix(table["coef"], spec.size * spec.width).reshape(-1, spec.size, spec.width)
             error = ((np.einsum("ni,nij->nj", x, coef) - y) ** 2).sum(axis=1)
-            out = table.select(kept).append_column("score", pa.array(error / table["n_features"].to_numpy()))
-            yield from out.combine_chunks().to_batches()
+            yield from _with_columns(table.select(kept), {"score": pa.array(error / table["n_features"].to_numpy())})
 
     schema = rows.select(*kept, F.lit(None).cast("double").alias("score")).schema
     return rows.select(*kept, "n_features", "features", "predictors", "coef").mapInArrow(run, schema)
