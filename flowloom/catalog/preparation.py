@@ -319,3 +319,33 @@ def unit_norm(spark, sf):
 
 
 
+
+
+@query(
+    "vocab_lookup",
+    f"WITH {features_sql()} SELECT silo, window_id, flow_id, CAST(pcode AS INTEGER) AS protocol_code, bucket AS src_bucket, CAST(qcode AS INTEGER) AS dst_code FROM edges",
+)
+def vocab_lookup(spark, sf):
+    joined = train_windows(spark, sf).join(silo_encoder(spark, sf), "silo").withColumns(FE.categorical_codes(SPEC))
+    return joined.select(
+        "silo", "window_id", "flow_id", F.col("_code_PROTOCOL").alias("protocol_code"),
+        F.col("_code_L4_SRC_PORT").alias("src_bucket"), F.col("_code_L4_DST_PORT").alias("dst_code"),
+    )
+
+
+@query(
+    "silo_local_fit",
+    f"""WITH {TRAIN_SQL}, {vocab_sql(protocols=7, ports=4)},
+    real AS (SELECT silo, count(*) AS n FROM vocab WHERE col = 'PROTOCOL' GROUP BY silo)
+    SELECT f.silo, 21 AS n_features, 7 AS n_protocol_slots, CAST(7 - max(n) AS INTEGER) AS n_filled, {q6(f'avg({NUMERIC_SQL[2]})')} AS mean_pkts
+    FROM flows f JOIN real ON f.silo = real.silo GROUP BY f.silo""",
+)
+def silo_local_fit(spark, sf):
+    """Every silo's own scaler and vocabularies, filled to one width."""
+    spec = FeatureSpec(top_protocols=7)
+    state = FE.fit_encoder(train_flows(spark, sf), spec, ["silo"], padded=True)
+    filled = F.size(F.filter("protocol_vocab", lambda v: v < 0))
+    return state.select(
+        "silo", "n_features", F.size("protocol_vocab").alias("n_protocol_slots"), filled.alias("n_filled"),
+        r6(F.col("means")[2]).alias("mean_pkts"),
+    )

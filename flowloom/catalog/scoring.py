@@ -271,6 +271,23 @@ def window_distance_report(spark, sf):
     return r6_all(ev.confusion(held, thresholds, ["silo"]), ["threshold", *RATIOS])
 
 
+@query(
+    "edge_mse",
+    f"""WITH {features_sql()},
+    ctx AS (SELECT silo, window_id, {', '.join(f'avg(f{i}) AS c{i}' for i in range(18))} FROM edges GROUP BY silo, window_id)
+    SELECT e.silo, e.window_id, e.flow_id, {q6('(' + ' + '.join(f'(f{i} - c{i}) * (f{i} - c{i})' for i in range(18)) + ') / 18')} AS error
+    FROM edges e JOIN ctx ON e.silo = ctx.silo AND e.window_id = ctx.window_id""",
+)
+def edge_mse(spark, sf):
+    """Mean squared error of every flow with the window mean as its prediction."""
+    from flowloom.functions import scalar as S
+
+    edges = train_edges(spark, sf)
+    joined = edges.join(graph.window_mean(edges, G, SPEC.width), G)
+    error = S.mean_square(S.items("features", SPEC.width), S.items("context", SPEC.width))
+    return joined.select(*G, "flow_id", r6(error).alias("error"))
+
+
 # Splits ------------------------------------------------------------------------------
 
 WINDOW_LIST_SQL = f"""{TRAIN_SQL},
@@ -539,3 +556,21 @@ def save_load_state(spark, sf):
     return rows.join(restored.select("silo", "n_features"), "silo").select("silo", "feature", r6(F.col("mean")).alias("mean"), "n_features")
 
 
+
+
+@query(
+    "write_metrics",
+    f"""WITH {BYTES_SQL}, {curve_cte()} SELECT silo AS dataset, {q6('auc_roc')} AS auc_roc, {q6('pr_auc')} AS pr_auc, n_eval_edges FROM best""",
+)
+def write_metrics(spark, sf):
+    """Metric rows written as JSON and CSV, and the CSV read back."""
+    import uuid
+
+    from flowloom.stage import shared_dir
+
+    rows = rounded_metrics(ev.metrics(byte_scores(spark, sf), ["silo"])).withColumnRenamed("silo", "dataset")
+    root = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    columns = ["dataset", "auc_roc", "pr_auc", "n_eval_edges", "not_there"]
+    state.write_metrics(rows, f"{root}/json", f"{root}/csv", columns)
+    schema = "dataset string, auc_roc double, pr_auc double, n_eval_edges bigint"
+    return spark.read.schema(schema).option("header", True).csv(f"{root}/csv")

@@ -23,7 +23,7 @@ from flowloom.stage import small_table
 
 
 def gram_sums(edges: DataFrame, spec: ContextSpec, key: str) -> DataFrame:
-    """(key, i, j, value): sums of products of the entries i and j of [predictors, targets] per key."""
+    """(key, i, j, value): sums of products of the entries i <= j of [predictors, targets] per key."""
     prepared = window_partitions(edges, spec.group)
     total = spec.size + spec.width
 
@@ -37,20 +37,24 @@ def gram_sums(edges: DataFrame, spec: ContextSpec, key: str) -> DataFrame:
                 rows = both[which == code]
                 sums[name] = sums.get(name, 0) + rows.T @ rows
         for name, m in sums.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * total), pa.array(np.arange(total, dtype=np.int32)), _rows(m)], [key, "i", "sums"]
-            )
+            # the matrix is symmetric: row i starts at its diagonal entry
+            ends = np.concatenate(([0], np.cumsum(np.arange(total, 0, -1)))).astype(np.int32)
+            upper = pa.ListArray.from_arrays(pa.array(ends), pa.array(m[np.triu_indices(total)]))
+            i = pa.array(np.arange(total, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * total), i, upper], [key, "i", "sums"])
 
     partial = prepared.mapInArrow(run, f"{key} string, i int, sums array<double>")
-    cells = partial.select(key, "i", F.posexplode("sums").alias("j", "value"))
+    cells = partial.select(key, "i", F.posexplode("sums").alias("k", "value"))
+    cells = cells.select(key, "i", (F.col("i") + F.col("k")).alias("j"), "value")
     return cells.groupBy(key, "i", "j").agg(F.sum("value").alias("value"))
 
 
 def gram_matrix(rows: pd.DataFrame, column: str = "value") -> np.ndarray:
-    """Cells of one key as the full matrix."""
+    """Cells of one key as the full symmetric matrix."""
     size = int(rows["i"].max()) + 1
     gram = np.zeros((size, size))
     gram[rows["i"], rows["j"]] = rows[column]
+    gram[rows["j"], rows["i"]] = rows[column]
     return gram
 
 
@@ -194,6 +198,14 @@ def squared_error(gram: np.ndarray, coef: np.ndarray) -> float:
 MAX_MODEL_ROWS = 200_000
 
 
+def listed(df: DataFrame, column: str, limit: int = MAX_MODEL_ROWS) -> list[str]:
+    """Names of a small list of keys; more than `limit` of them is an error, never a cut."""
+    names = [r[0] for r in df.select(column).distinct().limit(limit + 1).collect()]
+    if len(names) > limit:
+        raise ValueError(f"more than {limit} different values of {column}")
+    return sorted(names)
+
+
 def model_map(coefficients: DataFrame, limit: int = MAX_MODEL_ROWS) -> dict[str, np.ndarray] | None:
     """Coefficients by model name for use inside tasks, or None if they are too many rows to ship."""
     rows = coefficients.limit(limit + 1).toPandas()

@@ -33,9 +33,20 @@ def row_windows(
     return tagged.filter(fits).withColumn("pos_in_window", at).filter(F.col("pos_in_window") < size)
 
 
+# Windows listed by one task at a time.
+BLOCK = 100_000
+
+
 def window_list(sizes: DataFrame, keys: Sequence[str], size: int, step: int, total: str = "n_rows") -> DataFrame:
-    """(keys, window_id) of all full windows, from the group sizes alone."""
-    count = F.expr(f"({total} - {size}) div {step}")
-    return sizes.filter(F.col(total) >= size).select(
-        *keys, F.explode(F.sequence(F.lit(0).cast("bigint"), count)).alias("window_id")
+    """(keys, window_id) of all full windows, from the group sizes alone.
+
+    A group of many windows is first cut into blocks that are spread over the
+    partitions, so that a dominant group is not listed by one task.
+    """
+    last = F.expr(f"({total} - {size}) div {step}")
+    blocks = sizes.filter(F.col(total) >= size).select(
+        *keys, last.alias("last"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"({total} - {size}) div {step} div {BLOCK}"))).alias("block")
     )
+    start = F.col("block") * BLOCK
+    listed = F.sequence(start, F.least(F.col("last"), start + BLOCK - 1))
+    return blocks.repartition(*keys, "block").select(*keys, F.explode(listed).alias("window_id"))

@@ -235,7 +235,7 @@ def federated_coefficients(
 def held_out_coefficients(shared: DataFrame, val_gram: DataFrame, spec: ContextSpec) -> DataFrame:
     """Coefficients for silos that were no clients: the normalisation is re-estimated on their own
     benign validation windows, everything else is global."""
-    clients = [r[0] for r in val_gram.select("client").distinct().limit(rec.MAX_MODEL_ROWS).collect()]
+    clients = rec.listed(val_gram, "client")
 
     def moments(cells: pd.DataFrame) -> pd.DataFrame:
         mean, scale = rec.predictor_moments(rec.gram_matrix(cells), spec.size)
@@ -274,5 +274,5 @@ def prepare_clients(flows: DataFrame, cfg: RunConfig) -> Clients:
         F.col("silo").alias("client"), F.floor(windows * F.lit(cfg.train_ratio)).alias("weight")
     )
     weights = small_table(weights, "weights")
-    names = sorted(r[0] for r in weights.select("client").limit(rec.MAX_MODEL_ROWS).collect())
+    names = rec.listed(weights, "client")
     return Clients(encoder, sums("train"), sums("val"), weights, names)

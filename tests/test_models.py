@@ -26,7 +26,7 @@ def random_edges(n=40, hosts=12, width=3, windows=3, seed=1):
     for w in range(windows):
         for i in range(n):
             a, b = rng.randint(0, hosts, 2)
-            rows.append(("s", w, i, w * n + i, 0, width, f"10.{a}.{a % 5}.{a}", f"10.{b}.{b % 5}.{b}", list(rng.randn(width))))
+            rows.append(("s", w, i, w * n + i, 0, width, f"10.{a}.{a % 5}.{a}", f"10.{b}.{b % 5}.{b}", [float(v) for v in rng.randn(width)]))
     cols = ["silo", "window_id", "pos_in_window", "flow_id", "label", "n_features", SRC, DST, "features"]
     return pd.DataFrame(rows, columns=cols)
 
