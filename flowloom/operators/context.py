@@ -86,13 +86,10 @@ def _whole_windows(batches: Iterator[pa.RecordBatch], group: Sequence[str]) -> I
 
 def _sum_by(keys: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Row sums and counts per key 0..n-1."""
-    counts = np.bincount(keys, minlength=n)
-    order = np.argsort(keys, kind="stable")
-    sums = np.zeros((n, values.shape[1]))
-    filled = counts > 0
-    starts = np.concatenate(([0], np.cumsum(counts)))[:-1][filled]
-    sums[filled] = np.add.reduceat(values[order], starts, axis=0)
-    return sums, counts
+    sums = np.empty((n, values.shape[1]))
+    for j, column in enumerate(np.ascontiguousarray(values.T)):
+        sums[:, j] = np.bincount(keys, weights=column, minlength=n)
+    return sums, np.bincount(keys, minlength=n)
 
 
 def _others_mean(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
