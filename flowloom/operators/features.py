@@ -158,10 +158,16 @@ def categorical_block(spec: FeatureSpec) -> list[Column]:
 
 
 def encode(flows: DataFrame, encoder: DataFrame, spec: FeatureSpec, keys: Sequence[str]) -> DataFrame:
-    """Add the array `features` and `n_features`; the encoder is joined on `keys`."""
+    """Add the array `features` and `n_features`; the encoder is joined on `keys`.
+
+    A flow without an encoder fails the query instead of leaving the result.
+    """
     codes = categorical_codes(spec)
-    joined = flows.join(encoder, list(keys)).withColumns(codes)
-    vector = F.array(*numeric_block(spec), *categorical_block(spec))
+    joined = flows.join(encoder, list(keys), "left").withColumns(codes)
+    missing = F.raise_error(F.lit(f"flow without an encoder for its {list(keys)}")).cast("array<double>")
+    vector = F.when(F.col("n_features").isNull(), missing).otherwise(
+        F.array(*numeric_block(spec), *categorical_block(spec))
+    )
     used = ["means", "scales", "protocol_vocab", "port_vocab", *codes]
     return joined.withColumn("features", vector).drop(*used)
 

@@ -220,7 +220,7 @@ def model_map(coefficients: DataFrame, limit: int = MAX_MODEL_ROWS) -> dict[str,
 def score_flows(edges: DataFrame, coefficients: DataFrame, spec: ContextSpec, model: str = "model") -> DataFrame:
     """(group, flow_id, label, score): mean squared difference of the vector and its prediction.
 
-    One row per flow and window it lies in.  The mean runs over the real features
+    One row per flow and window it lies in; NaN if its model is unknown.  The mean runs over the real features
     of the model, so filled vocabulary slots (always 0, predicted as 0) do not count.
     """
     models = model_map(coefficients)
@@ -249,7 +249,10 @@ def _score_joined(edges: DataFrame, coefficients: DataFrame, spec: ContextSpec,
     """Scores with the coefficients joined on, for more models than fit into a task."""
     packed = coefficients.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("i", "coef"))).alias("c"))
     packed = packed.select(F.col("model").alias(model), F.flatten(F.transform("c", lambda p: p["coef"])).alias("coef"))
-    return score_predictors(endpoint_context(edges, spec).join(packed, model), spec)
+    # a flow without a model keeps its row and gets no number, as in the other path
+    nothing = F.array_repeat(F.lit(float("nan")), spec.size * spec.width)
+    joined = endpoint_context(edges, spec).join(packed, model, "left")
+    return score_predictors(joined.withColumn("coef", F.coalesce("coef", nothing)), spec)
 
 
 def score_predictors(rows: DataFrame, spec: ContextSpec) -> DataFrame:

@@ -220,3 +220,12 @@ def test_pair_scores_take_the_first(spark):
     scores = flows.filter("s = 'a'").withColumn("score", F.col("p") + 10.0)
     got = combine.combine_by_pair(flows, scores, ["g"], "s", "d", "p").orderBy("p").collect()
     assert [r.probability_anomalous for r in got] == [10.0, 10.0, None]
+
+
+def test_flow_without_encoder_is_an_error(spark):
+    spec = FeatureSpec(columns=("x",), log1p=(), derived={})
+    rows = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "silo string, x double")
+    encoder = features.fit_encoder(rows, spec, ["silo"])
+    assert features.encode(rows, encoder, spec, ["silo"]).count() == 2
+    with pytest.raises(PySparkException):
+        features.encode(rows, encoder.filter("silo = 'a'"), spec, ["silo"]).collect()

@@ -108,6 +108,9 @@ def test_sums_fit_and_scores(spark):
     np.testing.assert_allclose(scores, want, atol=1e-9)
     joined = rec._score_joined(edges, coefficients, spec, "model").toPandas().sort_values("flow_id").score
     np.testing.assert_allclose(joined, want, atol=1e-9)
+    other = edges.withColumn("model", F.lit("unknown"))
+    for lost in (rec.score_flows(other, coefficients, spec), rec._score_joined(other, coefficients, spec, "model")):
+        assert lost.filter(F.isnan("score")).count() == len(pdf)
     assert want.mean() <= ((y - y.mean(0)) ** 2).mean() + 1e-9
     assert rec.squared_error(rec.gram_matrix(gram), coef) == pytest.approx(want.mean())
 
