@@ -148,6 +148,7 @@ def places(votes: DataFrame) -> DataFrame:
 def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """Places of the phrases, labels and score of every row of `docs`."""
     votes = materialize(diagonals(docs, phrases, templates), "license-votes")
+    none = F.array().cast("array<string>")
     key = ["doc_id", "text_key"]
     base = places(votes).groupBy(*key).agg(
         F.count("*").alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"), F.collect_set("label").alias("base")
@@ -155,13 +156,12 @@ def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataF
     added = spans(votes).groupBy(*key).agg(F.collect_set(F.when(F.col("accepted"), F.col("label"))).alias("added"), F.max("cover").alias("cover"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_bytes().alias("text"))
     counted = map_batches(slim, _WORDS, _count_batch)
-    found = base.join(added, [base.doc_id.eqNullSafe(added.doc_id), base.text_key == added.text_key], "full")
-    found = found.select(
-        F.coalesce(base.doc_id, added.doc_id).alias("_doc_id"), F.coalesce(base.text_key, added.text_key).alias("_text_key"),
-        "n_base", "first_word", "last_word", "base", "added", "cover",
-    )
+    found = base.withColumns({"added": none, "cover": F.lit(None).cast("double")}).unionByName(
+        added.withColumns({c: F.lit(None).cast("long") for c in ("n_base", "first_word", "last_word")} | {"base": none})
+    )
+    figures = [F.max(c).alias(c) for c in ("n_base", "first_word", "last_word", "base", "added", "cover")]
+    found = found.groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).agg(*figures)
     joined = counted.join(found, counted.doc_id.eqNullSafe(F.col("_doc_id")) & (counted.text_key == F.col("_text_key")), "left")
-    none = F.array().cast("array<string>")
     base_set, added_set = F.coalesce("base", none), F.coalesce("added", none)
     return joined.select(
         "doc_id",
