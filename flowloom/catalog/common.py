@@ -14,7 +14,7 @@ from flowloom.operators.prefix import prefix_index
 from flowloom.operators.windows import row_windows
 from flowloom.plans.training import RunConfig, ordered_flows
 from flowloom.sources.flows import ORDER_KEY, FeatureSpec, as_flows, lineitem_rows
-from flowloom.stage import small_table
+from flowloom.stage import materialize
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -76,7 +76,7 @@ def holdout_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @once
 def silo_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return small_table(fit_encoder(train_flows(spark, sf_dir), SPEC, ["silo"]), "encoder")
+    return materialize(fit_encoder(train_flows(spark, sf_dir), SPEC, ["silo"]), "encoder")
 
 
 def train_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

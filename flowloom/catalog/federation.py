@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.catalog.common import CONFIG, holdout_flows, once, q6, query, r6_all, table, train_flows
 from flowloom.operators import federated as fed
 from flowloom.operators import reconstruct as rec
 from flowloom.operators.features import fit_encoder
+from flowloom.operators.split import leave_one_out
 from flowloom.operators.windows import row_windows
 from flowloom.plans import federated as plan
 from flowloom.plans import training
 from flowloom.sources.flows import DST, SRC, FeatureSpec
-from flowloom.stage import materialize, shared_dir, small_table
-from flowloom.streaming.score_stream import pack_model, score_batch, start_scoring
+from flowloom.stage import materialize, shared_dir
+from flowloom.streaming.score_stream import score_batch, start_scoring
 
 # Vectors as updates: a client per vector, a round per label, a parameter per entry.
 UPDATES_SQL = """updates AS (SELECT label AS round, CAST(vec_id AS VARCHAR) AS client,
@@ -43,7 +46,7 @@ BASE_SQL = "base AS (SELECT round, key, pos, avg(value) AS value FROM updates GR
 
 
 def _base(spark, sf):
-    return small_table(fed.fed_average(updates(spark, sf)), "base")
+    return materialize(fed.fed_average(updates(spark, sf)), "base")
 
 
 @query(
@@ -151,13 +154,9 @@ def _clients(spark, sf):
     return plan.prepare_clients(train_flows(spark, sf), CONFIG)
 
 
-def _fit(spark, sf, cfg: plan.FederatedConfig, clients=None):
+def _fit(spark, sf, cfg: plan.FederatedConfig):
     ready = _clients(spark, sf)
-    names = clients or ready.names
-    return ready, plan.federated_fit(
-        ready.train_gram.filter(F.col("client").isin(names)), ready.val_gram.filter(F.col("client").isin(names)),
-        ready.weights, names, CONFIG.context, cfg,
-    )
+    return ready, plan.federated_fit(ready.train_gram, ready.val_gram, ready.weights, CONFIG.context, cfg)
 
 
 @query("federated_fit")
@@ -188,19 +187,27 @@ def round_history(spark, sf):
 @query("federated_eval")
 def federated_eval(spark, sf):
     ready, result = _fit(spark, sf, plan.FederatedConfig(rounds=2, mode="fedbn"))
-    coefficients = small_table(
-        plan.federated_coefficients(result.parameters, result.private, ready.names, CONFIG.context), "coefficients"
+    coefficients = materialize(
+        plan.federated_coefficients(result.parameters, result.private, ready.weights, CONFIG.context), "coefficients"
     )
     return _holdout_metrics(spark, sf, ready, coefficients)
 
 
 @query("held_out_eval")
 def held_out_eval(spark, sf):
-    """The silo R was no client: global parameters and its own normalisation."""
-    ready, result = _fit(spark, sf, plan.FederatedConfig(rounds=2, mode="fedbn"), ["A", "N"])
-    own = ready.val_gram.filter(F.col("client") == "R")
-    coefficients = small_table(plan.held_out_coefficients(result.parameters, own, CONFIG.context), "coefficients")
-    return _holdout_metrics(spark, sf, ready, coefficients).filter(F.col("silo") == "R")
+    """Leave one out: every silo is scored once by rounds of the others, with its own normalisation."""
+    ready = _clients(spark, sf)
+    folds = leave_one_out(ready.weights.select(F.col("client").alias("silo")))
+    parts = []
+    for held_out in sorted(r[0] for r in folds.select("held_out").distinct().collect()):  # one run for each fold
+        chosen = F.col("client") != held_out
+        result = plan.federated_fit(
+            ready.train_gram.filter(chosen), ready.val_gram.filter(chosen), ready.weights.filter(chosen),
+            CONFIG.context, plan.FederatedConfig(rounds=2, mode="fedbn"),
+        )
+        coefficients = plan.held_out_coefficients(result.parameters, ready.val_gram.filter(~chosen), CONFIG.context)
+        parts.append(_holdout_metrics(spark, sf, ready, materialize(coefficients, "coefficients")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _holdout_metrics(spark, sf, ready, coefficients):
@@ -225,17 +232,17 @@ def event_flows(spark, sf):
 
 @once
 def event_model(spark, sf):
-    """Encoder and packed coefficients, fitted on windows of the event table."""
+    """Encoder and coefficients, fitted on windows of the event table."""
     from flowloom.operators.features import encode
     from flowloom.operators.prefix import prefix_index
 
     flows = prefix_index(event_flows(spark, sf).withColumn("silo", F.lit("events")), ["silo"], ["event_id"], name="flow_id")
-    encoder = small_table(fit_encoder(flows.withColumn("enc", F.lit("all")), EVENT_SPEC, ["enc"]), "encoder")
+    encoder = materialize(fit_encoder(flows.withColumn("enc", F.lit("all")), EVENT_SPEC, ["enc"]), "encoder")
     windowed = row_windows(flows, EVENT_CONFIG.window, EVENT_CONFIG.step, pos="flow_id").withColumn("enc", F.lit("all"))
     edges = encode(windowed, encoder, EVENT_SPEC, ["enc"]).withColumns({"model": F.lit("events"), "label": F.lit(0)})
     gram = rec.gram_sums(edges, EVENT_CONFIG.context, "model")
-    coefficients = small_table(rec.fit_reconstruction(gram, EVENT_CONFIG.context), "coefficients")
-    return encoder, small_table(pack_model(coefficients, "events"), "model")
+    coefficients = materialize(rec.fit_reconstruction(gram, EVENT_CONFIG.context), "coefficients")
+    return encoder, rec.model_matrix(coefficients, "events")
 
 
 @query("stream_score")

@@ -92,7 +92,8 @@ def drop_incomplete_query(spark, sf):
 )
 def pool_silos_query(spark, sf):
     flows = train_flows(spark, sf)
-    pooled = pool_silos(*[flows.filter(F.col("silo") == s) for s in ("A", "N", "R")])
+    silos = [r[0] for r in flows.select("silo").distinct().collect()]
+    pooled = pool_silos(*[flows.filter(F.col("silo") == s) for s in silos])
     mean = F.avg(numeric_value(SPEC, "TOTAL_BYTES"))
     return pooled.agg(F.count(F.lit(1)).alias("n"), r6(mean).alias("mean_bytes"))
 

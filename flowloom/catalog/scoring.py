@@ -19,7 +19,7 @@ from flowloom.operators.windows import window_list
 from flowloom.plans import training
 from flowloom.sources import state
 from flowloom.sources.flows import LABEL
-from flowloom.stage import materialize, small_table
+from flowloom.stage import materialize
 
 G = list(GROUP)
 RATIOS = ["precision", "recall", "f1", "fpr", "tpr"]
@@ -157,7 +157,7 @@ def confusion(spark, sf):
 def classify(spark, sf):
     from flowloom.functions.scalar import is_attack
 
-    thresholds = small_table(_thresholds(spark, sf).filter(F.col("quantile") == 0.99).select("silo", "threshold"), "thresholds")
+    thresholds = materialize(_thresholds(spark, sf).filter(F.col("quantile") == 0.99).select("silo", "threshold"), "thresholds")
     flows = _silo_rows(spark, sf)
     out = flows.join(thresholds, "silo")
     return out.select("silo", "split", "flow_id", is_attack(F.col("OUT_BYTES"), F.col("threshold")).alias("attack"))
@@ -352,7 +352,7 @@ HISTORY_SQL = f"""history AS (SELECT l_linestatus AS run, l_returnflag AS silo,
 def history(spark, sf):
     rows = table(spark, sf, "lineitem")
     month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
-    first = small_table(rows.groupBy(F.lit(1).alias("one")).agg(F.min(month).alias("first")), "first")
+    first = materialize(rows.groupBy(F.lit(1).alias("one")).agg(F.min(month).alias("first")), "first")
     loss = rows.groupBy(F.lit(1).alias("one"), F.col("l_linestatus").alias("run"), F.col("l_returnflag").alias("silo"), month.alias("month")).agg(
         F.round(F.avg("l_tax"), 9).alias("val_mse")
     )
@@ -473,9 +473,15 @@ def summary_table(spark, sf):
 # Model runs: least squares fits are outside SQL, so these have no oracle ------------------
 
 
+@once
+def _prepared_shared(spark, sf):
+    return training.prepare(train_flows(spark, sf), CONFIG, shared=True)
+
+
 def _run(mode: str):
     def fit(spark, sf):
-        model = training.fit(train_flows(spark, sf), CONFIG, mode)
+        ready = _prepared_shared(spark, sf) if mode != "per_silo" else None
+        model = training.fit(train_flows(spark, sf), CONFIG, mode, ready)
         return training.calibrate(train_flows(spark, sf), model)
 
     fit.__name__ = f"trained_{mode}"
@@ -531,7 +537,7 @@ def calibrated_sweep(spark, sf):
 @query("transfer_matrix")
 def transfer_matrix(spark, sf):
     model = TRAINED["per_silo"](spark, sf)
-    scores = training.transfer_scores(holdout_flows(spark, sf), model, ["A", "N", "R"])
+    scores = training.transfer_scores(holdout_flows(spark, sf), model)
     return training.transfer_matrix(scores)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions import scalar as S
-from flowloom.stage import small_table
+from flowloom.stage import materialize
 
 
 def combine_by_flow(flows: DataFrame, scores: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -57,7 +57,7 @@ def batch_norm_apply(
 ) -> DataFrame:
     """(x - mean) / sqrt(var + eps) * gamma + beta with the statistics of the own key."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "mean", "var")))
-    packed = small_table(stats.groupBy(*keys).agg(ordered.alias("_stats")), "norm")
+    packed = materialize(stats.groupBy(*keys).agg(ordered.alias("_stats")), "norm")
     joined = rows.join(packed, list(keys))
 
     def scaled(v, s):

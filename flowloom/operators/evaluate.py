@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import scalar as S
 from flowloom.operators.prefix import prefix_sums
-from flowloom.stage import small_table
+from flowloom.stage import materialize
 
 POOLED = "ALL(pooled)"
 
@@ -36,7 +36,7 @@ def scrub_scores(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     caps = scores.groupBy(*keys).agg(F.coalesce(F.max(F.when(_finite(score), score)), F.lit(1.0)).alias("_cap"))
     low = score == F.lit(float("-inf"))
     repaired = F.when(_finite(score), score).when(low, 0.0).otherwise(F.col("_cap"))
-    joined = scores.join(small_table(caps, "caps"), list(keys))
+    joined = scores.join(materialize(caps, "caps"), list(keys))
     return joined.withColumns({"was_bad": ~_finite(score), "score": repaired}).drop("_cap")
 
 
@@ -56,7 +56,7 @@ def confusion(scores: DataFrame, thresholds: DataFrame, keys: Sequence[str]) ->
     """Counts and ratios at every row of `thresholds` (keys, threshold, more columns), in one scan."""
     named = [c for c in thresholds.columns if c not in keys]
     attack, label = F.col("score") >= F.col("threshold"), F.col("label") == 1
-    counted = scores.join(small_table(thresholds, "thresholds"), list(keys)).groupBy(*keys, *named).agg(
+    counted = scores.join(materialize(thresholds, "thresholds"), list(keys)).groupBy(*keys, *named).agg(
         F.count_if(attack & label).alias("tp"),
         F.count_if(attack & ~label).alias("fp"),
         F.count_if(~attack & ~label).alias("tn"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.stage import small_table
+from flowloom.stage import materialize
 
 PARAMETER = ("key", "pos")
 
@@ -98,7 +98,7 @@ def clip_and_noise(
     """
     if weighting != "equal":
         raise ValueError("clipping with noise needs equal client weights")
-    norms = small_table(update_norms(updates, base, keys), "norms")
+    norms = materialize(update_norms(updates, base, keys), "norms")
     changes = _differences(updates, base, keys).join(norms, [*keys, "client"])
     factor = F.when(F.col("norm") > clip, F.lit(float(clip)) / F.col("norm")).otherwise(1.0)
     mean = changes.groupBy(*keys, *PARAMETER).agg(

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowloom.stage import materialize, small_table
+from flowloom.stage import materialize
 
 
 def _order_columns(order: Sequence[str]) -> list[Column]:
@@ -73,7 +73,7 @@ def prefix_index(
         F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_count"), unique.alias("_checked")
     ).coalesce(1)
     running = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = small_table(
+    offsets = materialize(
         per_part.select(
             "_part",
             *keys,
@@ -109,7 +109,7 @@ def prefix_sums(
     per_part = rows.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_s_{c}") for c in summed]).coalesce(1)
     running = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
-    offsets = small_table(
+    offsets = materialize(
         per_part.select(
             "_part",
             *keys,

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.context import (
-    ContextSpec, _rows, _with_columns, context_blocks, endpoint_context, matrix, window_partitions,
+    INPUT, ContextSpec, _rows, _with_columns, context_blocks, matrix, window_partitions,
 )
-from flowloom.stage import small_table
+from flowloom.stage import materialize, task_count
 
 
 def gram_sums(edges: DataFrame, spec: ContextSpec, key: str) -> DataFrame:
@@ -98,11 +98,11 @@ def solve_by_key(gram: DataFrame, key: str, solve: Callable[[np.ndarray, np.ndar
         shared = gram_matrix(cells, "pooled") if "pooled" in cells.columns else None
         return coefficient_rows(str(cells[key].iloc[0]), solve(gram_matrix(cells), shared))
 
-    return gram.groupBy(key).applyInPandas(run, COEFFICIENTS)
+    return gram.repartition(task_count(gram.sparkSession), key).groupBy(key).applyInPandas(run, COEFFICIENTS)
 
 
 def _with_pooled(gram: DataFrame) -> DataFrame:
-    pooled = small_table(pooled_sums(gram).select("i", "j", F.col("value").alias("pooled")), "pooled")
+    pooled = materialize(pooled_sums(gram).select("i", "j", F.col("value").alias("pooled")), "pooled")
     return gram.join(pooled, ["i", "j"])
 
 
@@ -135,14 +135,99 @@ def _in_basis(gram: np.ndarray, basis: np.ndarray, size: int) -> np.ndarray:
     return lift.T @ gram @ lift
 
 
-def fit_personalised(gram: DataFrame, spec: ContextSpec, rank: int = 32, penalty: float = 1e-3) -> DataFrame:
-    """Shared basis from the pooled sums, own head per key; the result is the product of both."""
+def _driver_matrix(pooled: DataFrame) -> np.ndarray:
+    """Pooled sums as a matrix: as many numbers as the model has, whatever the data."""
+    return gram_matrix(pooled.toPandas())
 
-    def solve(own: np.ndarray, pooled: np.ndarray) -> np.ndarray:
-        basis = shared_basis(pooled, spec.size, rank)
+
+def fit_heads(gram: DataFrame, spec: ContextSpec, basis: np.ndarray, penalty: float = 1e-3) -> DataFrame:
+    """Own head per key on a given basis; the result is the product of both."""
+
+    def solve(own: np.ndarray, _: np.ndarray | None) -> np.ndarray:
         return basis @ ridge(_in_basis(own, basis, spec.size), basis.shape[1], penalty)
 
-    return solve_by_key(_with_pooled(gram), "model", solve)
+    return solve_by_key(gram, "model", solve)
+
+
+def _basis_gradient(gram: DataFrame, spec: ContextSpec, basis: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """Gradient of all keys' errors with respect to the basis, each with its own best head, and its curvature."""
+    size = spec.size
+
+    def run(cells: pd.DataFrame) -> pd.DataFrame:
+        own = gram_matrix(cells)
+        xx, xy = own[:size, :size], own[:size, size:]
+        head = ridge(_in_basis(own, basis, size), basis.shape[1], penalty)
+        strength = head @ head.T
+        slope = xx @ basis @ strength - xy @ head.T
+        curvature = float(np.linalg.eigvalsh(xx)[-1] * np.linalg.eigvalsh(strength)[-1])
+        return pd.DataFrame({"i": np.repeat(np.arange(size), slope.shape[1]), "j": np.tile(np.arange(slope.shape[1]), size), "slope": slope.ravel(), "curvature": curvature})
+
+    rows = gram.repartition(task_count(gram.sparkSession), "model").groupBy("model").applyInPandas(run, "i int, j int, slope double, curvature double")
+    total = rows.groupBy("i", "j").agg(F.sum("slope").alias("slope"), F.sum("curvature").alias("curvature")).toPandas()
+    slope = np.zeros_like(basis)
+    slope[total["i"], total["j"]] = total["slope"]
+    return slope, float(total["curvature"].max())
+
+
+def fit_personalised(gram: DataFrame, spec: ContextSpec, rank: int = 32, penalty: float = 1e-3, rounds: int = 3) -> DataFrame:
+    """Shared basis and own heads, fitted together: from the pooled principal directions, the basis
+    takes `rounds` gradient steps over all keys' sums, between which every key solves for its head."""
+    basis = shared_basis(_driver_matrix(pooled_sums(gram)), spec.size, rank)
+    for _ in range(rounds):
+        slope, curvature = _basis_gradient(gram, spec, basis, penalty)
+        basis = basis - slope / max(curvature, 1e-12)
+    return fit_heads(gram, spec, basis, penalty)
+
+
+BASIS = "i int, directions array<double>"
+
+
+def pooled_basis(gram: DataFrame, spec: ContextSpec, rank: int = 32, penalty: float = 1e-3) -> DataFrame:
+    """First stage of the frozen modes: the constant and the leading directions of the pooled coefficients, as rows."""
+    coef = ridge(_driver_matrix(pooled_sums(gram)), spec.size, penalty)
+    left, strength, _ = np.linalg.svd(coef[1:], full_matrices=False)
+    kept = left[:, : min(rank, int((strength > 1e-9 * max(strength[0], 1e-30)).sum()))]
+    basis = np.zeros((spec.size, kept.shape[1] + 1))
+    basis[0, 0], basis[1:, 1:] = 1.0, kept
+    return gram.sparkSession.createDataFrame(pd.DataFrame({"i": np.arange(spec.size, dtype=np.int32), "directions": [r.tolist() for r in basis]}), BASIS)
+
+
+def basis_matrix(rows: DataFrame) -> np.ndarray:
+    return np.vstack(rows.toPandas().sort_values("i")["directions"].to_list())
+
+
+def fit_frozen(gram: DataFrame, spec: ContextSpec, basis: np.ndarray, how: str = "plain", penalty: float = 1e-3) -> DataFrame:
+    """Second stage: own heads on a frozen basis.
+
+    'adabn' first brings the predictors of a key to the pooled mean and deviation; 'fedbn'
+    also trains a scale per predictor, in turn with the head.
+    """
+    size = spec.size
+
+    def plain(own: np.ndarray) -> np.ndarray:
+        return basis @ ridge(_in_basis(own, basis, size), basis.shape[1], penalty)
+
+    def adabn(own: np.ndarray, pooled: np.ndarray) -> np.ndarray:
+        mine, base = predictor_moments(own, size), predictor_moments(pooled, size)
+        ratio = np.where(mine[1] < 1e-9, 1.0, base[1] / np.where(mine[1] < 1e-9, 1.0, mine[1]))
+        turn = np.diag(np.concatenate(([1.0], ratio)))
+        turn[0, 1:] = base[0] - mine[0] * ratio
+        return turn @ plain(_in_basis(own, turn, size))
+
+    def fedbn(own: np.ndarray, _: np.ndarray) -> np.ndarray:
+        n = own[0, 0]
+        xx, xy = own[:size, :size] / n, own[:size, size:] / n
+        scale = np.ones(size)
+        for _round in range(2):
+            inner = plain(_in_basis(own, np.diag(scale), size))
+            # the prediction is linear in the scales; they are held near one
+            a = xx * (inner @ inner.T) + penalty * np.eye(size)
+            scale = np.linalg.solve(a, (xy * inner).sum(1) + penalty)
+        return np.diag(scale) @ plain(_in_basis(own, np.diag(scale), size))
+
+    if how == "plain":
+        return solve_by_key(gram, "model", lambda own, _: plain(own))
+    return solve_by_key(_with_pooled(gram), "model", {"adabn": adabn, "fedbn": fedbn}[how])
 
 
 def predictor_moments(gram: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,38 +280,25 @@ def squared_error(gram: np.ndarray, coef: np.ndarray) -> float:
     return float(total / (gram[0, 0] * coef.shape[1]))
 
 
-MAX_MODEL_ROWS = 200_000
-
-
-def listed(df: DataFrame, column: str, limit: int = MAX_MODEL_ROWS) -> list[str]:
-    """Names of a small list of keys; more than `limit` of them is an error, never a cut."""
-    names = [r[0] for r in df.select(column).distinct().limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} different values of {column}")
-    return sorted(names)
-
-
-def model_map(coefficients: DataFrame, limit: int = MAX_MODEL_ROWS) -> dict[str, np.ndarray] | None:
-    """Coefficients by model name for use inside tasks, or None if they are too many rows to ship."""
-    rows = coefficients.limit(limit + 1).toPandas()
-    if len(rows) > limit:
-        return None
-    return {
-        name: np.vstack([np.asarray(v, dtype=float) for v in part.sort_values("i")["coef"]])
-        for name, part in rows.groupby("model")
-    }
+def packed_models(coefficients: DataFrame, name: str) -> DataFrame:
+    """One row per model: `name` and the flat coefficients."""
+    rows = coefficients.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("i", "coef"))).alias("c"))
+    return rows.select(F.col("model").alias(name), F.flatten(F.transform("c", lambda p: p["coef"])).alias("_coef"))
 
 
 def score_flows(edges: DataFrame, coefficients: DataFrame, spec: ContextSpec, model: str = "model") -> DataFrame:
     """(group, flow_id, label, score): mean squared difference of the vector and its prediction.
 
+    The first flow of a window carries the coefficients of its model into the task that
+    holds the window, so any number of models may be used and a task holds those it meets.
     One row per flow and window it lies in; NaN if its model is unknown.  The mean runs over the real features
     of the model, so filled vocabulary slots (always 0, predicted as 0) do not count.
     """
-    models = model_map(coefficients)
-    if models is None:
-        return _score_joined(edges, coefficients, spec, model)
-    prepared = window_partitions(edges, spec.group)
+    # the other flows get keys that match no model and lie spread
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("flow_id"), F.lit(1009)).cast("string"))
+    own = edges.withColumn("_model", F.when(F.col("pos_in_window") == 0, F.col(model)).otherwise(spread))
+    joined = own.join(packed_models(coefficients, "_model"), "_model", "left")
+    prepared = window_partitions(joined, spec.group, (*INPUT, "_coef"))
     kept = [*spec.group, "flow_id", "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,10 +306,13 @@ def score_flows(edges: DataFrame, coefficients: DataFrame, spec: ContextSpec, mo
             codes = table[model].combine_chunks().dictionary_encode()
             which = codes.indices.to_numpy()
             error = np.full(len(y), np.nan)
-            for code, name in enumerate(codes.dictionary.to_pylist()):
-                if name in models:
-                    rows = which == code
-                    error[rows] = ((x[rows] @ models[name] - y[rows]) ** 2).sum(axis=1)
+            carried = table["_coef"].combine_chunks()
+            for code in range(len(codes.dictionary)):
+                rows = np.flatnonzero(which == code)
+                found = carried.take(pa.array(rows)).drop_null()
+                if len(found):
+                    coef = found[0].values.to_numpy().reshape(spec.size, spec.width)
+                    error[rows] = ((x[rows] @ coef - y[rows]) ** 2).sum(axis=1)
             score = error / table["n_features"].to_numpy()
             yield from _with_columns(table.select(kept), {"score": pa.array(score)})
 
@@ -245,35 +320,26 @@ def score_flows(edges: DataFrame, coefficients: DataFrame, spec: ContextSpec, mo
     return prepared.mapInArrow(run, schema)
 
 
-def _score_joined(edges: DataFrame, coefficients: DataFrame, spec: ContextSpec, model: str) -> DataFrame:
-    """Scores with the coefficients joined on, for more models than fit into a task."""
-    packed = coefficients.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("i", "coef"))).alias("c"))
-    packed = packed.select(F.col("model").alias(model), F.flatten(F.transform("c", lambda p: p["coef"])).alias("coef"))
-    # a flow without a model keeps its row and gets no number, as in the other path
-    nothing = F.array_repeat(F.lit(float("nan")), spec.size * spec.width)
-    joined = endpoint_context(edges, spec).join(packed, model, "left")
-    return score_predictors(joined.withColumn("coef", F.coalesce("coef", nothing)), spec)
+def model_matrix(coefficients: DataFrame, model: str) -> np.ndarray:
+    """Coefficients of one model (spec.size rows)."""
+    rows = coefficients.filter(F.col("model") == model).toPandas().sort_values("i")
+    return np.vstack([np.asarray(v, dtype=float) for v in rows["coef"]])
 
 
-def score_predictors(rows: DataFrame, spec: ContextSpec) -> DataFrame:
-    """Scores of rows that carry `predictors`, `features`, `n_features` and a flat `coef`."""
+def score_predictors(rows: DataFrame, coef: np.ndarray, spec: ContextSpec) -> DataFrame:
+    """Scores under one model of rows that carry `predictors`, `features` and `n_features`."""
     kept = [*spec.group, "flow_id", "label"]
+    sent = rows.sparkSession.sparkContext.broadcast(coef)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
             x, y = matrix(table["predictors"], spec.size), matrix(table["features"], spec.width)
-            coef = matrix(table["coef"], spec.size * spec.width).reshape(-1, spec.size, spec.width)
-            error = ((np.einsum("ni,nij->nj", x, coef) - y) ** 2).sum(axis=1)
+            error = ((x @ sent.value - y) ** 2).sum(axis=1)
             yield from _with_columns(table.select(kept), {"score": pa.array(error / table["n_features"].to_numpy())})
 
     schema = rows.select(*kept, F.lit(None).cast("double").alias("score")).schema
-    return rows.select(*kept, "n_features", "features", "predictors", "coef").mapInArrow(run, schema)
-
-
-def fitted(coefficients: DataFrame) -> DataFrame:
-    """Written coefficients, so that scoring does not repeat the fit."""
-    return small_table(coefficients, "coefficients")
+    return rows.select(*kept, "n_features", "features", "predictors").mapInArrow(run, schema)
 
 
 def validation_mse(scores: DataFrame, keys: Sequence[str]) -> DataFrame:

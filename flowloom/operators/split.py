@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.operators.prefix import prefix_index
-from flowloom.stage import small_table
+from flowloom.stage import materialize
 
 
 def window_hash(seed: int, keys: Sequence[str]) -> Column:
@@ -39,7 +39,7 @@ def split_cuts(windows: DataFrame, keys: Sequence[str], ratio: float = 0.8, seed
     """(keys, cut): the last training window of every key in hash order."""
     ranked = _ranked(windows, keys, window_hash(seed, keys))
     last = ranked.filter(F.col("rank") == _train_size(ratio) - 1)
-    return small_table(last.select(*keys, F.struct("hash", "window_id").alias("cut")), "cuts")
+    return materialize(last.select(*keys, F.struct("hash", "window_id").alias("cut")), "cuts")
 
 
 def split_flows(windowed: DataFrame, cuts: DataFrame, keys: Sequence[str], seed: int = 42) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions import scalar as S
@@ -20,7 +20,7 @@ from flowloom.operators.context import ContextSpec
 from flowloom.operators.graph import hop_weights, with_start_vector
 from flowloom.operators.prefix import prefix_index
 from flowloom.sources.flows import DST, SRC
-from flowloom.stage import materialize, small_table
+from flowloom.stage import materialize
 
 
 def frame_nodes(edges: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
@@ -68,14 +68,18 @@ def frame_embeddings(
     return state.drop("message")
 
 
-def _others(edges: DataFrame, keys: Sequence[str], width: int, out: str) -> DataFrame:
-    """Add the mean vector of the other edges with the same keys; zeros if there is none."""
+def _side(edges: DataFrame, vectors: DataFrame, keys: Sequence[str], end: str, width: int, side: str) -> DataFrame:
+    """Per host of one end: sums and count of its edges' vectors, and its own vector."""
     f = S.items("features", width)
-    sums = edges.groupBy(*keys).agg(F.array(*[F.sum(v) for v in f]).alias("_sums"), F.count(F.lit(1)).alias("_count"))
-    joined = edges.join(sums, list(keys))
-    others = F.col("_count") - 1
-    mean = [(s - v) / others for s, v in zip(S.items("_sums", width), f, strict=True)]
-    return joined.withColumn(out, F.array(*[F.when(others == 0, 0.0).otherwise(m) for m in mean])).drop("_sums", "_count")
+    sums = edges.groupBy(*keys, end).agg(F.array(*[F.sum(v) for v in f]).alias(f"{side}_sums"), F.count(F.lit(1)).alias(f"{side}_count"))
+    return sums.join(vectors.select(*keys, F.col("ip").alias(end), F.col("embedding").alias(f"{side}_embedding")), [*keys, end])
+
+
+def _others_mean(side: str, width: int) -> Column:
+    """Mean vector of the other edges behind the sums; zeros if there is none."""
+    others = F.col(f"{side}_count") - 1
+    pairs = zip(S.items(f"{side}_sums", width), S.items("features", width), strict=True)
+    return F.array(*[F.when(others == 0, 0.0).otherwise((s - v) / others) for s, v in pairs])
 
 
 def frame_addresses(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -92,25 +96,12 @@ def single_graph(edges: DataFrame, spec: ContextSpec) -> DataFrame:
     edges = materialize(edges, "edges")
     nodes = frame_addresses(edges, keys)
     vectors = frame_embeddings(edges, nodes, keys, spec.dim, spec.hops, spec.weights)
-    src = vectors.select(*keys, F.col("ip").alias(SRC), F.col("embedding").alias("src_embedding"))
-    dst = vectors.select(*keys, F.col("ip").alias(DST), F.col("embedding").alias("dst_embedding"))
-    out = _others(edges, [*keys, SRC], spec.width, "src_context")
-    out = _others(out, [*keys, DST], spec.width, "dst_context")
     f = S.items("features", spec.width)
-    frame = small_table(
-        edges.groupBy(*keys).agg(
-            F.array(*[F.sum(v) for v in f]).alias("frame_sums"), F.count(F.lit(1)).alias("frame_count")
-        ),
-        "frame",
-    )
-    others = F.col("frame_count") - 1
-    context = [
-        F.when(others == 0, 0.0).otherwise((s - v) / others)
-        for s, v in zip(S.items("frame_sums", spec.width), f, strict=True)
-    ]
-    out = out.join(src, [*keys, SRC]).join(dst, [*keys, DST]).join(frame, keys)
-    predictors = F.concat(
-        F.array(F.lit(1.0)), "src_context", "dst_context", F.array(*context), "src_embedding", "dst_embedding"
-    )
+    frame = edges.groupBy(*keys).agg(F.array(*[F.sum(v) for v in f]).alias("frame_sums"), F.count(F.lit(1)).alias("frame_count"))
+    # the edges are shuffled once for each end: sums and vectors of a host meet before
+    out = edges.join(_side(edges, vectors, keys, SRC, spec.width, "src"), [*keys, SRC])
+    out = out.join(_side(edges, vectors, keys, DST, spec.width, "dst"), [*keys, DST]).join(materialize(frame, "frame"), keys)
+    context = [_others_mean(side, spec.width) for side in ("src", "dst", "frame")]
+    predictors = F.concat(F.array(F.lit(1.0)), *context, "src_embedding", "dst_embedding")
     kept = [c for c in edges.columns if c not in ("label", *keys)]
     return out.select(*keys, *kept, F.lit(0).alias("label"), predictors.alias("predictors"))

@@ -1,9 +1,10 @@
 """Rounds of federated fitting over per-client sums.
 
 Flows are looked at once per client, for the sums of products of training and
-validation windows.  A round is then a small solve per client on its own cells
-and an average of parameter rows; every table in the loop has one row per
-parameter and client, and the state of a round is written before the next one.
+validation windows.  A round is then a few gradient steps per client on its own cells, from the incoming
+parameters, and an average of parameter rows.  The global parameters are as many numbers
+as the model has, whatever the data and the number of clients: they go to the tasks as one
+value.  Tables of clients have one row per parameter and client and are written every round.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from flowloom.operators import reconstruct as rec
 from flowloom.operators.context import ContextSpec
 from flowloom.operators.features import fit_encoder
 from flowloom.plans.training import RunConfig, training_part, window_cuts
-from flowloom.stage import small_table
+from flowloom.stage import materialize, task_count
 
 MEAN, SCALE = "encoder.batch_norm.running_mean", "encoder.batch_norm.running_scale"
 BASIS, HEAD, COEF = "encoder.basis", "decoder.head", "decoder.coef"
@@ -33,6 +34,8 @@ TRAIN_LOSS, VAL_LOSS, VAL_EDGES, WEIGHT = "metric.train_mse", "metric.val_mse",
 class FederatedConfig:
     """`mode` 'na', 'fedbn' or 'fedrep'; `mu` > 0 pulls local fits to the global parameters.
 
+    A client takes `local_steps` gradient steps a round.  `penalty` is the least one; a client
+    whose validation windows ask for more uses more (`own_penalties`).
     `clip` switches to clipped, noised aggregation with deviation sigma*clip/n.
     """
 
@@ -45,6 +48,7 @@ class FederatedConfig:
     seed: int = 42
     penalty: float = 1e-3
     rank: int = 16
+    local_steps: int = 10
 
     def __post_init__(self):
         if self.clip is not None and self.weighting != "equal":
@@ -88,32 +92,72 @@ def _combined(values: dict[str, np.ndarray], size: int, width: int) -> np.ndarra
     return _standardiser(values[MEAN], values[SCALE]) @ inner
 
 
-def _body(gram: np.ndarray, head: np.ndarray, start: np.ndarray, size: int, pull: float) -> np.ndarray:
-    """Best basis for a fixed head, shrunk towards `start`: one small system per head direction."""
-    n = gram[0, 0]
-    xx, xy = gram[:size, :size] / n, gram[:size, size:] / n
-    strength, turn = np.linalg.eigh(head @ head.T)
-    right = (xy @ head.T + pull * start) @ turn
-    solved = [np.linalg.solve(s * xx + pull * np.eye(size), right[:, j]) for j, s in enumerate(np.maximum(strength, 0))]
-    return np.column_stack(solved) @ turn.T
+#: Penalties a client may choose from, relative to predictors of unit variance.
+PENALTIES = (1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0)
 
 
-def local_fit(gram: np.ndarray, state: dict[str, np.ndarray], spec: ContextSpec, cfg: FederatedConfig) -> dict:
-    """A client's parameters after one round, from its own sums and the incoming parameters."""
+def own_penalties(train_gram: DataFrame, val_gram: DataFrame, spec: ContextSpec) -> DataFrame:
+    """(client, penalty): the one whose fit on the training sums has the least error on the validation sums.
+
+    With few windows a context is nearly the target itself, and only a strong penalty keeps
+    the fit from reading it back.  A client without validation windows takes the strongest.
+    """
+
+    def run(cells: pd.DataFrame, checks: pd.DataFrame) -> pd.DataFrame:
+        if cells.empty:
+            return pd.DataFrame({"client": [], "penalty": []})
+        best = PENALTIES[-1]
+        if len(checks):
+            gram, other = rec.gram_matrix(cells), rec.gram_matrix(checks)
+            turn = _standardiser(*rec.predictor_moments(gram, spec.size))
+            own = rec._in_basis(gram, turn, spec.size)
+            errors = [rec.squared_error(other, turn @ rec.ridge(own, spec.size, p)) for p in PENALTIES]
+            best = PENALTIES[int(np.argmin(errors))]
+        return pd.DataFrame({"client": [str(cells["client"].iloc[0])], "penalty": [best]})
+
+    pair = [_by_client(g) for g in (train_gram, val_gram)]
+    return pair[0].cogroup(pair[1]).applyInPandas(run, "client string, penalty double")
+
+
+def _by_client(rows: DataFrame):
+    """Groups of clients, spread over an explicit number of tasks."""
+    return rows.repartition(task_count(rows.sparkSession), "client").groupBy("client")
+
+
+def _descend(start: np.ndarray, gradient, curvature: float, steps: int) -> np.ndarray:
+    for _ in range(steps):
+        start = start - gradient(start) / curvature
+    return start
+
+
+def local_fit(gram: np.ndarray, state: dict[str, np.ndarray], spec: ContextSpec, cfg: FederatedConfig, penalty: float) -> dict:
+    """A client's parameters after its steps of one round, from its own sums and the incoming parameters."""
     size, width = spec.size, spec.width
+    if not cfg.local_steps:
+        return dict(state) | {TRAIN_LOSS: np.array([rec.squared_error(gram, _combined(state, size, width))])}
     mean, scale = rec.predictor_moments(gram, size)
     own = rec._in_basis(gram, _standardiser(mean, scale), size)
+    xx, xy = own[:size, :size] / own[0, 0], own[:size, size:] / own[0, 0]
+    largest = float(np.linalg.eigvalsh(xx)[-1])
     # derivative of (mu/2)|w - g|^2 next to a mean over flows and features
     pull = cfg.mu * width / 2.0
     out = {MEAN: mean, SCALE: scale}
     if cfg.mode == "fedrep":
-        basis = state[BASIS].reshape(size, -1)
-        head = rec.ridge(rec._in_basis(own, basis, size), basis.shape[1], cfg.penalty)
+        start = state[BASIS].reshape(size, -1)
+        head = rec.ridge(rec._in_basis(own, start, size), start.shape[1], penalty)
+        strength = head @ head.T
         out[HEAD] = head
-        out[BASIS] = _body(own, head, basis, size, max(pull, cfg.penalty))
+        out[BASIS] = _descend(
+            start,
+            lambda b: (xx @ b @ strength - xy @ head.T) + (pull + penalty) * (b - start),
+            largest * float(np.linalg.eigvalsh(strength)[-1]) + pull + penalty,
+            cfg.local_steps,
+        )
     else:
         start = state[COEF].reshape(size, width)
-        out[COEF] = rec.ridge(own, size, cfg.penalty, start, pull)
+        weight = np.full((size, 1), penalty)
+        weight[0] = 0.0
+        out[COEF] = _descend(start, lambda w: xx @ w - xy + weight * w + pull * (w - start), largest + penalty + pull, cfg.local_steps)
     out[TRAIN_LOSS] = np.array([rec.squared_error(gram, _combined(out, size, width))])
     return out
 
@@ -130,57 +174,57 @@ def initial_parameters(spec: ContextSpec, cfg: FederatedConfig) -> dict[str, np.
     return values
 
 
-def _local_round(gram: DataFrame, state: DataFrame, spec: ContextSpec, cfg: FederatedConfig) -> DataFrame:
-    def run(cells: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        client = str(cells["client"].iloc[0])
-        return _long(client, local_fit(rec.gram_matrix(cells), _vectors(rows), spec, cfg))
+def shared_values(shared: DataFrame) -> dict[str, np.ndarray]:
+    """The global parameters: as many numbers as the model has."""
+    return _vectors(shared.toPandas())
 
-    return gram.groupBy("client").cogroup(state.groupBy("client")).applyInPandas(run, PARAMETERS)
 
+def _with_private(rows: DataFrame, private: DataFrame | None, run) -> DataFrame:
+    """`run(rows of a client, its private parameters)` for every client of `rows`."""
+    grouped = _by_client(rows)
+    if private is None:
+        return grouped.applyInPandas(lambda own: run(own, {}), PARAMETERS)
 
-def _validate(gram: DataFrame, state: DataFrame, spec: ContextSpec) -> DataFrame:
-    def run(cells: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if cells.empty:
-            return pd.DataFrame({"client": [], "key": [], "pos": [], "value": []})
-        own = rec.gram_matrix(cells)
-        loss = rec.squared_error(own, _combined(_vectors(rows), spec.size, spec.width))
-        return _long(str(cells["client"].iloc[0]), {VAL_LOSS: np.array([loss]), VAL_EDGES: np.array([own[0, 0]])})
+    def both(own: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        return run(own, _vectors(kept)) if len(own) else pd.DataFrame({"client": [], "key": [], "pos": [], "value": []})
 
-    return gram.groupBy("client").cogroup(state.groupBy("client")).applyInPandas(run, PARAMETERS)
+    return grouped.cogroup(_by_client(private)).applyInPandas(both, PARAMETERS)
 
 
-def for_clients(shared: DataFrame, clients: Sequence[str]) -> DataFrame:
-    """One copy of the global parameters per client; both lists are metadata-sized."""
-    return shared.select(F.explode(F.array(*[F.lit(c) for c in clients])).alias("client"), "key", "pos", "value")
+def _local_round(gram: DataFrame, shared: dict, private: DataFrame | None, spec: ContextSpec, cfg: FederatedConfig) -> DataFrame:
+    def run(cells: pd.DataFrame, own: dict) -> pd.DataFrame:
+        penalty = max(cfg.penalty, float(cells["penalty"].iloc[0])) if "penalty" in cells.columns else cfg.penalty
+        return _long(str(cells["client"].iloc[0]), local_fit(rec.gram_matrix(cells), shared | own, spec, cfg, penalty))
 
+    return _with_private(gram, private, run)
 
-def client_state(shared: DataFrame, private: DataFrame | None, clients: Sequence[str]) -> DataFrame:
-    copies = for_clients(shared, clients)
-    return copies if private is None else fed.merge_state(copies, private)
+
+def _validate(gram: DataFrame, shared: dict, private: DataFrame | None, spec: ContextSpec) -> DataFrame:
+    def run(cells: pd.DataFrame, own: dict) -> pd.DataFrame:
+        sums = rec.gram_matrix(cells)
+        loss = rec.squared_error(sums, _combined(shared | own, spec.size, spec.width))
+        return _long(str(cells["client"].iloc[0]), {VAL_LOSS: np.array([loss]), VAL_EDGES: np.array([sums[0, 0]])})
+
+    return _with_private(gram, private, run)
 
 
 def federated_fit(
-    train_gram: DataFrame,
-    val_gram: DataFrame,
-    weights: DataFrame,
-    clients: Sequence[str],
-    spec: ContextSpec,
-    cfg: FederatedConfig,
+    train_gram: DataFrame, val_gram: DataFrame, weights: DataFrame, spec: ContextSpec, cfg: FederatedConfig
 ) -> FederatedResult:
     """All rounds; the last one is kept.
 
-    `train_gram`, `val_gram`: sums per `client`; `weights`: (client, weight), the
+    `train_gram`, `val_gram`: sums per `client` (and the client's `penalty`); `weights`: (client, weight), the
     training windows of a client, used by 'examples'.
     """
     spark = train_gram.sparkSession
     start = _long("server", initial_parameters(spec, cfg)).drop(columns="client")
-    shared = small_table(spark.createDataFrame(start, "key string, pos int, value double"), "round")
+    shared = materialize(spark.createDataFrame(start, "key string, pos int, value double"), "round")
+    values = shared_values(shared)
     private: DataFrame | None = None
     history, norms = [], []
     is_metric = F.col("key").startswith("metric.")
     for number in range(1, cfg.rounds + 1):
-        state = client_state(shared, private, clients)
-        local = small_table(_local_round(train_gram, state, spec, cfg), "local")
+        local = materialize(_local_round(train_gram, values, private, spec, cfg), "local")
         updates = local.filter(~is_metric & fed.is_exchanged(cfg.mode)).join(weights, "client")
         own = local.filter(~is_metric & ~fed.is_exchanged(cfg.mode))
         private = None if cfg.mode == "na" else own
@@ -190,13 +234,13 @@ def federated_fit(
         else:
             noise_seed = cfg.seed * 1_000_003 + number
             merged = fed.clip_and_noise(updates, base, cfg.clip, cfg.sigma, noise_seed, cfg.weighting, keys=())
-        norms.append(fed.update_norms(updates, base, keys=()).withColumn("round", F.lit(number)))
+        norms.append(materialize(fed.update_norms(updates, base, keys=()).withColumn("round", F.lit(number)), "norms"))
         # parameters that are never exchanged keep their first value in the global table
         kept = shared.filter(~fed.is_exchanged(cfg.mode))
-        shared = small_table(merged.unionByName(kept), "round")
-        checked = _validate(val_gram, client_state(shared, private, clients), spec)
-        measured = local.filter(is_metric).unionByName(checked)
-        history.append(small_table(measured.withColumn("round", F.lit(number)), "history"))
+        shared = materialize(merged.unionByName(kept), "round")
+        values = shared_values(shared)
+        measured = local.filter(is_metric).unionByName(_validate(val_gram, values, private, spec))
+        history.append(materialize(measured.withColumn("round", F.lit(number)), "history"))
     return FederatedResult(shared, private, _round_history(history), _all(norms))
 
 
@@ -220,29 +264,33 @@ def _round_history(parts: Sequence[DataFrame]) -> DataFrame:
     )
 
 
-def federated_coefficients(
-    shared: DataFrame, private: DataFrame | None, clients: Sequence[str], spec: ContextSpec
-) -> DataFrame:
-    """(model, i, coef) per client for scoring: global parameters with the private ones on top."""
+def federated_coefficients(shared: DataFrame, private: DataFrame | None, clients: DataFrame, spec: ContextSpec) -> DataFrame:
+    """(model, i, coef) for scoring, per row of `clients` (column client): global parameters with the private ones on top."""
+    values = shared_values(shared)
+
+    def rows_of(client: str, own: dict) -> pd.DataFrame:
+        return rec.coefficient_rows(client, _combined(values | own, spec.size, spec.width))
+
+    named = _by_client(clients.select("client").distinct())
+    if private is None:
+        return named.applyInPandas(lambda c: rows_of(str(c["client"].iloc[0]), {}), rec.COEFFICIENTS)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        coef = _combined(_vectors(rows), spec.size, spec.width)
-        return rec.coefficient_rows(str(rows["client"].iloc[0]), coef)
+    def both(c: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        return rows_of(str(c["client"].iloc[0]), _vectors(kept)) if len(c) else pd.DataFrame({"model": [], "i": [], "coef": []})
 
-    return client_state(shared, private, clients).groupBy("client").applyInPandas(run, rec.COEFFICIENTS)
+    return named.cogroup(_by_client(private)).applyInPandas(both, rec.COEFFICIENTS)
 
 
 def held_out_coefficients(shared: DataFrame, val_gram: DataFrame, spec: ContextSpec) -> DataFrame:
     """Coefficients for silos that were no clients: the normalisation is re-estimated on their own
     benign validation windows, everything else is global."""
-    clients = rec.listed(val_gram, "client")
 
     def moments(cells: pd.DataFrame) -> pd.DataFrame:
         mean, scale = rec.predictor_moments(rec.gram_matrix(cells), spec.size)
         return _long(str(cells["client"].iloc[0]), {MEAN: mean, SCALE: scale})
 
-    own = val_gram.groupBy("client").applyInPandas(moments, PARAMETERS)
-    return federated_coefficients(shared, own, clients, spec)
+    own = materialize(_by_client(val_gram).applyInPandas(moments, PARAMETERS), "moments")
+    return federated_coefficients(shared, own, own, spec)
 
 
 @dataclass
@@ -253,26 +301,26 @@ class Clients:
     train_gram: DataFrame
     val_gram: DataFrame
     weights: DataFrame
-    names: list[str]
 
 
 def prepare_clients(flows: DataFrame, cfg: RunConfig) -> Clients:
     """Every silo fits its own scaler and vocabularies, filled to one width; nothing is pooled."""
     keyed = flows.withColumn("enc", F.col("silo"))
-    encoder = small_table(fit_encoder(keyed, cfg.features, ["enc"], padded=True), "encoder")
+    encoder = materialize(fit_encoder(keyed, cfg.features, ["enc"], padded=True), "encoder")
 
     cuts = window_cuts(flows, cfg)
 
     def sums(part: str) -> DataFrame:
         edges = training_part(flows, encoder, cuts, cfg, False, part)
         gram = rec.gram_sums(edges, cfg.context, "model")
-        return small_table(gram.withColumnRenamed("model", "client"), "gram")
+        return materialize(gram.withColumnRenamed("model", "client"), "gram")
 
     sizes = flows.groupBy("silo").agg(F.max("n_rows").alias("n_rows"))
     windows = F.expr(f"(n_rows - {cfg.window}) div {cfg.step} + 1")
     weights = sizes.filter(F.col("n_rows") >= cfg.window).select(
         F.col("silo").alias("client"), F.floor(windows * F.lit(cfg.train_ratio)).alias("weight")
     )
-    weights = small_table(weights, "weights")
-    names = rec.listed(weights, "client")
-    return Clients(encoder, sums("train"), sums("val"), weights, names)
+    weights = materialize(weights, "weights")
+    train, val = sums("train"), sums("val")
+    penalties = materialize(own_penalties(train, val, cfg.context), "penalties")
+    return Clients(encoder, materialize(train.join(penalties, "client"), "gram"), val, weights)

@@ -15,7 +15,7 @@ from flowloom.operators.prefix import prefix_index
 from flowloom.operators.split import split_cuts, split_flows
 from flowloom.operators.windows import row_windows, window_list
 from flowloom.sources.flows import LABEL, FeatureSpec, benign_only, drop_incomplete
-from flowloom.stage import materialize, small_table
+from flowloom.stage import materialize
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,19 @@ class RunConfig:
 
 
 # How a run shares: (encoder fitted on all silos together, fit).
-MODES = ("per_silo", "combined", "personalised", "personalised_frozen", "combined_adabn", "combined_fedbn")
+MODES = (
+    "per_silo", "combined", "personalised", "personalised_frozen", "personalised_frozen_adabn", "personalised_frozen_fedbn",
+    "combined_adabn", "combined_fedbn",
+)
+
+
+@dataclass
+class Prepared:
+    """What all modes with the same encoder share: one look at the flows."""
+
+    encoder: DataFrame
+    cuts: DataFrame
+    gram: DataFrame
 
 
 @dataclass
@@ -86,18 +98,34 @@ def encoded_windows(flows: DataFrame, encoder: DataFrame, cfg: RunConfig, shared
     return encoded(row_windows(flows, cfg.window, cfg.step, pos="flow_id"), encoder, cfg, shared)
 
 
-def fit(flows: DataFrame, cfg: RunConfig, mode: str) -> Training:
-    """Fit encoder, sums and coefficients on benign training flows (`ordered_flows` + flow columns)."""
-    if mode not in MODES:
-        raise ValueError(f"unknown mode {mode!r}; choices: {MODES}")
-    shared = mode != "per_silo"
+def prepare(flows: DataFrame, cfg: RunConfig, shared: bool, cuts: DataFrame | None = None) -> Prepared:
+    """Encoder, cuts and sums of benign training flows (`ordered_flows` + flow columns)."""
     keyed = flows.withColumn("enc", F.lit("all") if shared else F.col("silo"))
-    encoder = small_table(fit_encoder(keyed, cfg.features, ["enc"]), "encoder")
-    cuts = window_cuts(flows, cfg)
+    encoder = materialize(fit_encoder(keyed, cfg.features, ["enc"]), "encoder")
+    cuts = cuts or window_cuts(flows, cfg)
     train = training_part(flows, encoder, cuts, cfg, shared, "train")
-    gram = small_table(reconstruct.gram_sums(train, cfg.context, "model"), "gram")
-    coefficients = small_table(fit_coefficients(gram, cfg, mode), "coefficients")
-    return Training(mode, cfg, encoder, cuts, gram, coefficients)
+    return Prepared(encoder, cuts, materialize(reconstruct.gram_sums(train, cfg.context, "model"), "gram"))
+
+
+def fit(flows: DataFrame, cfg: RunConfig, mode: str, prepared: Prepared | None = None) -> Training:
+    """Fit one mode; `prepared` (of the same kind of encoder) saves the look at the flows."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}; choices: {MODES}")
+    ready = prepared or prepare(flows, cfg, mode != "per_silo")
+    coefficients = materialize(fit_coefficients(ready.gram, cfg, mode), "coefficients")
+    return Training(mode, cfg, ready.encoder, ready.cuts, ready.gram, coefficients)
+
+
+def fit_all(flows: DataFrame, cfg: RunConfig, modes: Sequence[str] = MODES) -> dict[str, Training]:
+    """All modes from one preparation per kind of encoder."""
+    ready: dict[bool, Prepared] = {}
+    out = {}
+    for mode in modes:
+        shared = mode != "per_silo"
+        if shared not in ready:
+            ready[shared] = prepare(flows, cfg, shared, next((p.cuts for p in ready.values()), None))
+        out[mode] = fit(flows, cfg, mode, ready[shared])
+    return out
 
 
 def fit_coefficients(gram: DataFrame, cfg: RunConfig, mode: str) -> DataFrame:
@@ -107,9 +135,13 @@ def fit_coefficients(gram: DataFrame, cfg: RunConfig, mode: str) -> DataFrame:
         return reconstruct.fit_reconstruction(gram, spec, "model", cfg.penalty)
     if mode == "combined":
         return reconstruct.fit_combined(gram, spec, cfg.penalty)
-    if mode in ("personalised", "personalised_frozen"):
-        # the shared part is linear, so fitting it with the heads or before them gives the same basis
+    if mode == "personalised":
         return reconstruct.fit_personalised(gram, spec, cfg.rank, cfg.penalty)
+    if mode.startswith("personalised_frozen"):
+        # the first stage is stored and read again, as a run that resumes from it would
+        stored = materialize(reconstruct.pooled_basis(gram, spec, cfg.rank, cfg.penalty), "basis")
+        how = mode.removeprefix("personalised_frozen").lstrip("_") or "plain"
+        return reconstruct.fit_frozen(gram, spec, reconstruct.basis_matrix(stored), how, cfg.penalty)
     return reconstruct.fit_adapted(gram, spec, mode.removeprefix("combined_"), cfg.penalty)
 
 
@@ -137,7 +169,7 @@ def calibrate(flows: DataFrame, training: Training) -> Training:
     cfg = training.config
     edges = training_part(flows, training.encoder, training.cuts, cfg, training.shared_encoder, "val")
     scores = reconstruct.score_flows(_named_model(edges, training.mode), training.coefficients, cfg.context)
-    training.thresholds = small_table(evaluate.exact_quantiles(scores, ["model"], "score", cfg.quantiles), "thresholds")
+    training.thresholds = materialize(evaluate.exact_quantiles(scores, ["model"], "score", cfg.quantiles), "thresholds")
     return training
 
 
@@ -154,7 +186,7 @@ def evaluate_holdout(scores: DataFrame, training: Training, pooled: bool = False
     scores = evaluate.scrub_scores(evaluate.with_pooled(scores) if pooled else scores, ["silo"])
     models = scores.select("silo", "model").distinct()
     thresholds = models.join(training.thresholds, "model").select("silo", "quantile", "threshold").distinct()
-    found = small_table(evaluate.metrics(scores, ["silo"]), "metrics")
+    found = materialize(evaluate.metrics(scores, ["silo"]), "metrics")
     return found, evaluate.threshold_sweep(scores, thresholds, ["silo"], found)
 
 
@@ -164,13 +196,14 @@ def flow_scores(scores: DataFrame, how: str = "max") -> DataFrame:
     return scores.groupBy("silo", "flow_id").agg(pick("score").alias("score"), F.max("label").alias("label"))
 
 
-def transfer_scores(holdout: DataFrame, training: Training, silos: Sequence[str]) -> DataFrame:
+def transfer_scores(holdout: DataFrame, training: Training) -> DataFrame:
     """Holdout scores under every silo's own encoder and model: `model` is the training silo.
 
     Every flow is encoded once per training silo, which is what the matrix asks for;
-    the list of silos is metadata.
+    the silos are those of the encoder table.
     """
     cfg = training.config
+    silos = sorted(r[0] for r in training.encoder.select("enc").distinct().collect())
     crossed = row_windows(holdout, cfg.window, cfg.step, pos="flow_id").withColumn(
         "enc", F.explode(F.array(*[F.lit(s) for s in silos]))
     )

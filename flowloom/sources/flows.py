@@ -96,9 +96,23 @@ class FeatureSpec:
         return [a for a in available if a in wanted]
 
 
-def read_flows(spark: SparkSession, paths: Mapping[str, str], split: str) -> DataFrame:
-    """One table from one parquet path per silo, tagged with `silo` and `split`."""
-    parts = [spark.read.parquet(p).withColumn("silo", F.lit(s)) for s, p in paths.items()]
+def read_flows(
+    spark: SparkSession, paths: Mapping[str, str], split: str, spec: FeatureSpec | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """One table from one parquet path per silo, tagged with `silo` and `split`.
+
+    With `spec`, only the addresses, the label, the inputs of its features and `keep` (such as
+    the order key) are read: what an index would else sort and write for nothing.
+    """
+
+    def read(path: str) -> DataFrame:
+        table = spark.read.parquet(path)
+        if spec is None:
+            return table
+        wanted = {SRC, DST, LABEL, *keep, *spec.source_columns(table.columns)}
+        return table.select(*[c for c in table.columns if c in wanted])
+
+    parts = [read(p).withColumn("silo", F.lit(s)) for s, p in paths.items()]
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
@@ -107,6 +121,8 @@ def read_flows(spark: SparkSession, paths: Mapping[str, str], split: str) -> Dat
 
 # Unique order of the order-line table.
 ORDER_KEY = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+# The other columns that flows are made of; nothing else is sorted and written by an index.
+LINE_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 def lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +132,8 @@ def lineitem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     put on top, so the shuffles carry numbers and not the address texts.
     """
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
-        "*",
+        *ORDER_KEY,
+        *LINE_COLUMNS,
         "l_returnflag AS silo",
         "CASE WHEN l_orderkey % 5 = 4 THEN 'holdout' ELSE 'train' END AS split",
         f"CASE WHEN l_quantity >= 45 AND l_discount >= 0.08 THEN 1 ELSE 0 END AS {LABEL}",

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,14 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_recorded: list[list[str]] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` once and return a reader of the written table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for record in _recorded:
+        record.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_table(df: DataFrame, tag: str) -> DataFrame:
-    """Like `materialize` for fitted state: few rows, so one file."""
-    return materialize(df.coalesce(1), tag)
+def task_count(spark: SparkSession) -> int:
+    """Explicit number of tasks for work per key that adaptive execution would merge by its few bytes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@contextmanager
+def own_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that `materialize` writes inside, at the end: for loops that never end, like streams."""
+    record: list[str] = []
+    _recorded.append(record)
+    try:
+        yield
+    finally:
+        _recorded.remove(record)
+        for path in record:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -4,57 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowloom.operators.combine import combine_by_flow
-from flowloom.operators.context import ContextSpec, endpoint_context
+from flowloom.operators.context import ContextSpec
 from flowloom.operators.features import encode
 from flowloom.operators.reconstruct import score_predictors
 from flowloom.operators.wholegraph import single_graph
 from flowloom.sources.flows import FeatureSpec
-from flowloom.stage import materialize
-
-
-def pack_model(coefficients: DataFrame, model: str) -> DataFrame:
-    """One row: the flat coefficients of one model."""
-    one = coefficients.filter(F.col("model") == model)
-    packed = one.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("i", "coef"))).alias("c"))
-    return packed.select("model", F.flatten(F.transform("c", lambda p: p["coef"])).alias("coef"))
-
-
-# A batch up to this many flows is one bounded graph and is scored inside one task.
-ONE_TASK_FLOWS = 50_000
+from flowloom.stage import materialize, own_tables
 
 
 def score_batch(
-    flows: DataFrame,
-    encoder: DataFrame,
-    model: DataFrame,
-    features: FeatureSpec,
-    dim: int,
-    batch_id: int,
-    flow_key: str,
-    one_task: int = ONE_TASK_FLOWS,
+    flows: DataFrame, encoder: DataFrame, coef: np.ndarray, features: FeatureSpec, dim: int, batch_id: int, flow_key: str
 ) -> DataFrame:
     """Flows of one batch as one graph, with `probability_anomalous` (a reconstruction error).
 
-    `encoder` and `model` hold one row each; `flow_key` is a unique number of the
-    flow.  The batch is counted first: a small one is handled like a window, a
-    larger one by the joins and aggregates of `single_graph`, with equal scores.
+    `encoder` holds one row, `coef` the coefficients of the model; `flow_key` is a unique
+    number of the flow.  The plan is the same for batches of any size.
     """
     spec = ContextSpec(("window_id",), features.width, dim)
-    name = model.first()["model"]
     batch = materialize(flows.withColumn("window_id", F.lit(batch_id).cast("bigint")), "batch")
-    keyed = batch.withColumns({"enc": F.lit("all"), "model": F.lit(name), "label": F.lit(0)})
-    edges = encode(keyed, encoder, features, ["enc"])
+    edges = encode(batch.withColumns({"enc": F.lit("all"), "label": F.lit(0)}), encoder, features, ["enc"])
     edges = edges.withColumns({"flow_id": F.col(flow_key).cast("bigint"), "pos_in_window": F.lit(0)})
-    if batch.count() <= one_task:
-        predictors = endpoint_context(edges, spec).withColumn("model", F.lit(name))
-    else:
-        predictors = single_graph(edges, spec)
-    scored = score_predictors(predictors.join(model, "model"), spec)
+    scored = score_predictors(single_graph(edges, spec), coef, spec)
     scores = scored.select("window_id", F.col("flow_id").alias(flow_key), "score")
     return combine_by_flow(batch, scores, ["window_id", flow_key])
 
@@ -69,11 +45,13 @@ def start_scoring(
     """Score every micro-batch into its own folder of `output`.
 
     A batch that is replayed after a failure overwrites its own folder, so the
-    output holds every flow once.
+    output holds every flow once.  The tables written on the way to a batch's
+    scores are removed once the scores stand.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        score(batch, batch_id).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        with own_tables(batch.sparkSession):
+            score(batch, batch_id).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowloom.catalog import common as C
 from flowloom.catalog import federation
@@ -11,11 +12,11 @@ from flowloom.functions.scalar import projection
 from flowloom.operators import context, federated as fed
 from flowloom.operators import reconstruct as rec
 from flowloom.operators import wholegraph
+from flowloom.operators.features import encode
 from flowloom.operators.context import ContextSpec
 from flowloom.plans import federated as plan
 from flowloom.plans import training
 from flowloom.sources.flows import DST, SRC
-from flowloom.streaming.score_stream import score_batch
 
 GROUP = ("silo", "window_id")
 
@@ -101,16 +102,13 @@ def test_sums_fit_and_scores(spark):
     gram = rec.gram_sums(edges, spec, "model").toPandas()
     both = np.hstack((x, y))
     np.testing.assert_allclose(rec.gram_matrix(gram), both.T @ both, atol=1e-8)
-    coefficients = rec.fitted(rec.fit_reconstruction(spark.createDataFrame(gram), spec, penalty=1e-6))
-    coef = rec.model_map(coefficients)["s"]
+    coefficients = rec.fit_reconstruction(spark.createDataFrame(gram), spec, penalty=1e-6)
+    coef = rec.model_matrix(coefficients, "s")
     want = ((x @ coef - y) ** 2).mean(1)
     scores = rec.score_flows(edges, coefficients, spec).toPandas().sort_values("flow_id").score
     np.testing.assert_allclose(scores, want, atol=1e-9)
-    joined = rec._score_joined(edges, coefficients, spec, "model").toPandas().sort_values("flow_id").score
-    np.testing.assert_allclose(joined, want, atol=1e-9)
     other = edges.withColumn("model", F.lit("unknown"))
-    for lost in (rec.score_flows(other, coefficients, spec), rec._score_joined(other, coefficients, spec, "model")):
-        assert lost.filter(F.isnan("score")).count() == len(pdf)
+    assert rec.score_flows(other, coefficients, spec).filter(F.isnan("score")).count() == len(pdf)
     assert want.mean() <= ((y - y.mean(0)) ** 2).mean() + 1e-9
     assert rec.squared_error(rec.gram_matrix(gram), coef) == pytest.approx(want.mean())
 
@@ -124,7 +122,8 @@ SPEC = C.CONFIG.context
 
 
 def _models(df):
-    return rec.model_map(df)
+    rows = df.toPandas().sort_values("i")
+    return {name: np.vstack(part["coef"].to_list()) for name, part in rows.groupby("model")}
 
 
 def test_full_basis_is_no_restriction(gram):
@@ -152,30 +151,65 @@ def test_renormalised_prediction():
     np.testing.assert_allclose(x @ rec.renormalised(coef, own, base), moved @ coef, atol=1e-9)
 
 
-def test_rounds_with_one_client_equal_its_own_fit(spark, sf):
+def _rounds(ready, **settings):
+    cfg = plan.FederatedConfig(**settings)
+    return plan.federated_fit(ready.train_gram, ready.val_gram, ready.weights, SPEC, cfg)
+
+
+def test_rounds_depend_on_the_incoming_model(spark, sf):
+    ready = federation._clients(spark, sf)
+    losses = _rounds(ready, rounds=3).history.groupBy("round").agg(F.avg("train_mse").alias("x")).orderBy("round").collect()
+    assert losses[0].x > losses[1].x + 1e-6 > losses[2].x + 2e-6
+
+
+def test_no_step_leaves_the_model(spark, sf):
     ready = federation._clients(spark, sf)
-    cfg = plan.FederatedConfig(rounds=1, penalty=1e-3)
-    only = ready.train_gram.filter("client = 'A'")
-    result = plan.federated_fit(only, ready.val_gram.filter("client = 'A'"), ready.weights, ["A"], SPEC, cfg)
-    coef = _models(plan.federated_coefficients(result.parameters, result.private, ["A"], SPEC))["A"]
-    loss = rec.squared_error(rec.gram_matrix(only.toPandas()), coef)
-    assert loss == pytest.approx(result.history.first().train_mse)
+    got = plan.shared_values(_rounds(ready, rounds=2, local_steps=0).parameters)
+    start = plan.initial_parameters(SPEC, plan.FederatedConfig())
+    assert all(np.allclose(got[k], np.ravel(v)) for k, v in start.items())
+
+
+def test_equal_clients_reach_the_pooled_fit(spark, sf):
+    """Three clients with the same sums: many rounds end at the ridge solution of these sums."""
+    ready = federation._clients(spark, sf)
+    one = ready.train_gram.filter("client = 'A'").drop("penalty")
+    same = [one.withColumn("client", F.lit(c)) for c in "xyz"]
+    grams = same[0].unionByName(same[1]).unionByName(same[2])
+    weights = spark.createDataFrame([(c, 1) for c in "xyz"], "client string, weight long")
+    cfg = plan.FederatedConfig(rounds=3, local_steps=20_000, penalty=0.1)
+    got = plan.shared_values(plan.federated_fit(grams, grams, weights, SPEC, cfg).parameters)[plan.COEF]
+    g = rec.gram_matrix(one.toPandas())
+    own = rec._in_basis(g, plan._standardiser(*rec.predictor_moments(g, SPEC.size)), SPEC.size)
+    np.testing.assert_allclose(got.reshape(SPEC.size, -1), rec.ridge(own, SPEC.size, 0.1), atol=1e-4)
 
 
 def test_strong_pull_stays_near_the_global_parameters(spark, sf):
     ready = federation._clients(spark, sf)
 
     def norm(mu):
-        cfg = plan.FederatedConfig(rounds=1, mu=mu, mode="fedbn")
-        return plan.federated_fit(ready.train_gram, ready.val_gram, ready.weights, ready.names, SPEC, cfg).norms.agg(F.max("norm")).first()[0]
+        return _rounds(ready, rounds=1, mu=mu, mode="fedbn").norms.agg(F.max("norm")).first()[0]
 
     assert norm(1e6) < 1e-3 < norm(0.0)
 
 
+@pytest.mark.parametrize("mode", ["na", "fedbn", "fedrep"])
+@pytest.mark.parametrize("kept", [3, 6])
+def test_few_windows_do_not_give_the_target_away(spark, sf, mode, kept):
+    """With 3 or 6 training windows a client, no model is much worse than the mean on validation windows."""
+    flows = C.train_flows(spark, sf).filter(F.col("flow_id") < 200 * (kept + 2)).withColumn("n_rows", F.lit(200 * (kept + 2)).cast("long"))
+    ready = plan.prepare_clients(flows, C.CONFIG)
+    result = _rounds(ready, rounds=3, mode=mode)
+    for client, rows in ready.val_gram.toPandas().groupby("client"):
+        g = rec.gram_matrix(rows)
+        size, n = SPEC.size, g[0, 0]
+        variance = float((np.diag(g)[size:] / n - (g[0, size:] / n) ** 2).mean())
+        last = result.history.filter((F.col("round") == 3) & (F.col("silo") == client)).first().val_mse
+        assert last <= 1.2 * variance, client
+
+
 def test_private_parameters_stay_out_of_the_average(spark, sf):
     ready = federation._clients(spark, sf)
-    cfg = plan.FederatedConfig(rounds=1, mode="fedrep")
-    result = plan.federated_fit(ready.train_gram, ready.val_gram, ready.weights, ready.names, SPEC, cfg)
+    result = _rounds(ready, rounds=1, mode="fedrep")
     assert {r[0] for r in result.private.select("key").distinct().collect()} == {plan.HEAD}
     assert fed.keys_private(result.private, "fedrep").count() == result.private.count()
 
@@ -194,13 +228,37 @@ def test_overlap_scores_every_window(spark, sf):
 
 
 def test_stream_equals_batch(spark, sf):
-    """Each micro-batch scores like the same rows in a batch job, on both paths."""
+    """Each micro-batch scores like one window of a batch job."""
     out = C.QUERIES["stream_score"](spark, sf)
-    encoder, model = federation.event_model(spark, sf)
+    encoder, coef = federation.event_model(spark, sf)
     assert out.count() == C.table(spark, sf, "events").count()
-    batch = out.filter("batch_id = 2").select("event_id", "value", SRC, DST)
-    want = out.filter("batch_id = 2").toPandas().sort_values("event_id").probability_anomalous
-    for limit in (50_000, 0):
-        again = score_batch(batch, encoder, model, federation.EVENT_SPEC, 4, 2, "event_id", one_task=limit)
-        got = again.toPandas().sort_values("event_id").probability_anomalous
-        np.testing.assert_allclose(got, want, atol=1e-9)
+    rows = out.filter("batch_id = 2").select("event_id", "value", SRC, DST, "probability_anomalous").toPandas()
+    keyed = spark.createDataFrame(rows).withColumns({"enc": F.lit("all"), "model": F.lit("m"), "label": F.lit(0), "window_id": F.lit(2).cast("bigint")})
+    edges = encode(keyed, encoder, federation.EVENT_SPEC, ["enc"])
+    edges = edges.withColumns({"flow_id": F.col("event_id"), "pos_in_window": F.row_number().over(Window.orderBy("event_id")) - 1})
+    spec = context.ContextSpec(("model", "window_id"), federation.EVENT_SPEC.width, 4)
+    models = spark.createDataFrame([("m", k, r.tolist()) for k, r in enumerate(coef)], rec.COEFFICIENTS)
+    got = rec.score_flows(edges, models, spec).toPandas().sort_values("flow_id").score
+    np.testing.assert_allclose(got, rows.sort_values("event_id").probability_anomalous, atol=1e-9)
+
+
+def test_all_modes_from_two_looks_at_the_flows(spark, sf, monkeypatch):
+    """Eight modes compute the sums twice, once per kind of encoder, and no two modes are the same model."""
+    calls = []
+    sums = rec.gram_sums
+    monkeypatch.setattr(training.reconstruct, "gram_sums", lambda *a: calls.append(a) or sums(*a))
+    models = training.fit_all(C.train_flows(spark, sf), C.CONFIG)
+    assert len(models) == len(training.MODES) == 8 and len(calls) == 2
+    found = {mode: _models(m.coefficients) for mode, m in models.items()}
+    names = [m for m in found if m not in ("per_silo", "combined")]
+    for k, a in enumerate(names):
+        for b in names[k + 1 :]:
+            assert max(np.abs(found[a][s] - found[b][s]).max() for s in found[a]) > 1e-6, (a, b)
+
+
+def test_joint_basis_fits_no_worse_than_its_start(gram):
+    start = _models(rec.fit_personalised(gram, SPEC, rank=6, rounds=0))
+    joint = _models(rec.fit_personalised(gram, SPEC, rank=6, rounds=5))
+    parts = {k: rec.gram_matrix(p) for k, p in gram.toPandas().groupby("model")}
+    total = [sum(rec.squared_error(parts[s], m[s]) for s in parts) for m in (start, joint)]
+    assert total[1] < total[0]
