@@ -6,13 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import decontaminate, language_id, license_scan, packing, pii, quality_rules, simhash, token_counts, toxicity, url_filters
+from flowloom.llm import decontaminate, language_id, license_scan, packing, pii, quality_rules, simhash, sql, token_counts, toxicity, url_filters
 from flowloom.llm.common import ORACLES, QUERIES, query, read
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
-@query("op1_quality_rules")
+@query("op1_quality_rules", sql.QUALITY)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
 
@@ -22,7 +22,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op3_url_filters")
+@query("op3_url_filters", sql.URLS)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page is bad if the label of the same number calls it toxic or of low quality."""
     bad = F.greatest(F.col("toxic"), 1 - F.col("quality")).cast("int").alias("bad")
@@ -55,7 +55,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query("op9_decontamination")
+@query("op9_decontamination", sql.LEAKS)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(
