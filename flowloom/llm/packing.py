@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from flowloom.llm.common import map_batches, text_bytes
-from flowloom.stage import materialize
+from flowloom.stage import materialize, task_count
 
 CAPACITY, END = 4096, 1
 #: Lengths from this part of the capacity on are large; groups of the large ones.
@@ -353,14 +353,15 @@ def place(runs: list[tuple[int, int, int, int]], firsts: list[int], length: int,
 # ---- assignment
 
 
-#: Pieces in one part of the numbering.
-PART_ROWS = 20_000
+#: Pieces in one part of the numbering, where that makes more parts than the session has shuffle partitions.
+PART_ROWS = 1_000_000
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece (and ids if asked)."""
     cut = materialize(pieces(docs, tokenizer, capacity, ids).withColumn("row", F.monotonically_increasing_id()), "pieces")
-    parts = max(1, cut.count() // PART_ROWS)
+    # a length that many pieces have is numbered in all parts at once
+    parts = max(task_count(cut.sparkSession), cut.count() // PART_ROWS)
     part = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
     slim = cut.select("row", "length", part.alias("part"))
     counts = materialize(slim.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
