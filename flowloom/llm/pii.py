@@ -108,8 +108,14 @@ _NUMBER = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[ -])?(?:{_NUMBER})(?:[ ,.-]{{1,2}}(?:{_NUMBER}|dot|point)(?!\w)){{4,}}", re.I)
 _SPELLED_PART = re.compile(rf"(?:{_NUMBER}|dot|point|plus)|[ ,.-]+", re.I)
 _BRACKETED = re.compile(r"\s?[\[({<]\s?(at|dot|punkt|punto|point)\s?[\])}>]\s?", re.I)
+# Last labels that make a worded address credible.
+_ENDINGS = "com|org|net|edu|gov|info|biz|io|dev|co|uk|us|ca|eu|de|fr|es|it|nl|be|ch|at|pt|pl|se|br|in|jp|ru"
 #: A name (also with dots), the word at, and labels with the word dot between.
-_WORDED = re.compile(r"(?<![\w.%+-])(?:[A-Za-z0-9_%+-]+ dot )*[A-Za-z0-9._%+-]+ at [A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)*? dot [A-Za-z]{2,}(?![\w-])", re.I)
+_WORDED = re.compile(
+    r"(?<![\w.%+-])(?:[A-Za-z0-9_%+-]+ dot )*[A-Za-z0-9._%+-]+ at [A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)* dot "
+    rf"(?:{_ENDINGS})(?![\w-])",
+    re.I,
+)
 _WORDED_SIGN = re.compile(r" (at|dot) ", re.I)
 
 
