@@ -23,6 +23,7 @@ import math
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.common import LOWER_ASCII, map_batches, remainder, text_bytes
 
-SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 64_000_000
+SAMPLE_ROWS, SAMPLE_BYTES, TRAINING_WINDOWS = 12_000, 48_000_000, 200_000
 WINDOW_WORDS, LEVEL = 8, 5
 COMMON_BYTES, TOXIC_BYTES = 8192, 4096
 PREFIX = 5
@@ -50,11 +51,12 @@ def windows(words: list[bytes]) -> list[bytes]:
     return [b" %b " % b" ".join(words[k : k + WINDOW_WORDS]) for k in range(0, len(words), WINDOW_WORDS)] or [b"  "]
 
 
-def first_of_copies(texts: list[list[bytes]]) -> list[bool]:
+def first_of_copies(texts: list[bytes]) -> list[bool]:
     """False for texts that share one of four minima of five-word window hashes with an earlier text."""
     seen: set[tuple[int, int]] = set()
     out = []
-    for words in texts:
+    for text in texts:
+        words = words_of(text)
         grams = np.array([crc32(b" ".join(words[k : k + 5])) for k in range(max(1, len(words) - 4))], np.uint64)
         marks = {(k, int((grams * np.uint64(m) & np.uint64(0xFFFFFFFF)).min())) for k, m in enumerate((1, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35))}
         out.append(not marks & seen)
@@ -62,13 +64,17 @@ def first_of_copies(texts: list[list[bytes]]) -> list[bool]:
     return out
 
 
-def telling_words(texts: list[list[bytes]], toxic: list[int]) -> list[bytes]:
+def telling_words(texts: list[bytes], toxic: list[int]) -> list[bytes]:
     """Words that toxic texts have far more often, the most frequent last (nearest to the window)."""
     yes: Counter = Counter()
     no: Counter = Counter()
-    for words, label in zip(texts, toxic, strict=True):
-        own = set(words)
-        (yes if label else no).update(own | {w[:PREFIX] + b"*" for w in own if len(w) >= PREFIX})
+    # words that no toxic text has can't be telling, so they are not counted
+    for label in (1, 0):
+        for text, own_label in zip(texts, toxic, strict=True):
+            if own_label == label:
+                own = set(words_of(text))
+                own |= {w[:PREFIX] + b"*" for w in own if len(w) >= PREFIX}
+                (yes if label else no).update(own if label else own & yes.keys())
     n_yes, n_no = sum(toxic), len(toxic) - sum(toxic)
     share = n_yes / max(1, n_yes + n_no)
 
@@ -144,21 +150,21 @@ def build(rows: list[tuple[int, bytes, int]]) -> Model | None:
     """From (doc_id, text, toxic) of the sample; the order of the rows does not matter."""
     import zstandard as zs
 
-    rows = sorted((crc32(str(i).encode()), words_of(t), int(y), i) for i, t, y in rows)
-    learn = [(w, y) for k, (_, w, y, _) in enumerate(rows) if k % 3]
-    learn = [x for x, first in zip(learn, first_of_copies([w for w, _ in learn]), strict=True) if first]
-    check = [(w, y) for k, (_, w, y, _) in enumerate(rows) if k % 3 == 0]
-    if not any(y for _, y in learn) or all(y for _, y in learn) or len({y for _, y in check}) < 2:
+    rows = sorted((crc32(str(i).encode()), t, int(y), i) for i, t, y in rows)
+    learn = [(t, y) for k, (_, t, y, _) in enumerate(rows) if k % 3]
+    learn = [x for x, first in zip(learn, first_of_copies([t for t, _ in learn]), strict=True) if first]
+    check = [(t, y) for k, (_, t, y, _) in enumerate(rows) if k % 3 == 0]
+    if len({y for _, y in learn}) < 2 or len({y for _, y in check}) < 2:
         return None
-    telling = telling_words([w for w, _ in learn], [y for _, y in learn])
-    plain = [x for w, y in learn if not y for x in windows(w)]
+    telling = telling_words([t for t, _ in learn], [y for _, y in learn])
+    plain = list(islice((x for t, y in learn if not y for x in windows(words_of(t))), TRAINING_WINDOWS))
     try:
-        common = zs.train_dictionary(COMMON_BYTES, plain[:200_000], k=64, d=6).as_bytes()[-COMMON_BYTES + 256 :]
+        common = zs.train_dictionary(COMMON_BYTES, plain, k=64, d=6).as_bytes()[-COMMON_BYTES + 256 :]
     except zs.ZstdError:  # too little text to train on
         common = b"".join(plain)[-COMMON_BYTES:]
     model = Model(common, b" %b " % b" ".join(telling)[-TOXIC_BYTES:], np.zeros(6), np.ones(6), np.zeros(7), 0.0)
     pair = model.compressors()
-    x, y = np.array([features(w, pair) for w, _ in check]), np.array([y for _, y in check], float)
+    x, y = np.array([features(words_of(t), pair) for t, _ in check]), np.array([y for _, y in check], float)
     model.mean, model.scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     scaled = (x - model.mean) / model.scale
     model.weights = logistic(scaled, y)
@@ -170,12 +176,15 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> Mo
     """From the labelled rows outside the fold; the sample comes to the driver."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.filter(remainder("doc_id", folds) != fold)
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    rows, size = docs.join(known, "doc_id", "left_semi").agg(F.count("*"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()
+    own = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    rows, size = docs.select("doc_id", own).join(known, "doc_id", "left_semi").agg(F.count("*"), F.sum("size")).first()
     part = min(1.0, SAMPLE_ROWS / max(1, rows), SAMPLE_BYTES / max(1, size or 0))
-    chosen = known.filter(mark < int(part * (1 << 30)))
-    sample = docs.select("doc_id", text_bytes().alias("text")).join(chosen, "doc_id").select("doc_id", "text", "toxic").limit(2 * SAMPLE_ROWS)
-    return build([(r.doc_id, bytes(r.text), r.toxic) for r in sample.collect()])
+    # the hash decides before the join, so that only the sample's texts are shuffled
+    chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
+    sample = chosen.select("doc_id", text_bytes().alias("text")).join(known, "doc_id").limit(2 * SAMPLE_ROWS).toArrow()
+    ids, texts, marks = (sample.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))
+    del sample
+    return build(list(zip(ids, texts, marks, strict=True)))
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
