@@ -40,8 +40,8 @@ from flowloom.llm.common import map_batches, text_bytes
 from flowloom.stage import materialize, task_count
 
 CAPACITY, END = 4096, 1
-#: Lengths from this part of the capacity on are large; groups of the large ones.
-LARGE, GROUPS = 1 / 8, 64
+#: Lengths from this part of the capacity on are large; numbers of groups of which the best plan is taken.
+LARGE, GROUPS = 1 / 4, (8, 16, 32)
 #: Words whose ids a task remembers.
 REMEMBERED = 400_000
 
@@ -264,8 +264,13 @@ class Bins:
             n -= used * each
 
 
-def pack(counts: dict[int, int], capacity: int = CAPACITY, large: float = LARGE, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
-    """Bin classes (lengths, bins) that hold exactly `counts` pieces of each length."""
+def pack(counts: dict[int, int], capacity: int = CAPACITY, large: float = LARGE, groups: tuple[int, ...] = GROUPS) -> list[tuple[tuple[int, ...], int]]:
+    """Bin classes (lengths, bins) that hold exactly `counts` pieces of each length, for the best number of groups."""
+    plans = [_pack(counts, capacity, large, n) for n in groups]
+    return min(plans, key=lambda classes: sum(n for _, n in classes))
+
+
+def _pack(counts: dict[int, int], capacity: int, large: float, groups: int) -> list[tuple[tuple[int, ...], int]]:
     bins = Bins(capacity)
     big = {s: n for s, n in counts.items() if large * capacity <= s < capacity and n}
     if counts.get(capacity):
