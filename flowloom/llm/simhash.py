@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def group_bits(sample: np.ndarray, parts: int) -> list[list[int]]:
     """Greedy: a partition begins with the most correlated free pair and takes the bit with the largest mean correlation."""
     bits = (sample[:, None] >> np.arange(BITS, dtype=np.uint64) & np.uint64(1)).astype(float)
-    spread = bits - bits.mean(0)
+    spread = bits - bits.mean(0) if len(bits) else bits
     size = np.sqrt((spread**2).sum(0))
     near = np.abs(spread.T @ spread) / np.maximum(np.outer(size, size), 1e-9)
     np.fill_diagonal(near, 0)

@@ -151,7 +151,7 @@ def test_packing_cuts_long_documents_and_repeated_rows(make):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 100), st.integers(1, 400), max_size=40), st.integers(1, 12))
 def test_bins_hold_all_pieces(counts, groups):
-    classes = packing.pack(counts, 100, 1 / 8, groups)
+    classes = packing.pack(counts, 100, 1 / 8, (groups,))
     held = Counter()
     for content, bins in classes:
         assert sum(content) <= 100 and bins > 0
@@ -173,7 +173,7 @@ def test_few_sequences():
     lengths = np.minimum(4096, rng.lognormal(6.5, 1.1, 60_000).astype(int) + 1)
     counts = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
     bins = sum(n for _, n in packing.pack(counts))
-    assert bins <= 1.005 * lengths.sum() / 4096 + 1
+    assert bins <= 1.0005 * lengths.sum() / 4096 + 1
 
 
 @settings(max_examples=150, deadline=None)
@@ -313,6 +313,6 @@ def test_reputation_blocks_bad_hosts_only(spark):
     outcomes = [(k, 1) for k in range(50)] + [(60, 1)] + [(k, int(k % 20 == 0)) for k in range(62, 262)] + [(0, 0), (None, 1), (70, None), (9999, 1)]
     got = judged(spark, urls, outcomes)
     assert {got[k].verdict for k in range(60)} == {"block"}
-    assert {got[k].verdict for k in range(60, 262)} == {"allow"}
+    assert {got[k].verdict for k in range(62, 262)} == {"allow"}
     assert got[61].host_bad_rate > got[100].host_bad_rate  # a new host leans on its domain
     assert judged(spark, urls[:0], outcomes) == {}
