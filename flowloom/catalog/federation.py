@@ -81,9 +81,21 @@ def clip_mean(spark, sf):
     return r6_all(out, ["value"]).select("round", "key", "pos", "value")
 
 
-@query("clip_and_noise")
+def _uniform_sql(salt: int) -> str:
+    return f"(CAST(('0x' || substr(md5('7|{salt}|' || u.round || '|' || u.key || '|' || u.pos), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0"
+
+
+@query(
+    "clip_and_noise",
+    f"""WITH {UPDATES_SQL}, {BASE_SQL}, {NORMS_SQL}
+    SELECT u.round, u.key, u.pos, {q6(f"""max(b.value) + avg((u.value - b.value) * least(1.0, 0.9 / norm))
+      + max(sqrt(-2.0 * ln({_uniform_sql(1)})) * cos({_uniform_sql(2)} * 6.283185307179586)) * 0.45 / count(*)""")} AS value
+    FROM updates u JOIN base b ON u.round = b.round AND u.key = b.key AND u.pos = b.pos
+    JOIN norms n ON u.round = n.round AND u.client = n.client GROUP BY u.round, u.key, u.pos""",
+)
 def clip_and_noise(spark, sf):
-    return fed.clip_and_noise(updates(spark, sf), _base(spark, sf), clip=0.9, sigma=0.5, seed=7)
+    out = fed.clip_and_noise(updates(spark, sf), _base(spark, sf), clip=0.9, sigma=0.5, seed=7)
+    return r6_all(out, ["value"]).select("round", "key", "pos", "value")
 
 
 KEEP = {

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowloom.catalog.common import (
     GROUP, SPEC, WINDOWED_SQL, each6, embeddings_sql, features_sql, flows_sql, holdout_flows, nodes_sql, q6,
     query, r6_all, r6_items, table, train_edges, train_windows,
 )
 from flowloom.functions.scalar import r6
-from flowloom.operators import combine, graph, wholegraph
+from flowloom.operators import combine, graph, reconstruct, wholegraph
 from flowloom.operators import context
 from flowloom.operators.context import ContextSpec
 from flowloom.sources.flows import DST, SRC
@@ -105,27 +106,83 @@ def window_mean(spark, sf):
     return out.select(*G, "n_edges", *r6_items("context", SPEC.width, "c"))
 
 
-def _context_sql() -> str:
+def _context_cte() -> str:
+    """`pred`: every flow with its contexts (a, b, w), end vectors (sv, dv) and features."""
+
     def other(i: int, keys: str) -> str:
         over = f"OVER (PARTITION BY {keys})"
         return f"CASE WHEN count(*) {over} = 1 THEN 0.0 ELSE (sum(f{i}) {over} - f{i}) / (count(*) {over} - 1) END"
 
     parts = {"a": "silo, window_id, src", "b": "silo, window_id, dst", "w": "silo, window_id"}
     cols = ", ".join(f"{other(i, k)} AS {p}{i}" for p, k in parts.items() for i in range(18))
-    shown = ", ".join(f"{q6(f'{p}{i}')} AS {p}{i}" for p in parts for i in range(18))
-    ends = ", ".join(f"{q6(f'{p}.v{i}')} AS {p}v{i}" for p in ("s", "d") for i in range(4))
-    return f"""WITH {features_sql()}, {nodes_sql()}, {embeddings_sql()}, ctx AS (SELECT *, {cols} FROM edges)
-    SELECT e.silo, e.window_id, e.flow_id, {shown}, {ends} FROM ctx e
-    JOIN emb s ON {ON.format('s')} AND e.src = s.ip JOIN emb d ON {ON.format('d')} AND e.dst = d.ip"""
+    ends = ", ".join(f"{p}.v{i} AS {p}v{i}" for p in ("s", "d") for i in range(4))
+    return f"""WITH {features_sql()}, {nodes_sql()}, {embeddings_sql()}, ctx AS (SELECT *, {cols} FROM edges),
+    pred AS (SELECT e.*, {ends} FROM ctx e
+      JOIN emb s ON {ON.format('s')} AND e.src = s.ip JOIN emb d ON {ON.format('d')} AND e.dst = d.ip)"""
+
+
+PREDICTORS = [f"{p}{i}" for p in "abw" for i in range(18)] + [f"{p}v{i}" for p in "sd" for i in range(4)]
+
+
+def _context_sql() -> str:
+    return f"{_context_cte()} SELECT silo, window_id, flow_id, {', '.join(f'{q6(c)} AS {c}' for c in PREDICTORS)} FROM pred"
+
+
+def _gram_sql() -> str:
+    """Mean products of all pairs of [1, predictors, features] per silo."""
+    entries = ["1.0", *PREDICTORS, *[f"f{i}" for i in range(18)]]
+    n = len(entries)
+    cells = [(i, j) for i in range(n) for j in range(i, n)]
+    sums = ", ".join(f"avg({entries[i]} * {entries[j]})" for i, j in cells)
+    return f"""{_context_cte()}, sums AS (SELECT silo, [{sums}] AS v FROM pred GROUP BY silo)
+    SELECT silo AS model, CAST(unnest({[i for i, _ in cells]}) AS INTEGER) AS i, CAST(unnest({[j for _, j in cells]}) AS INTEGER) AS j,
+      {q6('unnest(v) + 1.3e-9')} AS value FROM sums"""
+
+
+def fixed_coefficient(i: int, j: int) -> float:
+    """Coefficients that need no fit, for comparing scores."""
+    return ((7 * i + 3 * j) % 11 - 5) / 100
+
+
+def _score_sql() -> str:
+    entries = ["1.0", *PREDICTORS]
+    errors = []
+    for j in range(18):
+        predicted = " + ".join(f"{fixed_coefficient(i, j)} * {x}" for i, x in enumerate(entries))
+        errors.append(f"({predicted} - f{j}) ** 2")
+    return f"{_context_cte()} SELECT silo, window_id, flow_id, label, {q6('(' + ' + '.join(errors) + ') / 18')} AS score FROM pred"
 
 
 @query("endpoint_context", _context_sql())
 def endpoint_context_query(spark, sf):
     edges = train_edges(spark, sf)
     out = context.endpoint_context(edges, SPEC4)
-    names = [f"{p}{i}" for p in "abw" for i in range(18)] + [f"{p}v{i}" for p in "sd" for i in range(4)]
     x = F.col("predictors")
-    return out.select(*G, "flow_id", *[r6(x.getItem(1 + i)).alias(n) for i, n in enumerate(names)])
+    return out.select(*G, "flow_id", *[r6(x.getItem(1 + i)).alias(n) for i, n in enumerate(PREDICTORS)])
+
+
+@query("gram_sums", _gram_sql())
+def gram_sums(spark, sf):
+    """Sums of products per silo, divided by the number of flows.
+
+    Many are ratios of whole numbers that lie on a border of rounding; the same small number
+    moves them off it on both sides.
+    """
+    edges = train_edges(spark, sf).withColumn("model", F.col("silo"))
+    sums = reconstruct.gram_sums(edges, context.ContextSpec(("model", *G), SPEC.width, 4), "model")
+    count = F.max(F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("value"))).over(Window.partitionBy("model"))
+    return sums.select("model", "i", "j", r6(F.col("value") / count + 1.3e-9).alias("value"))
+
+
+@query("score_flows", _score_sql())
+def score_flows(spark, sf):
+    """Scores under coefficients that are the same for all silos."""
+    edges = train_edges(spark, sf).withColumn("model", F.col("silo"))
+    spec = context.ContextSpec(("model", *G), SPEC.width, 4)
+    coef = [[fixed_coefficient(i, j) for j in range(spec.width)] for i in range(spec.size)]
+    models = edges.select("model").distinct().select("model", F.posexplode(F.lit(coef)).alias("i", "coef"))
+    out = reconstruct.score_flows(edges, models, spec)
+    return out.select(*G, "flow_id", "label", r6(F.col("score")).alias("score"))
 
 
 @query(

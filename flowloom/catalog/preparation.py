@@ -295,12 +295,15 @@ def ip_octets(spark, sf):
     return counted.select("ip", *[r6(o).alias(f"o{i}") for i, o in enumerate(S.ip_octets(F.col("ip")))], "n")
 
 
-@query(
-    "project_vector",
-    None,
-)
+def _project_sql(dim: int) -> str:
+    matrix = S.projection(dim)
+    columns = ", ".join(q6(" + ".join(f"{octet_sql(k)} * {float(matrix[k, j])!r}" for k in range(4))) + f" AS p{j}" for j in range(dim))
+    return f"WITH {NAMED} SELECT DISTINCT ip, {columns} FROM (SELECT src AS ip FROM named UNION SELECT dst FROM named)"
+
+
+@query("project_vector", _project_sql(8))
 def project_vector(spark, sf):
-    flows = as_flows(lineitem_rows(spark, sf)).select(F.col(DST).alias("ip")).distinct()
+    flows = as_flows(lineitem_rows(spark, sf)).select(F.explode(F.array(SRC, DST)).alias("ip")).distinct()
     vector = S.project(S.ip_octets(F.col("ip")), S.projection(8))
     return flows.select("ip", *[r6(v).alias(f"p{i}") for i, v in enumerate(vector)])
 

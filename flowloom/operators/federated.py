@@ -77,8 +77,9 @@ def gaussian(seed: int, columns: Sequence[str]) -> Column:
     """
 
     def uniform(salt: int) -> Column:
-        bits = F.xxhash64(F.lit(seed), F.lit(salt), *[F.col(c) for c in columns])
-        return (F.shiftrightunsigned(bits, 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+        text = F.concat_ws("|", F.lit(f"{seed}|{salt}"), *[F.col(c).cast("string") for c in columns])
+        bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
+        return (bits + 0.5) / F.lit(float(1 << 52))
 
     return F.sqrt(F.log(uniform(1)) * -2.0) * F.cos(uniform(2) * 6.283185307179586)
 
