@@ -53,14 +53,30 @@ def confusion_metrics(tp: Column, fp: Column, tn: Column, fn: Column) -> dict[st
 
 
 def confusion(scores: DataFrame, thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts and ratios at every row of `thresholds` (keys, threshold, more columns), in one scan."""
+    """Counts and ratios at every row of `thresholds` (keys, threshold, more columns), in one scan.
+
+    A flow is counted once, in the step between two thresholds of its key where its score
+    lies; the thresholds then add up steps.
+    """
     named = [c for c in thresholds.columns if c not in keys]
-    attack, label = F.col("score") >= F.col("threshold"), F.col("label") == 1
-    counted = scores.join(materialize(thresholds, "thresholds"), list(keys)).groupBy(*keys, *named).agg(
-        F.count_if(attack & label).alias("tp"),
-        F.count_if(attack & ~label).alias("fp"),
-        F.count_if(~attack & ~label).alias("tn"),
-        F.count_if(~attack & label).alias("fn"),
+    thresholds = materialize(thresholds, "thresholds")
+    levels = thresholds.groupBy(*keys).agg(F.array_sort(F.collect_set("threshold")).alias("_levels"))
+
+    def passed(value: str) -> Column:
+        return F.size(F.filter("_levels", lambda level: level <= F.col(value)))
+
+    placed = scores.filter(F.col("score").isNotNull()).join(materialize(levels, "levels"), list(keys))
+    steps = placed.groupBy(*keys, passed("score").alias("_step")).agg(
+        F.count_if(F.col("label") == 1).alias("_pos"), F.count_if(F.col("label") != 1).alias("_neg")
+    )
+    ranked = thresholds.join(levels, list(keys)).withColumn("_rank", passed("threshold")).drop("_levels")
+    attack = F.col("_step") >= F.col("_rank")
+    none = F.lit(0).cast("long")
+    counted = ranked.join(steps, list(keys)).groupBy(*keys, *named).agg(
+        F.sum(F.when(attack, F.col("_pos")).otherwise(none)).alias("tp"),
+        F.sum(F.when(attack, F.col("_neg")).otherwise(none)).alias("fp"),
+        F.sum(F.when(attack, none).otherwise(F.col("_neg"))).alias("tn"),
+        F.sum(F.when(attack, none).otherwise(F.col("_pos"))).alias("fn"),
     )
     return counted.withColumns(confusion_metrics(*[F.col(c) for c in ("tp", "fp", "tn", "fn")]))
 
@@ -161,14 +177,20 @@ def exact_quantiles(
     tallied = tallied.withColumnRenamed("_n", "tally")
     ranked = prefix_sums(tallied, keys, [value], {"upto": "tally"}, {counts: "tally"})
     wanted = F.array(*[F.struct(F.lit(float(q)).alias("quantile")) for q in quantiles])
-    spread = ranked.select("*", F.inline(wanted))
-    at = F.col("quantile") * (F.col(counts) - 1)
-    low, high = F.floor(at), F.ceil(at)
+
+    def rank_of(quantile: Column) -> Column:
+        return quantile * (F.col(counts) - 1)
 
     def holds(rank: Column) -> Column:
         return (rank >= F.col("upto") - F.col("tally")) & (rank < F.col("upto"))
 
-    found = spread.filter(holds(low) | holds(high)).groupBy(*keys, "quantile", counts).agg(
+    # a value gets rows for the ranks that it holds only
+    held = F.filter(wanted, lambda w: holds(F.floor(rank_of(w["quantile"]))) | holds(F.ceil(rank_of(w["quantile"]))))
+    spread = ranked.select("*", F.inline(held))
+    at = rank_of(F.col("quantile"))
+    low, high = F.floor(at), F.ceil(at)
+
+    found = spread.groupBy(*keys, "quantile", counts).agg(
         F.max(F.when(holds(low), F.col(value))).alias("_low"), F.max(F.when(holds(high), F.col(value))).alias("_high")
     )
     between = F.col("_low") + (F.col("_high") - F.col("_low")) * (at - low)
