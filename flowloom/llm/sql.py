@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = r"[ \t\n\x0B\f\r]+"
 
@@ -135,3 +137,44 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
   sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
 """
+
+
+def licenses(phrases: Iterable[tuple[str, str]], templates: Iterable[tuple[str, str]]) -> str:
+    """Base places and diagonals of the given phrases and templates, three-word runs as text."""
+    named = [(n, label, text.split(), phrase) for n, (text, label, phrase) in enumerate([(t, k, True) for t, k in phrases] + [(t, k, False) for k, t in templates])]
+    rows = ", ".join(
+        f"({n}, {at}, '{' '.join(words[at : at + 3])}', '{label}', {len(words)}, {phrase})" for n, label, words, phrase in named for at in range(len(words) - 2)
+    )
+    return f"""
+WITH positions(template, place, gram, label, size, phrase) AS (VALUES {rows}
+), docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_words("text")} AS words FROM documents
+), grams AS (
+  SELECT rid, pos - 1 AS pos, array_to_string(words[pos:pos + 2], ' ') AS gram
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS pos FROM docs WHERE len(words) >= 3)
+), votes AS (
+  SELECT DISTINCT rid, template, label, size, phrase, pos - place AS diagonal, place FROM grams JOIN positions USING (gram)
+), places AS (
+  SELECT rid, label, diagonal AS start FROM votes WHERE phrase GROUP BY rid, template, label, size, diagonal HAVING count(*) = size - 2
+), base AS (
+  SELECT rid, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word FROM places GROUP BY rid
+), diagonals AS (
+  SELECT rid, template, diagonal, CASE WHEN diagonal - lag(diagonal) OVER own > 4 THEN 1 ELSE 0 END AS fresh
+  FROM (SELECT DISTINCT rid, template, diagonal FROM votes WHERE NOT phrase) WINDOW own AS (PARTITION BY rid, template ORDER BY diagonal)
+), runs AS (
+  SELECT rid, template, diagonal, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) AS run FROM diagonals
+), spans AS (
+  SELECT rid, label, size, count(DISTINCT place + k) / size AS cover, max(diagonal + place + 3) - min(diagonal + place) AS length
+  FROM votes JOIN runs USING (rid, template, diagonal), range(3) AS covered(k) WHERE NOT phrase GROUP BY rid, template, label, size, run
+), labelled AS (
+  SELECT rid, label, true AS base FROM places UNION SELECT rid, label, false FROM spans WHERE cover >= 0.8 AND length <= 1.25 * size + 4
+), joined AS (
+  SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM labelled GROUP BY rid
+), best AS (
+  SELECT rid, max(cover) AS cover FROM spans GROUP BY rid
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(cover, 0.0) END::DOUBLE AS score
+FROM docs LEFT JOIN base USING (rid) LEFT JOIN joined USING (rid) LEFT JOIN best USING (rid)
+"""
