@@ -220,4 +220,5 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     found = groups(written.select(F.col(mark).alias("print"), order.alias("order")), F.col("order"))
     first = materialize(found.select(F.col("component.row").alias(row)).distinct(), "first-rows")
-    return written.join(first, row, "left_semi").select(*docs.columns)
+    # the kept rows grow with the documents: shuffled at every size, not broadcast while they are few
+    return written.join(first.hint("merge"), row, "left_semi").select(*docs.columns)
