@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.catalog.common import CONFIG, holdout_flows, once, q6, query, r6_all, table, train_flows
+from flowloom.functions.scalar import client_base
 from flowloom.operators import federated as fed
 from flowloom.operators import reconstruct as rec
 from flowloom.operators.features import fit_encoder
@@ -222,6 +223,25 @@ def held_out_eval(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+SHARDS = 2
+
+
+@query("federated_shards")
+def federated_shards(spark, sf):
+    """Every silo in two clients: their rounds, and every client on the holdout of its silo."""
+    from flowloom.operators import evaluate as ev
+
+    ready = plan.prepare_clients(train_flows(spark, sf), CONFIG, SHARDS)
+    result = plan.federated_fit(ready.train_gram, ready.val_gram, ready.weights, CONFIG.context, plan.FederatedConfig(rounds=2, mode="fedbn"))
+    coefficients = materialize(plan.federated_coefficients(result.parameters, result.private, ready.weights, CONFIG.context), "coefficients")
+    edges = training.encoded_windows(holdout_flows(spark, sf), ready.encoder, CONFIG, shared=False)
+    # every flow is scored by each client of its silo, as the evaluation asks for
+    clients = ready.weights.select(F.col("client").alias("model"), client_base(F.col("client")).alias("silo"))
+    edges = edges.drop("model").join(clients, "silo")
+    found = ev.metrics(rec.score_flows(edges, coefficients, CONFIG.context).select(F.col("model").alias("client"), "score", "label"), ["client"])
+    return found.join(ready.weights, "client")
+
+
 def _holdout_metrics(spark, sf, ready, coefficients):
     from flowloom.operators import evaluate as ev
 

@@ -64,6 +64,23 @@ def iid_shards(windows: DataFrame, keys: Sequence[str], shards: int = 4, seed: i
     return ranked.select(*keys, "window_id", shard.alias("shard"))
 
 
+def shard_cuts(windows: DataFrame, keys: Sequence[str], shards: int, seed: int = 42) -> DataFrame:
+    """(keys, shard_ends): the last windows of all shards but the last one, in hash order."""
+    ranked = _ranked(windows, keys, window_hash(seed, keys))
+    ends = F.array(*[F.expr(f"{k} * n_windows div {shards}") for k in range(1, shards)])
+    last = ranked.filter(F.array_contains(ends, F.col("rank") + 1))
+    ends = F.sort_array(F.collect_list(F.struct("hash", "window_id"))).alias("shard_ends")
+    return materialize(last.groupBy(*keys).agg(ends), "shards")
+
+
+def shard_flows(windowed: DataFrame, cuts: DataFrame, keys: Sequence[str], seed: int = 42) -> DataFrame:
+    """Add the `shard` of `iid_shards` to windowed flows, by comparing with one row per key."""
+    here = F.struct(window_hash(seed, keys).alias("hash"), F.col("window_id").alias("window_id"))
+    joined = windowed.join(cuts, list(keys), "left").withColumn("_here", here)
+    before = F.size(F.filter(F.coalesce("shard_ends", F.array().cast(cuts.schema["shard_ends"].dataType)), lambda end: end < F.col("_here")))
+    return joined.withColumn("shard", before).drop("shard_ends", "_here")
+
+
 def leave_one_out(silos: DataFrame) -> DataFrame:
     """(held_out, client): all folds of a list of silos; the list is metadata-sized."""
     listed = silos.groupBy(F.lit(1).alias("one")).agg(F.collect_list("silo").alias("silos"))

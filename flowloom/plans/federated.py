@@ -21,6 +21,8 @@ from flowloom.operators import federated as fed
 from flowloom.operators import reconstruct as rec
 from flowloom.operators.context import ContextSpec
 from flowloom.operators.features import fit_encoder
+from flowloom.operators.split import shard_cuts, shard_flows
+from flowloom.operators.windows import window_list
 from flowloom.plans.training import RunConfig, training_part, window_cuts
 from flowloom.stage import materialize, task_count
 
@@ -303,24 +305,30 @@ class Clients:
     weights: DataFrame
 
 
-def prepare_clients(flows: DataFrame, cfg: RunConfig) -> Clients:
-    """Every silo fits its own scaler and vocabularies, filled to one width; nothing is pooled."""
+def prepare_clients(flows: DataFrame, cfg: RunConfig, shards: int = 1) -> Clients:
+    """Every silo fits its own scaler and vocabularies, filled to one width; nothing is pooled.
+
+    With `shards`, a silo's windows are dealt to clients '<silo>#<k>', which share its encoder.
+    """
     keyed = flows.withColumn("enc", F.col("silo"))
     encoder = materialize(fit_encoder(keyed, cfg.features, ["enc"], padded=True), "encoder")
 
     cuts = window_cuts(flows, cfg)
+    sizes = flows.groupBy("silo").agg(F.max("n_rows").alias("n_rows"))
+    if shards > 1:
+        # another seed than the split's: else the last shard would hold all validation windows
+        ends = shard_cuts(window_list(sizes, ["silo"], cfg.window, cfg.step), ["silo"], shards, cfg.seed + 1)
 
     def sums(part: str) -> DataFrame:
         edges = training_part(flows, encoder, cuts, cfg, False, part)
+        if shards > 1:
+            named = F.concat_ws("#", "silo", "shard")
+            edges = shard_flows(edges, ends, ["silo"], cfg.seed + 1).withColumn("model", named).drop("shard")
         gram = rec.gram_sums(edges, cfg.context, "model")
         return materialize(gram.withColumnRenamed("model", "client"), "gram")
 
-    sizes = flows.groupBy("silo").agg(F.max("n_rows").alias("n_rows"))
-    windows = F.expr(f"(n_rows - {cfg.window}) div {cfg.step} + 1")
-    weights = sizes.filter(F.col("n_rows") >= cfg.window).select(
-        F.col("silo").alias("client"), F.floor(windows * F.lit(cfg.train_ratio)).alias("weight")
-    )
-    weights = materialize(weights, "weights")
     train, val = sums("train"), sums("val")
+    flows_of = train.filter("i = 0 and j = 0")
+    weights = materialize(flows_of.select("client", F.round(F.col("value") / cfg.window).cast("long").alias("weight")), "weights")
     penalties = materialize(own_penalties(train, val, cfg.context), "penalties")
     return Clients(encoder, materialize(train.join(penalties, "client"), "gram"), val, weights)

@@ -262,3 +262,28 @@ def test_joint_basis_fits_no_worse_than_its_start(gram):
     parts = {k: rec.gram_matrix(p) for k, p in gram.toPandas().groupby("model")}
     total = [sum(rec.squared_error(parts[s], m[s]) for s in parts) for m in (start, joint)]
     assert total[1] < total[0]
+
+
+def test_shards_are_clients(spark, sf):
+    """Shards split the windows of their silo and add up to its sums."""
+    one = plan.prepare_clients(C.train_flows(spark, sf), C.CONFIG)
+    two = plan.prepare_clients(C.train_flows(spark, sf), C.CONFIG, 2)
+    weights = {r.client: r.weight for r in two.weights.collect()}
+    assert sorted(weights) == [f"{s}#{k}" for s in "ANR" for k in (0, 1)]
+    for r in one.weights.collect():
+        assert weights[f"{r.client}#0"] + weights[f"{r.client}#1"] == r.weight
+    whole = {(r.client, r.i, r.j): r.value for r in one.train_gram.collect()}
+    parts = two.train_gram.groupBy(F.substring("client", 1, 1).alias("c"), "i", "j").agg(F.sum("value").alias("v")).collect()
+    assert len(parts) == len(whole)
+    assert all(r.v == pytest.approx(whole[r.c, r.i, r.j], rel=1e-9, abs=1e-9) for r in parts)
+
+
+def test_shards_by_cuts_equal_the_listed_shards(spark, sf):
+    from flowloom.operators.split import iid_shards, shard_cuts, shard_flows
+    from flowloom.operators.windows import window_list
+
+    sizes = C.train_flows(spark, sf).groupBy("silo").agg(F.max("n_rows").alias("n_rows"))
+    windows = window_list(sizes, ["silo"], 100, 100)
+    want = {(r.silo, r.window_id): r.shard for r in iid_shards(windows, ["silo"], 3).collect()}
+    got = {(r.silo, r.window_id): r.shard for r in shard_flows(windows, shard_cuts(windows, ["silo"], 3), ["silo"]).collect()}
+    assert got == want
