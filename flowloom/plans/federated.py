@@ -65,6 +65,11 @@ class FederatedResult:
     norms: DataFrame
 
 
+def _nothing(*columns: str) -> pd.DataFrame:
+    """No rows; columns of objects become Arrow columns of any type."""
+    return pd.DataFrame(columns=list(columns), dtype=object)
+
+
 def _vectors(rows: pd.DataFrame) -> dict[str, np.ndarray]:
     return {k: p.sort_values("pos")["value"].to_numpy() for k, p in rows.groupby("key")}
 
@@ -107,7 +112,7 @@ def own_penalties(train_gram: DataFrame, val_gram: DataFrame, spec: ContextSpec)
 
     def run(cells: pd.DataFrame, checks: pd.DataFrame) -> pd.DataFrame:
         if cells.empty:
-            return pd.DataFrame({"client": [], "penalty": []})
+            return _nothing("client", "penalty")
         best = PENALTIES[-1]
         if len(checks):
             gram, other = rec.gram_matrix(cells), rec.gram_matrix(checks)
@@ -188,7 +193,7 @@ def _with_private(rows: DataFrame, private: DataFrame | None, run) -> DataFrame:
         return grouped.applyInPandas(lambda own: run(own, {}), PARAMETERS)
 
     def both(own: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
-        return run(own, _vectors(kept)) if len(own) else pd.DataFrame({"client": [], "key": [], "pos": [], "value": []})
+        return run(own, _vectors(kept)) if len(own) else _nothing("client", "key", "pos", "value")
 
     return grouped.cogroup(_by_client(private)).applyInPandas(both, PARAMETERS)
 
@@ -278,7 +283,7 @@ def federated_coefficients(shared: DataFrame, private: DataFrame | None, clients
         return named.applyInPandas(lambda c: rows_of(str(c["client"].iloc[0]), {}), rec.COEFFICIENTS)
 
     def both(c: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
-        return rows_of(str(c["client"].iloc[0]), _vectors(kept)) if len(c) else pd.DataFrame({"model": [], "i": [], "coef": []})
+        return rows_of(str(c["client"].iloc[0]), _vectors(kept)) if len(c) else _nothing("model", "i", "coef")
 
     return named.cogroup(_by_client(private)).applyInPandas(both, rec.COEFFICIENTS)
 
