@@ -5,12 +5,15 @@ and hashed.  Per host, the documents that hold a line are counted; lines above t
 are removed, and a document of which too little is left is rejected.
 
 A document that was copied ought to count once, else the lines of a page with a thousand
-near copies would look like boilerplate and all copies would go.  So equal texts count
-once, and near copies are told from different documents that share a line by what stands
-beside the line: every holder of the line is labelled with its smallest (largest) other
-line hash, which near copies mostly share and different documents do not.  With n_i
-different texts for label i, the number of documents is (sum n_i)^2 / sum n_i^2, the
-larger one of the two labellings.
+near copies would look like boilerplate and all copies would go.  A document is told by its
+own lines: those that are not, whole or by their first or second half, on more documents
+of the host than the limit (the halves find lines in which a word was changed).
+- With own lines that make up more than a tenth of its words, or two or more that make up
+  at least a twentieth, it is labelled with its smallest (largest) own line hash.
+- With less it is a near copy or has shared lines only: it is labelled with the rarest
+  shared line that it holds, which near copies of one page mostly have in common.
+The number of documents that hold a line is the number of different labels, the larger one
+of the two labellings.  Documents that differ in less than this are one document.
 
 Defined results: null and empty texts have no words and fail the base rule; a null host
 is a host of its own; repeated rows get the same figures each; an empty table gives an
@@ -33,6 +36,8 @@ from flowloom.stage import materialize
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
+#: Least number of words in half a line that is looked up.
+HALF = 3
 _FOLD = bytes(0x30 if 0x30 <= b <= 0x39 else b for b in LOWER_ASCII)
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -56,6 +61,15 @@ def line_hash(normal: bytes) -> int:
     return int.from_bytes(md5(normal).digest()[:8], "big") >> 1
 
 
+def half_hashes(normal: bytes) -> tuple[int | None, int | None]:
+    """Hashes of the first and the second half of a line, none if a half has fewer than HALF words."""
+    words = normal.split(b" ")
+    if len(words) < 2 * HALF:
+        return None, None
+    middle = len(words) // 2
+    return line_hash(b"<" + b" ".join(words[:middle])), line_hash(b">" + b" ".join(words[middle:]))
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words that stand in a five-word window found twice or more."""
     n = len(words) - 4
@@ -100,25 +114,25 @@ _FIGURES = pa.schema(
         ("row", pa.int64()), ("doc_id", pa.int64()), ("host", pa.string()), ("text_key", pa.string()),
         ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()),
         ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()),
-        ("low", pa.int64()), ("low_next", pa.int64()), ("high", pa.int64()), ("high_next", pa.int64()),
-        ("lines", pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))),
+        ("lines", pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64()), ("head", pa.int64()), ("tail", pa.int64())]))),
     ]
 )
 
 
 def _figures() -> Callable[[pa.RecordBatch], list]:
     def work(batch: pa.RecordBatch) -> list:
-        out: list[list] = [[] for _ in range(11)]
+        out: list[list] = [[] for _ in range(7)]
         for text in batch.column(3).to_pylist():
-            counts: dict[int, int] = {}
+            lines: dict[int, dict] = {}
             for line in text.split(b"\n"):
                 normal = normal_line(line)
                 if normal:
                     key = line_hash(normal)
-                    counts[key] = counts.get(key, 0) + normal.count(b" ") + 1
-            order = sorted(counts)
-            ends = [order[k] if -len(order) <= k < len(order) else None for k in (0, 1, -1, -2)]
-            row = (md5(text).hexdigest(), *base_figures(text), *ends, [{"line": k, "words": v} for k, v in counts.items()])
+                    if key not in lines:
+                        head, tail = half_hashes(normal)
+                        lines[key] = {"line": key, "words": 0, "head": head, "tail": tail}
+                    lines[key]["words"] += normal.count(b" ") + 1
+            row = (md5(text).hexdigest(), *base_figures(text), [*lines.values()])
             for column, value in zip(out, row, strict=True):
                 column.append(value)
         return [*batch.columns[:3], *out]
@@ -127,7 +141,7 @@ def _figures() -> Callable[[pa.RecordBatch], list]:
 
 
 def figures(docs: DataFrame, host: str = "source") -> DataFrame:
-    """One row per document, written: base figures, line hashes with their words, extreme line hashes."""
+    """One row per document, written: base figures, hashes of lines and half lines, words of the lines."""
     slim = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -141,24 +155,24 @@ def frequent_lines(facts: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(host, line) of the lines above the limit, written."""
     hosts = facts.groupBy("host").agg(F.count("*").alias("docs"))
     hosts = materialize(hosts.select("host", F.greatest(F.lit(float(limits.min_docs)), F.col("docs") * limits.host_percent / 100).alias("limit")), "quality-hosts")
-    lines = facts.select("host", "text_key", "low", "low_next", "high", "high_next", F.explode("lines.line").alias("line"))
+    lines = facts.select("row", "host", F.explode("lines").alias("at"))
+    keys = F.explode(F.array_compact(F.array("at.line", "at.head", "at.tail"))).alias("key")
+    keyed = lines.select("row", "host", F.col("at.line").alias("line"), F.col("at.words").alias("words"), keys)
     # the count with all copies is never below the number of documents, so few lines are looked at closely
-    often = lines.groupBy("host", "line").agg(F.count("*").alias("holders"))
-    often = materialize(often.join(hosts, "host").filter("holders > limit").select("host", "line", "limit"), "quality-often")
-    held = lines.join(often, ["host", "line"]).select(
-        "host", "line", "limit", "text_key",
-        F.when(F.col("line") == F.col("low"), F.col("low_next")).otherwise(F.col("low")).alias("low"),
-        F.when(F.col("line") == F.col("high"), F.col("high_next")).otherwise(F.col("high")).alias("high"),
-    )
-    held = materialize(held.distinct(), "quality-held")
-    total = F.sum("n").cast("double")
-    sides = [
-        held.groupBy("host", "line", "limit", side).agg(F.count("*").alias("n"))
-        .groupBy("host", "line", "limit")
-        .agg((total * total / F.sum(F.col("n").cast("double") * F.col("n"))).alias("docs"))
-        for side in ("low", "high")
-    ]
-    above = sides[0].unionByName(sides[1]).filter("docs > limit")
+    often = keyed.groupBy("host", "key").agg(F.count("*").alias("holders"))
+    often = materialize(often.join(hosts, "host").filter("holders > limit").select("host", "key", "limit", "holders"), "quality-often")
+    hits = materialize(keyed.join(often, ["host", "key"]), "quality-hits")
+
+    shared = hits.groupBy("row").agg(F.min(F.struct("holders", "key")).alias("rarest"), F.collect_set("line").alias("shared"))
+    own = F.filter("lines", lambda x: ~F.array_contains("shared", x["line"]))
+    words = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda n, x: n + x["words"])
+    told = facts.join(shared, "row").withColumn("own", own).select("row", "rarest", "own", words("own").alias("own_words"), words("lines").alias("words"))
+    rich = (10 * F.col("own_words") > F.col("words")) | ((F.size("own") > 1) & (20 * F.col("own_words") >= F.col("words")))
+    sides = {side: F.when(rich, F.struct(F.lit(0).cast("long").alias("holders"), end("own.line").alias("key"))).otherwise(F.col("rarest")).alias(side) for side, end in (("low", F.array_min), ("high", F.array_max))}
+    told = told.select("row", *sides.values())
+    held = materialize(hits.filter("key = line").join(told, "row").select("host", "line", "limit", "low", "high").distinct(), "quality-held")
+    counts = [held.groupBy("host", "line", "limit").agg(F.countDistinct(side).alias("docs")) for side in ("low", "high")]
+    above = counts[0].unionByName(counts[1]).filter("docs > limit")
     return materialize(above.select("host", "line").distinct(), "quality-lines")
 
 

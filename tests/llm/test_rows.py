@@ -61,6 +61,28 @@ def test_shared_lines_go_but_copies_stay(make):
     assert kept[101].text == f"{line(0)}\n{line(60)}" and kept[101].asDict().keys() == set(docs.columns)
 
 
+@pytest.mark.parametrize("shared, own", [(1, 3), (2, 1), (3, 1), (5, 3), (8, 2), (20, 2), (20, 3), (2, 20)])
+def test_boilerplate_of_several_lines_goes(make, shared, own):
+    """Every shared line of 30 different documents goes, however many stand together and however few are their own."""
+    texts = ["\n".join([*(line(j) for j in range(shared)), *(line(30 + own * k + j) for j in range(own))]) for k in range(30)]
+    found = quality_rules.quality_rules(make([(k, t, "en", "a") for k, t in enumerate(texts)])).collect()
+    assert {r.removed_words for r in found} == {8 * shared}
+    copied = quality_rules.quality_rules(make([(k, t, "en", "a") for k, t in enumerate([texts[0]] * 60)])).collect()
+    assert {r.removed_words for r in copied} == {0}
+
+
+def test_near_copies_with_a_changed_word_stay(make):
+    """60 near copies of a page of six lines, with a word of one line changed, are one document."""
+    body = [line(k) for k in range(6)]
+    texts = []
+    for k in range(60):
+        words = body[k % 6].split()
+        words[k % 8] = f"x{chr(97 + k % 26)}{chr(97 + k // 26)}"
+        texts.append("\n".join([*body[: k % 6], " ".join(words), *body[k % 6 + 1 :]]))
+    found = quality_rules.quality_rules(make([(k, t, "en", "a") for k, t in enumerate(texts)])).collect()
+    assert {r.removed_words for r in found} == {0}
+
+
 def test_quality_of_repeated_and_empty_tables(make, nothing):
     rows = [(1, line(1) + " more words", "en", None)] * 3
     assert quality_rules.clean(make(rows)).count() == 3
