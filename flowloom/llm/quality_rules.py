@@ -1,8 +1,8 @@
 """Quality rules: base figures of every text, and lines that too many documents of one host share.
 
 Method: every line is normalised (A-Z lower-cased, digits to 0, runs of blanks to one)
-and hashed.  Per host, the documents that hold a line are counted; lines above the limit
-are removed, and a document of which too little is left is rejected.
+and hashed.  Per host, the different documents that hold a line are counted; lines above
+the limit (an absolute number, so that copies and the size of a host do not move it) are removed, and a document of which too little is left is rejected.
 
 A document that was copied ought to count once, else the lines of a page with a thousand
 near copies would look like boilerplate and all copies would go.  A document is told by its
@@ -46,9 +46,8 @@ _SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 class Limits:
     min_words: int = 10
     repeat_percent: int = 20
-    #: A line is removed if more documents of its host hold it than both of these.
-    min_docs: int = 10
-    host_percent: int = 1
+    #: A line is removed if more documents of its host hold it, the same number for a host of any size.
+    most_docs: int = 10
     #: A document is rejected if fewer of its words are left.
     left_percent: int = 30
 
@@ -153,14 +152,12 @@ def figures(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def frequent_lines(facts: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(host, line) of the lines above the limit, written."""
-    hosts = facts.groupBy("host").agg(F.count("*").alias("docs"))
-    hosts = materialize(hosts.select("host", F.greatest(F.lit(float(limits.min_docs)), F.col("docs") * limits.host_percent / 100).alias("limit")), "quality-hosts")
     lines = facts.select("row", "host", F.explode("lines").alias("at"))
     keys = F.explode(F.array_compact(F.array("at.line", "at.head", "at.tail"))).alias("key")
     keyed = lines.select("row", "host", F.col("at.line").alias("line"), F.col("at.words").alias("words"), keys)
     # the count with all copies is never below the number of documents, so few lines are looked at closely
     often = keyed.groupBy("host", "key").agg(F.count("*").alias("holders"))
-    often = materialize(often.join(hosts, "host").filter("holders > limit").select("host", "key", "limit", "holders"), "quality-often")
+    often = materialize(often.filter(F.col("holders") > limits.most_docs), "quality-often")
     hits = materialize(keyed.join(often, ["host", "key"]), "quality-hits")
 
     shared = hits.groupBy("row").agg(F.min(F.struct("holders", "key")).alias("rarest"), F.collect_set("line").alias("shared"))
@@ -170,9 +167,9 @@ def frequent_lines(facts: DataFrame, limits: Limits = Limits()) -> DataFrame:
     rich = (10 * F.col("own_words") > F.col("words")) | ((F.size("own") > 1) & (20 * F.col("own_words") >= F.col("words")))
     sides = {side: F.when(rich, F.struct(F.lit(0).cast("long").alias("holders"), end("own.line").alias("key"))).otherwise(F.col("rarest")).alias(side) for side, end in (("low", F.array_min), ("high", F.array_max))}
     told = told.select("row", *sides.values())
-    held = materialize(hits.filter("key = line").join(told, "row").select("host", "line", "limit", "low", "high").distinct(), "quality-held")
-    counts = [held.groupBy("host", "line", "limit").agg(F.countDistinct(side).alias("docs")) for side in ("low", "high")]
-    above = counts[0].unionByName(counts[1]).filter("docs > limit")
+    held = materialize(hits.filter("key = line").join(told, "row").select("host", "line", "low", "high").distinct(), "quality-held")
+    counts = [held.groupBy("host", "line").agg(F.countDistinct(side).alias("docs")) for side in ("low", "high")]
+    above = counts[0].unionByName(counts[1]).filter(F.col("docs") > limits.most_docs)
     return materialize(above.select("host", "line").distinct(), "quality-lines")
 
 

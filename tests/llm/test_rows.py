@@ -71,6 +71,14 @@ def test_boilerplate_of_several_lines_goes(make, shared, own):
     assert {r.removed_words for r in copied} == {0}
 
 
+def test_boilerplate_of_small_and_hot_hosts(make):
+    """The same line on 12 documents goes from a small host and from one with 2,000 more rows, copies among them."""
+    rows = [(k, f"{line(0)}\n{line(k + 1)}", "en", host) for host in ("small", "hot") for k in range(12)]
+    rows += [(k, f"{line(100)}\n{line(101)}" if k % 2 else f"text {k}", "en", "hot") for k in range(100, 2100)]
+    found = quality_rules.quality_rules(make(rows)).collect()
+    assert sum(r.removed_words == 8 for r in found) == 24 and sum(r.removed_words == 0 for r in found) == 2000
+
+
 def test_near_copies_with_a_changed_word_stay(make):
     """60 near copies of a page of six lines, with a word of one line changed, are one document."""
     body = [line(k) for k in range(6)]
