@@ -10,7 +10,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from flowloom.llm import pii
+from flowloom.llm import near_copies, pii
 from flowloom.llm.queries import QUERIES
 
 
@@ -60,3 +60,28 @@ def test_pipeline(spark, make, tmp_path):
 
 def test_one_query_for_each_operator():
     assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
+
+
+def test_near_copies_of_similarity_above_the_rule_go(spark, make, nothing):
+    """Changed copies at a five-word Jaccard of 0.8 and more go; texts below, and near copies in a large group, are told right."""
+    rng = random.Random(13)
+
+    def changed(words, n):
+        out = list(words)
+        for at in range(n):
+            out[(at + 1) * len(out) // (n + 1)] = f"x{rng.randrange(10**6)}"
+        return " ".join(out)
+
+    rows, expected = [], []
+    for size, n, alike in [(300, 1, True), (300, 4, True), (150, 2, True), (1000, 4, True), (300, 20, False), (100, 10, False)]:
+        for _ in range(10):
+            words = [f"w{rng.randrange(5000)}" for _ in range(size)]
+            expected += [len(rows)] if alike else [len(rows), len(rows) + 1]
+            rows += [" ".join(words), changed(words, n)]
+    expected.append(len(rows))
+    words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows += [changed(words, 2) for _ in range(80)]  # one key with more than PAIRED texts
+    found = near_copies.first_of_groups(make([(k, t, "en", "a") for k, t in enumerate(rows)])).collect()
+    assert sorted(r.doc_id for r in found) == expected
+    assert near_copies.first_of_groups(nothing).count() == 0
+    assert near_copies.first_of_groups(make([(1, None, None, None), (None, "", "en", "a")])).count() == 1
