@@ -3,8 +3,8 @@
 Method: a chain of transducers rewrites disguises: look-alike letters and digits, hidden
 characters, spelled digits, and "at"/"dot" in place of the signs.  Each keeps a map from
 the places of its output to those of its input.  The same detectors run on the rewritten
-text, and their spans are mapped back to source characters.  Spans that overlap a base
-span are dropped: base spans always stay.
+text, and their spans are mapped back to source characters.  Base spans always stay; a
+span that overlaps one is dropped unless it is a longer one of the same kind around it.
 
 Defined results: null and empty texts have no spans; digests are those of the empty list;
 repeated rows get equal results.  All detectors are linear in the length of the text.
@@ -13,7 +13,7 @@ repeated rows get equal results.  All detectors are linear in the length of the
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
@@ -110,13 +110,14 @@ _SPELLED_PART = re.compile(rf"(?:{_NUMBER}|dot|point|plus)|[ ,.-]+", re.I)
 _BRACKETED = re.compile(r"\s?[\[({<]\s?(at|dot|punkt|punto|point)\s?[\])}>]\s?", re.I)
 # Last labels that make a worded address credible.
 _ENDINGS = "com|org|net|edu|gov|info|biz|io|dev|co|uk|us|ca|eu|de|fr|es|it|nl|be|ch|at|pt|pl|se|br|in|jp|ru"
-#: A name (also with dots), the word at, and labels with the word dot between.
-_WORDED = re.compile(
-    r"(?<![\w.%+-])(?:[A-Za-z0-9_%+-]+ dot )*[A-Za-z0-9._%+-]+ at [A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)* dot "
-    rf"(?:{_ENDINGS})(?![\w-])",
-    re.I,
-)
-_WORDED_SIGN = re.compile(r" (at|dot) ", re.I)
+_END = re.compile(rf"(?:{_ENDINGS})\Z", re.I)
+_OPEN, _CLOSE = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
+#: Each sign in any form: in brackets, as a word, or itself.
+_AT = re.compile(rf"(?P<hidden>{_OPEN}at{_CLOSE})|(?P<word> at )|@", re.I)
+_DOT = re.compile(rf"(?P<hidden>{_OPEN}(?:dot|punkt|punto|point){_CLOSE})|(?P<word> dot )|\.", re.I)
+_LABEL = re.compile(r"[A-Za-z0-9-]++")
+#: The local part read backwards from the sign; its dots may be disguised as well.
+_BACKWARDS = re.compile(r"[A-Za-z0-9._%+-]++(?:(?:\s?[\])}>]\s?(?:tod|tknup|otnup|tniop)\s?[\[({<]\s?| tod )[A-Za-z0-9._%+-]++)*+", re.I)
 
 
 class Rewritten:
@@ -182,16 +183,43 @@ def write_digits(given: Rewritten) -> Rewritten:
     return given.then(edits)
 
 
+def _domain(text: str, at: re.Match) -> tuple[int, list[tuple[int, int, str]]] | None:
+    """End and edits of the longest credible domain behind a sign.
+
+    A worded at needs a disguised dot, and it or a worded last dot needs a known last label.
+    """
+    label = _LABEL.match(text, at.end())
+    edits: list[tuple[int, int, str]] = []
+    best = None
+    while label and (dot := _DOT.match(text, label.end())) and (label := _LABEL.match(text, dot.end())):
+        if dot.lastgroup:
+            edits.append((dot.start(), dot.end(), "."))
+        worded = at.lastgroup == "word"
+        whole = not text[label.end() : label.end() + 1].isalnum() and text[label.end() : label.end() + 1] != "_"
+        known = whole and _END.match(label[0])
+        if (edits or not worded) and (known or not (worded or dot.lastgroup == "word")):
+            best = label.end(), edits[:]
+    return best
+
+
 def write_signs(given: Rewritten) -> Rewritten:
-    signs = {"at": "@"}
-    edits = [(m.start(), m.end(), signs.get(m[1].lower(), ".")) for m in _BRACKETED.finditer(given.text)]
-    given = given.then(edits)
-    if " dot " not in given.text.lower():
-        return given
-    edits = []
-    for run in _WORDED.finditer(given.text):
-        edits += [(m.start(), m.end(), signs.get(m[1].lower(), ".")) for m in _WORDED_SIGN.finditer(given.text, run.start(), run.end())]
-    return given.then(edits)
+    """Signs of addresses in any mixture of forms, and all other signs in brackets."""
+    text = given.text
+    edits: list[tuple[int, int, str]] = []
+    last = 0
+    for at in _AT.finditer(text):
+        before, last = last, at.end()
+        domain = _domain(text, at)
+        local = _BACKWARDS.match(text[before : at.start()][::-1]) if domain else None
+        if not local:
+            continue
+        first = at.start() - local.end()
+        edits += [(m.start(), m.end(), ".") for m in _DOT.finditer(text, first, at.start()) if m.lastgroup]
+        edits += [(at.start(), at.end(), "@")] * bool(at.lastgroup) + domain[1]
+        last = domain[0]
+    taken = {a for a, _, _ in edits}
+    edits += [(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _BRACKETED.finditer(text) if m.start() not in taken]
+    return given.then(sorted(edits))
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
@@ -206,11 +234,14 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     ends: list[int] = []
     for _, b in taken:
         ends.append(max(b, ends[-1] if ends else b))
+    own = {kind: [(a, b) for k, a, b in base if k == kind] for kind in KINDS}
     more = []
     for kind, a, b in base_spans(seen.text):
         a, b = seen.back(a, b)
         before = bisect_right(starts, b - 1)
-        if not before or ends[before - 1] <= a:
+        within = bisect_left(own[kind], (a, 0))
+        longer = within < len(own[kind]) and own[kind][within][1] <= b and own[kind][within] != (a, b)
+        if longer or not before or ends[before - 1] <= a:
             more.append((kind, a, b))
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -163,6 +163,29 @@ def test_disguises_are_mapped_back(text, kind, source):
     assert [(k, text[a:b]) for k, a, b in every] == [(kind, source)]
 
 
+@pytest.mark.parametrize(
+    "text, masked",
+    [
+        ("ask john [at] example dot com now", "ask [email] now"),
+        ("ask john at example (dot) com now", "ask [email] now"),
+        ("ask jane dot doe (at) mail [dot] example dot org now", "ask [email] now"),
+        ("ask john@example dot com now", "ask [email] now"),
+        ("ask john [dot] smith@example.com now", "ask [email] now"),
+        ("ask john [dot] smith at example dot com now", "ask [email] now"),
+        ("call +1 444 555 498４ now", "call [phone] now"),
+        ("look at example.com and a@b.org now", "look at example.com and [email] now"),
+    ],
+)
+def test_mixed_disguises_are_found_and_masked_whole(text, masked):
+    base, every = pii.find(text)
+    assert set(base) <= set(every) and pii.redact(text, every) == masked
+
+
+def test_mixed_signs_are_linear_on_long_runs():
+    for text in ["a dot " * 50_000, "a at " * 50_000, "a (dot) " * 40_000, "a at b dot " * 30_000, "a@b dot " * 30_000]:
+        pii.find(text)
+
+
 def test_prose_stays_clean():
     for text in ["We met at noon and one two three went home.", "look at this dot matrix printer", "un deux trois", "at dot at dot"]:
         assert pii.find(text) == ([], [])
