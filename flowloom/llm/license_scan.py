@@ -3,8 +3,12 @@
 Method: the hashes of all rolling word k-grams of the texts are joined with the positions
 of the k-grams of the templates.  A match votes for its diagonal, the offset between text
 and template; neighbouring diagonals of a template are merged, which bridges left-out and
-added words, and a merged span is accepted if it covers enough of the template without
-being much longer.  A phrase must be covered whole on a single diagonal.
+added words, and a merged span is a candidate if it covers enough of the template without
+being much longer.  It is verified by its telling words: the names of variants in the span
+(lesser, noncommercial, sharealike ...) must be those of the template, neither fewer nor
+more, and so must the version numbers if the template has any.  Of verified spans of
+different labels that overlap, the one with the best cover stays, of equals the one with
+the fewest inserted words.  A phrase must be covered whole on a single diagonal.
 
 The hash of a k-gram is the 64-bit hash of its words with blanks between, so equal hashes
 are taken as equal words (for 10^12 k-grams and 10^3 template positions the chance of one
@@ -17,9 +21,11 @@ label (empty string), score 0.  `template_rows` refuses more than MOST_POSITIONS
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +63,46 @@ TEMPLATES = (
 )
 
 
+# Words that tell the variants of a license apart, by one spelling each; a number behind "version" or "v" tells too.
+_TELLING = {"lesser": "lesser", "affero": "affero", "library": "lesser"} | {"noncommercial": "nc", "nc": "nc", "sharealike": "sa", "sa": "sa", "noderivatives": "nd", "noderivs": "nd", "nd": "nd"}
+_PAIRS = {"non commercial": "nc", "share alike": "sa", "no derivatives": "nd"}
+
+
+def tells(words: list[bytes]) -> list[tuple[int, str]]:
+    """(place, what it tells) of the telling words."""
+    plain = [w.decode("utf-8", "replace") for w in words]
+    found = []
+    for k, w in enumerate(plain):
+        before = plain[k - 1] if k else ""
+        if w == "library" and before != "gnu":  # "gnu library" is the older name of the lesser license
+            continue
+        if w in _TELLING:
+            found.append((k, _TELLING[w]))
+        elif f"{before} {w}" in _PAIRS:
+            found.append((k, _PAIRS[f"{before} {w}"]))
+        elif before in ("version", "v") and w.isdigit():
+            found.append((k, f"version {w}"))
+    return found
+
+
+def verified(spans: list[dict], telling: list[tuple[int, str]], wanted: dict[int, set[str]]) -> list[str]:
+    """Labels of the candidate spans that hold the telling words of their template and no others, the best of overlapping ones."""
+    right = []
+    places = [k for k, _ in telling]
+    for span in spans:
+        here = {what for _, what in telling[bisect_left(places, span["first"]) : bisect_left(places, span["end"])]}
+        own = wanted[span["template"]]
+        if not any(x.startswith("version") for x in own):
+            here = {x for x in here if not x.startswith("version")}
+        if here == own:
+            right.append(span)
+    kept: list[dict] = []
+    for span in sorted(right, key=lambda x: (-x["cover"], x["end"] - x["first"] - x["cover"] * x["size"], -x["size"], x["first"], x["template"])):
+        if all(k["label"] == span["label"] or k["end"] <= span["first"] or span["end"] <= k["first"] for k in kept):
+            kept.append(span)
+    return sorted({k["label"] for k in kept})
+
+
 def gram_hashes(words: list[bytes]) -> list[int]:
     from xxhash import xxh64_intdigest
 
@@ -82,7 +128,9 @@ def template_rows(phrases: Iterable[tuple[str, str]], templates: Iterable[tuple[
 
 
 _GRAMS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("grams", pa.list_(pa.int64()))])
-_WORDS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64())])
+_WORDS = pa.schema(
+    [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("tells", pa.list_(pa.struct([("at", pa.int64()), ("what", pa.string())])))]
+)
 
 
 def _hash_batch() -> Callable[[pa.RecordBatch], list]:
@@ -100,8 +148,8 @@ def _hash_batch() -> Callable[[pa.RecordBatch], list]:
 
 def _count_batch() -> Callable[[pa.RecordBatch], list]:
     def work(batch: pa.RecordBatch) -> list:
-        counts = [len(t.translate(PLAIN_WORDS).split()) for t in batch.column(2).to_pylist()]
-        return [batch.column(0), batch.column(1), counts]
+        words = [t.translate(PLAIN_WORDS).split() for t in batch.column(2).to_pylist()]
+        return [batch.column(0), batch.column(1), [len(w) for w in words], [[{"at": k, "what": x} for k, x in tells(w)] for w in words]]
 
     return work
 
@@ -125,7 +173,7 @@ def diagonals(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFram
 
 
 def spans(votes: DataFrame) -> DataFrame:
-    """Merged diagonals: label, first word, end word, cover of the template, and whether it is accepted."""
+    """Merged diagonals: label, first word, end word, cover of the template, and whether it is a candidate."""
     own = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")
     near = votes.filter("not phrase").withColumn("fresh", (F.col("diagonal") - F.lag("diagonal").over(own) > GAP).cast("int"))
     runs = near.withColumn("run", F.sum(F.coalesce("fresh", F.lit(0))).over(own))
@@ -135,7 +183,7 @@ def spans(votes: DataFrame) -> DataFrame:
         F.array_distinct(F.flatten(F.collect_list("votes"))).alias("votes"),
     )
     cover = (_covered("votes") / F.col("size")).alias("cover")
-    merged = merged.select("doc_id", "text_key", "label", "size", "first", "end", cover)
+    merged = merged.select("doc_id", "text_key", "template", "label", "size", "first", "end", cover)
     return merged.withColumn("accepted", (F.col("cover") >= COVER) & (F.col("end") - F.col("first") <= LONGEST * F.col("size") + GAP))
 
 
@@ -145,6 +193,9 @@ def places(votes: DataFrame) -> DataFrame:
     return whole.select("doc_id", "text_key", "label", F.col("diagonal").cast("long").alias("start"))
 
 
+SPANS = "array<struct<template:int,label:string,size:int,first:bigint,end:bigint,cover:double>>"
+
+
 def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """Places of the phrases, labels and score of every row of `docs`."""
     votes = materialize(diagonals(docs, phrases, templates), "license-votes")
@@ -153,16 +204,23 @@ def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataF
     base = places(votes).groupBy(*key).agg(
         F.count("*").alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"), F.collect_set("label").alias("base")
     )
-    added = spans(votes).groupBy(*key).agg(F.collect_set(F.when(F.col("accepted"), F.col("label"))).alias("added"), F.max("cover").alias("cover"))
+    added = spans(votes).groupBy(*key).agg(F.collect_set(F.when(F.col("accepted"), F.struct("template", "label", "size", F.col("first").cast("long").alias("first"), F.col("end").cast("long").alias("end"), "cover"))).alias("added"), F.max("cover").alias("cover"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_bytes().alias("text"))
     counted = map_batches(slim, _WORDS, _count_batch)
-    found = base.withColumns({"added": none, "cover": F.lit(None).cast("double")}).unionByName(
+    wanted = {n: {what for _, what in tells(text.encode().translate(PLAIN_WORDS).split())} for n, (_, text) in enumerate(templates, len(phrases))}
+
+    @F.pandas_udf("array<string>")
+    def labels_of(spans: pd.Series, telling: pd.Series) -> pd.Series:
+        pairs = zip(spans, telling, strict=True)
+        return pd.Series([[] if s is None or not len(s) else verified([*s], [(x["at"], x["what"]) for x in t], wanted) for s, t in pairs], spans.index, object)
+
+    found = base.withColumns({"added": F.lit(None).cast(SPANS), "cover": F.lit(None).cast("double")}).unionByName(
         added.withColumns({c: F.lit(None).cast("long") for c in ("n_base", "first_word", "last_word")} | {"base": none})
     )
     figures = [F.max(c).alias(c) for c in ("n_base", "first_word", "last_word", "base", "added", "cover")]
     found = found.groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key")).agg(*figures)
     joined = counted.join(found, counted.doc_id.eqNullSafe(F.col("_doc_id")) & (counted.text_key == F.col("_text_key")), "left")
-    base_set, added_set = F.coalesce("base", none), F.coalesce("added", none)
+    base_set, added_set = F.coalesce("base", none), labels_of("added", "tells")
     return joined.select(
         "doc_id",
         "n_words",

@@ -256,6 +256,22 @@ def test_license_text_with_changes(make):
     assert 0.8 <= got[0].score < 1 and 0 < got[1].score < 0.8 and got[3].score == 0
 
 
+def test_every_template_gets_its_own_label_only(make):
+    """Also with a word left out, and with a word of another license put in."""
+    texts = [text for _, text in license_scan.TEMPLATES]
+    wants = [label for label, _ in license_scan.TEMPLATES]
+    other = {
+        texts[1].replace("general public", "lesser general public").replace("version 3", "version 3 0"): "lgpl",
+        texts[3].replace("library", "program") + " either version 3 of the license or at your option any later version": "lgpl",
+        texts[1].replace("version 3", "version 4"): "",
+        texts[13].replace("sharealike", "noderivatives"): "",
+        f"{texts[2]} {'other ' * 20} {texts[1]}": "gpl-2,gpl-3",
+        f"{texts[12]} {texts[14]}": "cc-by,cc-by-nc",
+    }
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(make([f"some words before {t} and after" for t in [*texts, *other]])).collect()}
+    assert [got[k] for k in range(len(got))] == [*wants, *other.values()]
+
+
 def test_phrases_need_enough_words():
     with pytest.raises(ValueError):
         license_scan.template_rows([("two words", "x")], [])
