@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
@@ -13,8 +15,8 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
-#: Rows in an Arrow batch; a batch of the longest texts must fit beside the heap of an executor.
-BATCH_ROWS = 512
+#: Bytes of the parts in which a task works on an Arrow batch (Spark bounds the batch itself by 64 MB), and what a row counts beside its texts.
+SLICE_BYTES, ROW_BYTES = 1 << 21, 1 << 10
 
 UPPER = bytes(range(0x41, 0x5B))
 LOWER = bytes(range(0x61, 0x7B))
@@ -58,15 +60,28 @@ def remainder(column: str, by: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of the batches with about `most` bytes each, one row at least."""
+    for batch in batches:
+        sizes = np.full(batch.num_rows, ROW_BYTES, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy()
+        part = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
 def map_batches(
     df: DataFrame, schema: pa.Schema, start: Callable[[], Callable[[pa.RecordBatch], list]]
 ) -> DataFrame:
     """`start` runs once in every task; the function that it gives turns a batch into the columns of `schema`."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
+        for batch in slices(batches):
             columns = work(batch)
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)],

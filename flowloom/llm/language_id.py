@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import BATCH_ROWS, map_batches, remainder, text_bytes
+from flowloom.llm.common import map_batches, remainder, slices, text_bytes
 
 SYMBOLS = 59
 ORDER = 3
@@ -57,7 +57,6 @@ HELD = 1 << 21
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
     """(lang, gram, n) over all rows of (lang, text as bytes)."""
-    labelled.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -76,7 +75,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(counts)], schema=_GRAMS)
             held.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = (c.to_pylist() for c in batch.columns)
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(langs, texts, strict=True):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import BATCH_ROWS, LOWER_ASCII, free_name, map_batches, text_bytes
+from flowloom.llm.common import LOWER_ASCII, free_name, map_batches, slices, text_bytes
 from flowloom.llm.components import components
 from flowloom.stage import materialize
 
@@ -90,10 +90,9 @@ def first_of_groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row of every group, with all columns of `docs`: the one of the least doc_id (null last), of equals any one."""
     row, mark, bands = (free_name(docs, n) for n in ("_row", "_node", "_keys"))
     at = docs.columns.index("text")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [node_and_keys((t or "").encode()) for t in batch.column(at).to_pylist()]
             columns = [*batch.columns, pa.array([n for n, _ in found], pa.int64()), pa.array([k for _, k in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, mark, bands])

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.llm.common import BATCH_ROWS, LOWER_ASCII, free_name, map_batches, text_bytes
+from flowloom.llm.common import LOWER_ASCII, free_name, map_batches, slices, text_bytes
 from flowloom.llm.components import components
 from flowloom.stage import materialize
 
@@ -207,10 +207,9 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     """
     row, mark = free_name(docs, "_row"), free_name(docs, "_print")
     at = docs.columns.index("text")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             prints = np.array([fingerprint((t or "").encode()) for t in batch.column(at).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], names=[*batch.schema.names, mark])
 
