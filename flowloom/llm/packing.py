@@ -70,7 +70,7 @@ class WordIds:
             model = json.load(file)["model"]
         special = {t.content for t in self.whole.get_added_tokens_decoder().values()}
         suffix = model["end_of_word_suffix"]
-        byte_of = _byte_letters()
+        byte_of = byte_letters()
         # the mark of a word's end is a zero byte, which `_PLAIN` keeps out of the words
         ranks = {}
         for token, number in model["vocab"].items():
@@ -106,7 +106,7 @@ class WordIds:
         return b"".join([known[w] for w in words])
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """Letters that stand for bytes in byte-level vocabularies: printable Latin-1 as itself, the others from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in shown]

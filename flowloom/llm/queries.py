@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import decontaminate, language_id, license_scan, packing, pii, quality_rules, simhash, sql, token_counts, toxicity, url_filters
+from flowloom.llm import alignment, decontaminate, divergence, language_id, license_scan, packing, pii, quality_rules, secrets, simhash, sql, token_counts, toxicity, url_filters
 from flowloom.llm.common import ORACLES, QUERIES, query, read
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -73,6 +73,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(read(spark, sf_dir, "documents"))
 
 
+@query("op11_source_divergence", sql.DIVERGENCE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+@query("op12_secret_scan", sql.secrets(secrets.STRONG, secrets.PARTS, secrets.HINT, secrets.MIXED_NEEDS, secrets.REACH, secrets.ASSIGN_CHARS))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(read(spark, sf_dir, "documents"))
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -178,3 +178,87 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_b
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(cover, 0.0) END::DOUBLE AS score
 FROM docs LEFT JOIN base USING (rid) LEFT JOIN joined USING (rid) LEFT JOIN best USING (rid)
 """
+
+DIVERGENCE = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    list_filter(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS terms
+  FROM documents
+), seen AS (
+  SELECT rid, lang, source, unnest(terms) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS total FROM seen GROUP BY lang, term HAVING count(DISTINCT rid) >= 3
+), counts AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n FROM seen JOIN kept USING (lang, term) GROUP BY ALL
+), langs AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS size FROM kept GROUP BY lang
+), groups AS (
+  SELECT lang, source, coalesce(size, 0)::HUGEINT AS size FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN (SELECT lang, source, sum(n) AS size FROM counts GROUP BY ALL) USING (lang, source)
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (g.size + v) AS p,
+    1 + 1000000000::HUGEINT * (total + 1) // (l.size + v) AS whole
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts USING (lang, source, term)
+), rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, 0::HUGEINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM langs)
+  UNION ALL
+  SELECT a.lang, a.source, 'pair', b.source, sum((a.p - b.p) * (a.p - b.p) // b.p) FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - whole) * (p - whole) // whole FROM shares WHERE n > 0 AND p > whole
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def secrets(strong: dict[str, str], weak: dict[str, str], hint: str, needs: Iterable[str], reach: int, chars: int) -> str:
+    """Strong spans, and weak candidates that an access key or an identifier and an endpoint confirm in their scope."""
+
+    def plain(pattern: str) -> str:
+        for sign in "*+?}":
+            pattern = pattern.replace(f"{sign}+", sign)
+        return pattern.replace("'", "''")
+
+    def found(role: str, pattern: str) -> str:
+        keep = {
+            "assign": f"length(regexp_extract(m, '{plain(strong['assign'])}', 2)) >= {chars}",
+            "mixed": " AND ".join(f"regexp_matches(m, '{need}')" for need in needs),
+        }.get(role, "true")
+        given = "docs" if role in strong else "hinted"
+        return f"""SELECT rid, '{role}' AS role, first AS start, first + length(m) AS "end" FROM (
+    SELECT rid, ms[i] AS m, (coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS first
+    FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT rid, regexp_extract_all(text, '{plain(pattern)}') AS ms, string_split_regex(text, '{plain(pattern)}') AS gs FROM {given}))
+  ) WHERE {keep}"""
+
+    every = "\n  UNION ALL ".join(found(role, pattern) for role, pattern in (strong | weak).items())
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), hinted AS (
+  SELECT * FROM docs WHERE contains(text, 'AKIA') OR regexp_matches(text, '{plain(hint)}')
+), found AS (
+  {every}
+), base AS (
+  SELECT rid, role AS kind, start, "end", CASE role WHEN 'assign' THEN 0 WHEN 'access' THEN 1 ELSE 2 END AS place FROM found WHERE role IN ('assign', 'access', 'hex')
+), scoped AS (
+  SELECT f.*, (SELECT count(*) FROM found b WHERE b.rid = f.rid AND b.role = 'blank' AND b.start < f.start) AS scope FROM found f WHERE role NOT IN ('blank', 'assign', 'hex')
+), candidates AS (
+  SELECT DISTINCT rid, start, "end", scope FROM scoped c WHERE role IN ('weak', 'mixed') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = c.rid AND b.start < c."end" AND b."end" > c.start)
+), sure AS (
+  SELECT c.rid, c.start, c."end" FROM candidates c JOIN scoped o ON c.rid = o.rid AND c.scope = o.scope AND o.role IN ('access', 'identifier', 'endpoint')
+    AND o.start <= c."end" + {reach} AND o."end" >= c.start - {reach} AND (o."end" <= c.start OR o.start >= c."end")
+  GROUP BY ALL HAVING bool_or(o.role = 'access') OR (bool_or(o.role = 'identifier') AND bool_or(o.role = 'endpoint'))
+), linked AS (
+  SELECT s.* FROM sure s WHERE NOT EXISTS (SELECT 1 FROM sure e WHERE e.rid = s.rid AND (e.start < s.start OR (e.start = s.start AND e."end" > s."end")) AND e."end" > s.start)
+), spans AS (
+  SELECT rid, kind, start, "end", place FROM base UNION ALL SELECT rid, 'linked', start, "end", 3 FROM linked
+), listed AS (
+  SELECT rid, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, place) AS spans,
+    coalesce(string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, place) FILTER (WHERE kind <> 'linked'), '') AS own,
+    count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE kind = 'linked') AS n_linked
+  FROM spans GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0)::BIGINT AS n_linked
+FROM docs LEFT JOIN listed USING (rid)
+"""

@@ -59,7 +59,7 @@ def test_pipeline(spark, make, tmp_path):
 
 
 def test_one_query_for_each_operator():
-    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{k}" for k in range(1, 14)), "pipeline"}
 
 
 def test_near_copies_of_similarity_above_the_rule_go(spark, make, nothing):
