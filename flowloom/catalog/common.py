@@ -12,7 +12,7 @@ from flowloom.functions.scalar import r6
 from flowloom.operators.features import encode, fit_encoder
 from flowloom.operators.prefix import prefix_index
 from flowloom.operators.windows import row_windows
-from flowloom.plans.training import RunConfig, ordered_flows
+from flowloom.plans.training import RunConfig, in_place, ordered_flows
 from flowloom.sources.flows import ORDER_KEY, FeatureSpec, as_flows, lineitem_rows
 from flowloom.stage import materialize
 
@@ -85,7 +85,8 @@ def train_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windowed and encoded benign training flows."""
-    edges = encode(train_windows(spark, sf_dir), silo_encoder(spark, sf_dir), SPEC, ["silo"])
+    windows = train_windows(spark, sf_dir)
+    edges = in_place([silo_encoder(spark, sf_dir)], CONFIG, lambda state: encode(windows, state, SPEC, ["silo"]))
     return edges.withColumn("label", F.col("Label"))
 
 

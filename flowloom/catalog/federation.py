@@ -14,7 +14,7 @@ from flowloom.operators import federated as fed
 from flowloom.operators import reconstruct as rec
 from flowloom.operators.features import fit_encoder
 from flowloom.operators.split import leave_one_out
-from flowloom.operators.windows import row_windows
+from flowloom.operators.windows import aligned_index, row_windows
 from flowloom.plans import federated as plan
 from flowloom.plans import training
 from flowloom.sources.flows import DST, SRC, FeatureSpec
@@ -238,7 +238,9 @@ def federated_shards(spark, sf):
     # every flow is scored by each client of its silo, as the evaluation asks for
     clients = ready.weights.select(F.col("client").alias("model"), client_base(F.col("client")).alias("silo"))
     edges = edges.drop("model").join(clients, "silo")
-    found = ev.metrics(rec.score_flows(edges, coefficients, CONFIG.context).select(F.col("model").alias("client"), "score", "label"), ["client"])
+    # copies of a window for several clients are put together by an exchange
+    scores = rec.score_flows(edges, coefficients, replace(CONFIG.context, rows=None))
+    found = ev.metrics(scores.select(F.col("model").alias("client"), "score", "label"), ["client"])
     return found.join(ready.weights, "client")
 
 
@@ -246,7 +248,8 @@ def _holdout_metrics(spark, sf, ready, coefficients):
     from flowloom.operators import evaluate as ev
 
     edges = training.encoded_windows(holdout_flows(spark, sf), ready.encoder, CONFIG, shared=False)
-    known = edges.join(coefficients.select("model").distinct(), "model", "left_semi")
+    named = materialize(coefficients.select("model").distinct(), "models")
+    known = training.in_place([named], CONFIG, lambda models: edges.join(models, "model", "left_semi"))
     return ev.metrics(rec.score_flows(known, coefficients, CONFIG.context).select("silo", "score", "label"), ["silo"])
 
 
@@ -269,9 +272,10 @@ def event_model(spark, sf):
     from flowloom.operators.prefix import prefix_index
 
     flows = prefix_index(event_flows(spark, sf).withColumn("silo", F.lit("events")), ["silo"], ["event_id"], name="flow_id")
+    flows = aligned_index(flows, EVENT_CONFIG.step, ["silo"], "flow_id")
     encoder = materialize(fit_encoder(flows.withColumn("enc", F.lit("all")), EVENT_SPEC, ["enc"]), "encoder")
     windowed = row_windows(flows, EVENT_CONFIG.window, EVENT_CONFIG.step, pos="flow_id").withColumn("enc", F.lit("all"))
-    edges = encode(windowed, encoder, EVENT_SPEC, ["enc"]).withColumns({"model": F.lit("events"), "label": F.lit(0)})
+    edges = encode(windowed, F.broadcast(encoder), EVENT_SPEC, ["enc"]).withColumns({"model": F.lit("events"), "label": F.lit(0)})
     gram = rec.gram_sums(edges, EVENT_CONFIG.context, "model")
     coefficients = materialize(rec.fit_reconstruction(gram, EVENT_CONFIG.context), "coefficients")
     return encoder, rec.model_matrix(coefficients, "events")

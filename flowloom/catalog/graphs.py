@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowloom.catalog.common import (
-    GROUP, SPEC, WINDOWED_SQL, each6, embeddings_sql, features_sql, flows_sql, holdout_flows, nodes_sql, q6,
+    CONFIG, GROUP, SPEC, WINDOWED_SQL, each6, embeddings_sql, features_sql, flows_sql, holdout_flows, nodes_sql, q6,
     query, r6_all, r6_items, table, train_edges, train_windows,
 )
 from flowloom.functions.scalar import r6
@@ -16,7 +16,7 @@ from flowloom.operators.context import ContextSpec
 from flowloom.sources.flows import DST, SRC
 
 G = list(GROUP)
-SPEC4 = ContextSpec(GROUP, SPEC.width, 4)
+SPEC4 = ContextSpec(GROUP, SPEC.width, 4, rows=CONFIG.window)
 ON = "e.silo = {0}.silo AND e.window_id = {0}.window_id"
 
 
@@ -169,7 +169,7 @@ def gram_sums(spark, sf):
     moves them off it on both sides.
     """
     edges = train_edges(spark, sf).withColumn("model", F.col("silo"))
-    sums = reconstruct.gram_sums(edges, context.ContextSpec(("model", *G), SPEC.width, 4), "model")
+    sums = reconstruct.gram_sums(edges, context.ContextSpec(("model", *G), SPEC.width, 4, rows=CONFIG.window), "model")
     count = F.max(F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("value"))).over(Window.partitionBy("model"))
     return sums.select("model", "i", "j", r6(F.col("value") / count + 1.3e-9).alias("value"))
 
@@ -178,7 +178,7 @@ def gram_sums(spark, sf):
 def score_flows(spark, sf):
     """Scores under coefficients that are the same for all silos."""
     edges = train_edges(spark, sf).withColumn("model", F.col("silo"))
-    spec = context.ContextSpec(("model", *G), SPEC.width, 4)
+    spec = context.ContextSpec(("model", *G), SPEC.width, 4, rows=CONFIG.window)
     coef = [[fixed_coefficient(i, j) for j in range(spec.width)] for i in range(spec.size)]
     models = edges.select("model").distinct().select("model", F.posexplode(F.lit(coef)).alias("i", "coef"))
     out = reconstruct.score_flows(edges, models, spec)

@@ -1,7 +1,8 @@
 """What a flow's vector is predicted from, computed window by window inside tasks.
 
-Spark orders, encodes, shuffles by (group, window) and sorts; a task then holds
-whole windows, each at most `size` flows, and the sums over hosts and hops of
+Flows of an aligned index (`windows.aligned_index`) already lie window by window; others are
+shuffled by (group, window) and sorted.  A task then holds whole windows, each at most
+`size` flows, and the sums over hosts and hops of
 all windows of a batch are a few NumPy calls.  The same quantities written as
 window functions need six sorts of two rows per flow and took several times as
 long (see README).  A graph that is not bounded by a window is `wholegraph`'s.
@@ -31,7 +32,8 @@ class ContextSpec:
     """Group columns of a window, vector width, embedding size and hop weights.
 
     The predictor of a flow is [1, source context, destination context, window
-    context, source vector, destination vector].
+    context, source vector, destination vector].  `rows`: the flows come from an aligned
+    index without a shuffle since, and every window has so many; it is checked in the tasks.
     """
 
     group: tuple[str, ...]
@@ -39,17 +41,24 @@ class ContextSpec:
     dim: int = 32
     hops: int = 3
     weights: tuple[float, ...] | None = None
+    rows: int | None = None
 
     @property
     def size(self) -> int:
         return 1 + 3 * self.width + 2 * self.dim
 
 
-def window_partitions(edges: DataFrame, group: Sequence[str], payload: Sequence[str] = INPUT) -> DataFrame:
-    """Whole windows in one partition each, in order; the only shuffle of a window graph."""
-    octets = {"src_octets": F.array(*S.ip_octets(F.col(SRC))), "dst_octets": F.array(*S.ip_octets(F.col(DST)))}
-    narrow = edges.select(*group, *payload, SRC, DST)
-    return narrow.repartition(*group).sortWithinPartitions(*group, "pos_in_window").withColumns(octets)
+def window_partitions(edges: DataFrame, spec: ContextSpec, payload: Sequence[str] = INPUT) -> DataFrame:
+    """Whole windows in one partition each, in order; at most one shuffle for a window graph."""
+    narrow = edges.select(*spec.group, *payload, SRC, DST)
+    return narrow if spec.rows else narrow.repartition(*spec.group).sortWithinPartitions(*spec.group, "pos_in_window")
+
+
+def octets(address: str | None) -> tuple[float, ...]:
+    """Four octets divided by 255, as `scalar.ip_octets`."""
+    parts = [*(address or "").split("."), "", "", "", ""][:4]
+    numbers = [int(p) if p.isascii() and p.isdigit() else 0 for p in parts]
+    return tuple(n / 255.0 if n < 1 << 31 else 0.0 for n in numbers)
 
 
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -67,7 +76,13 @@ def _window_numbers(table: pa.Table, group: Sequence[str]) -> np.ndarray:
     return np.cumsum(changed)
 
 
-def _whole_windows(batches: Iterator[pa.RecordBatch], group: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def _checked(window: np.ndarray, rows: int | None) -> np.ndarray:
+    if rows and (np.bincount(window) != rows).any():
+        raise RuntimeError(f"a window has not {rows} flows: flows of an aligned index are asked for, without a shuffle since it was written")
+    return window
+
+
+def _whole_windows(batches: Iterator[pa.RecordBatch], spec: ContextSpec) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables that end at a window border, with the window number of every row."""
     held = None
     for batch in batches:
@@ -75,13 +90,13 @@ def _whole_windows(batches: Iterator[pa.RecordBatch], group: Sequence[str]) -> I
         held = table if held is None else pa.concat_tables([held, table])
         if held.num_rows == 0:
             continue
-        window = _window_numbers(held, group)
+        window = _window_numbers(held, spec.group)
         cut = int(np.searchsorted(window, window[-1]))
         if cut:
-            yield held.slice(0, cut), window[:cut]
+            yield held.slice(0, cut), _checked(window[:cut], spec.rows)
             held = held.slice(cut)
     if held is not None and held.num_rows:
-        yield held, _window_numbers(held, group)
+        yield held, _checked(_window_numbers(held, spec.group), spec.rows)
 
 
 def _sum_by(keys: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,14 +159,15 @@ class _Graph:
 def _graphs(batches: Iterator[pa.RecordBatch], spec: ContextSpec) -> Iterator[_Graph]:
     weights = hop_weights(spec.hops, spec.weights)
     projection = S.projection(spec.dim)
-    for table, window in _whole_windows(batches, spec.group):
+    for table, window in _whole_windows(batches, spec):
         n = table.num_rows
         ips = pa.concat_arrays([table[c].combine_chunks().cast(pa.string()) for c in (SRC, DST)])
-        ip = pc.dictionary_encode(ips).indices.to_numpy()
+        coded = pc.dictionary_encode(ips, null_encoding="encode")
+        ip = coded.indices.to_numpy()
         place = np.concatenate((window, window)) * (int(ip.max()) + 1) + ip
         _, first, node = np.unique(place, return_index=True, return_inverse=True)
-        octets = np.concatenate((matrix(table["src_octets"], 4), matrix(table["dst_octets"], 4)))[first]
-        start = octets if projection is None else octets @ projection
+        start = np.array([octets(a) for a in coded.dictionary.to_pylist()])[ip[first]]
+        start = start if projection is None else start @ projection
         src, dst = node[:n], node[n:]
         yield _Graph(table, window, src, dst, first, _embeddings(src, dst, start, weights))
 
@@ -194,7 +210,7 @@ def endpoint_context(edges: DataFrame, spec: ContextSpec) -> DataFrame:
     Predictors never contain the flow's own vector: both contexts are means over
     the other flows of its source, of its destination, and of its window.
     """
-    prepared = window_partitions(edges, spec.group)
+    prepared = window_partitions(edges, spec)
     kept = [*spec.group, *INPUT]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +223,7 @@ def endpoint_context(edges: DataFrame, spec: ContextSpec) -> DataFrame:
 
 def node_embeddings(edges: DataFrame, spec: ContextSpec) -> DataFrame:
     """(group, node_id, ip, embedding): distance-weighted sum of isolated hop vectors."""
-    prepared = window_partitions(edges, spec.group, FLOW)
+    prepared = window_partitions(edges, spec, FLOW)
     group = list(spec.group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +239,7 @@ def node_embeddings(edges: DataFrame, spec: ContextSpec) -> DataFrame:
 
 def graph_windows(edges: DataFrame, spec: ContextSpec, payload: Sequence[str] = ("label", "features")) -> DataFrame:
     """All window graphs as one edge table with node numbers, addresses and both end vectors."""
-    prepared = window_partitions(edges, spec.group, (*FLOW, *payload))
+    prepared = window_partitions(edges, spec, (*FLOW, *payload))
     kept = [*spec.group, *FLOW, *payload, SRC, DST]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,7 +160,8 @@ def categorical_block(spec: FeatureSpec) -> list[Column]:
 def encode(flows: DataFrame, encoder: DataFrame, spec: FeatureSpec, keys: Sequence[str]) -> DataFrame:
     """Add the array `features` and `n_features`; the encoder is joined on `keys`.
 
-    A flow without an encoder fails the query instead of leaving the result.
+    A flow without an encoder fails the query instead of leaving the result.  The encoder
+    carries no hint; `stage.small` gives one to a caller that needs its flows to stay in place.
     """
     codes = categorical_codes(spec)
     joined = flows.join(encoder, list(keys), "left").withColumns(codes)

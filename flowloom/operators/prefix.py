@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowloom.stage import materialize
+from flowloom.stage import materialize, partition_count
 
 
 def _order_columns(order: Sequence[str]) -> list[Column]:
@@ -29,7 +29,7 @@ def _order_columns(order: Sequence[str]) -> list[Column]:
 def _sorted_table(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None, number_copies: bool
 ) -> DataFrame:
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or partition_count(df)
     by = [F.col(k).asc() for k in keys] + _order_columns(order)
     ranged = df.repartitionByRange(n, *by)
     if number_copies:

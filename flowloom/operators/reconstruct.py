@@ -9,6 +9,7 @@ set of sums.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from flowloom.stage import materialize, task_count
 
 def gram_sums(edges: DataFrame, spec: ContextSpec, key: str) -> DataFrame:
     """(key, i, j, value): sums of products of the entries i <= j of [predictors, targets] per key."""
-    prepared = window_partitions(edges, spec.group)
+    prepared = window_partitions(edges, spec)
     total = spec.size + spec.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,19 +287,32 @@ def packed_models(coefficients: DataFrame, name: str) -> DataFrame:
     return rows.select(F.col("model").alias(name), F.flatten(F.transform("c", lambda p: p["coef"])).alias("_coef"))
 
 
-def score_flows(edges: DataFrame, coefficients: DataFrame, spec: ContextSpec, model: str = "model") -> DataFrame:
+#: Most bytes of coefficients that go to the tasks as one value.
+MODEL_BYTES = 1 << 26
+
+
+def score_flows(edges: DataFrame, coefficients: DataFrame, spec: ContextSpec, model: str = "model", most: int = MODEL_BYTES) -> DataFrame:
     """(group, flow_id, label, score): mean squared difference of the vector and its prediction.
 
-    The first flow of a window carries the coefficients of its model into the task that
-    holds the window, so any number of models may be used and a task holds those it meets.
+    Models of at most `most` bytes together are sent to the tasks.  More of them are joined to the first
+    flow of every window, which carries the coefficients into the task that holds the window,
+    so any number of models may be used and a task holds those it meets.
     One row per flow and window it lies in; NaN if its model is unknown.  The mean runs over the real features
     of the model, so filled vocabulary slots (always 0, predicted as 0) do not count.
     """
-    # the other flows get keys that match no model and lie spread
-    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("flow_id"), F.lit(1009)).cast("string"))
-    own = edges.withColumn("_model", F.when(F.col("pos_in_window") == 0, F.col(model)).otherwise(spread))
-    joined = own.join(packed_models(coefficients, "_model"), "_model", "left")
-    prepared = window_partitions(joined, spec.group, (*INPUT, "_coef"))
+    models = materialize(packed_models(coefficients, "_model"), "models")
+    sent = None
+    if models.count() * spec.size * spec.width * 8 <= most:
+        known = {r["_model"]: np.array(r["_coef"]).reshape(spec.size, spec.width) for r in models.toLocalIterator()}
+        sent = edges.sparkSession.sparkContext.broadcast(known)
+        prepared = window_partitions(edges, spec)
+    else:
+        # the other flows get keys that match no model and lie spread
+        spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64("flow_id"), F.lit(1009)).cast("string"))
+        own = edges.withColumn("_model", F.when(F.col("pos_in_window") == 0, F.col(model)).otherwise(spread))
+        # the join may shuffle, so that windows have to be put together again
+        spec = replace(spec, rows=None)
+        prepared = window_partitions(own.join(models, "_model", "left"), spec, (*INPUT, "_coef"))
     kept = [*spec.group, "flow_id", "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,12 +320,14 @@ def score_flows(edges: DataFrame, coefficients: DataFrame, spec: ContextSpec, mo
             codes = table[model].combine_chunks().dictionary_encode()
             which = codes.indices.to_numpy()
             error = np.full(len(y), np.nan)
-            carried = table["_coef"].combine_chunks()
-            for code in range(len(codes.dictionary)):
+            for code, name in enumerate(codes.dictionary.to_pylist()):
                 rows = np.flatnonzero(which == code)
-                found = carried.take(pa.array(rows)).drop_null()
-                if len(found):
-                    coef = found[0].values.to_numpy().reshape(spec.size, spec.width)
+                if sent is not None:
+                    coef = sent.value.get(name)
+                else:
+                    found = table["_coef"].combine_chunks().take(pa.array(rows)).drop_null()
+                    coef = found[0].values.to_numpy().reshape(spec.size, spec.width) if len(found) else None
+                if coef is not None:
                     error[rows] = ((x[rows] @ coef - y[rows]) ** 2).sum(axis=1)
             score = error / table["n_features"].to_numpy()
             yield from _with_columns(table.select(kept), {"score": pa.array(score)})

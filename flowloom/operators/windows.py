@@ -7,6 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.stage import materialize, partition_count
+
+#: Rows that stay together at least; so many blocks of a dominant group are spread over all partitions.
+ALIGNED_ROWS = 2_000
+#: Files hold one row group, which one task reads whole; far more than a file of `PARTITION_BYTES` needs.
+ROW_GROUP_BYTES = 1 << 30
+
+
+def aligned_index(indexed: DataFrame, step: int, keys: Sequence[str], pos: str = "row_pos") -> DataFrame:
+    """The indexed rows, written so that no task of a reader gets a part of a window.
+
+    Positions are cut at multiples of `step` into blocks, the blocks are dealt over the
+    partitions by a hash of (keys, block), and every partition is written in order as one file
+    of one row group.  A scan may read several files in a task, but never splits one of them
+    between tasks, so tumbling windows (and those with gaps) need no further exchange as long
+    as nothing between the scan and the window work shuffles: `context` checks that every
+    window is whole.
+    """
+    rows = max(1, -(-ALIGNED_ROWS // step)) * step
+    dealt = indexed.repartition(partition_count(indexed), *keys, F.expr(f"{pos} div {rows}"))
+    return materialize(dealt.sortWithinPartitions(*keys, pos), "aligned", **{"parquet.block.size": str(ROW_GROUP_BYTES)})
+
 
 def row_windows(
     indexed: DataFrame, size: int, step: int, pos: str = "row_pos", total: str = "n_rows"

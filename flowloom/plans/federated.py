@@ -23,7 +23,7 @@ from flowloom.operators.context import ContextSpec
 from flowloom.operators.features import fit_encoder
 from flowloom.operators.split import shard_cuts, shard_flows
 from flowloom.operators.windows import window_list
-from flowloom.plans.training import RunConfig, training_part, window_cuts
+from flowloom.plans.training import RunConfig, in_place, training_part, window_cuts
 from flowloom.stage import materialize, task_count
 
 MEAN, SCALE = "encoder.batch_norm.running_mean", "encoder.batch_norm.running_scale"
@@ -327,8 +327,8 @@ def prepare_clients(flows: DataFrame, cfg: RunConfig, shards: int = 1) -> Client
     def sums(part: str) -> DataFrame:
         edges = training_part(flows, encoder, cuts, cfg, False, part)
         if shards > 1:
-            named = F.concat_ws("#", "silo", "shard")
-            edges = shard_flows(edges, ends, ["silo"], cfg.seed + 1).withColumn("model", named).drop("shard")
+            named, flat = F.concat_ws("#", "silo", "shard"), edges
+            edges = in_place([ends], cfg, lambda state: shard_flows(flat, state, ["silo"], cfg.seed + 1).withColumn("model", named).drop("shard"))
         gram = rec.gram_sums(edges, cfg.context, "model")
         return materialize(gram.withColumnRenamed("model", "client"), "gram")
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +13,9 @@ from flowloom.operators.context import ContextSpec
 from flowloom.operators.features import encode, fit_encoder
 from flowloom.operators.prefix import prefix_index
 from flowloom.operators.split import split_cuts, split_flows
-from flowloom.operators.windows import row_windows, window_list
+from flowloom.operators.windows import aligned_index, row_windows, window_list
 from flowloom.sources.flows import LABEL, FeatureSpec, benign_only, drop_incomplete
-from flowloom.stage import materialize
+from flowloom.stage import materialize, small
 
 
 @dataclass(frozen=True)
@@ -34,9 +34,14 @@ class RunConfig:
     max_train_rows: int | None = None
     max_holdout_rows: int | None = None
 
+    @property
+    def aligned(self) -> bool:
+        """Windows that do not overlap are laid whole into the files of the index."""
+        return self.step >= self.window
+
     @property
     def context(self) -> ContextSpec:
-        return ContextSpec(("model", "silo", "window_id"), self.features.width, self.dim)
+        return ContextSpec(("model", "silo", "window_id"), self.features.width, self.dim, rows=self.window if self.aligned else None)
 
 
 # How a run shares: (encoder fitted on all silos together, fit).
@@ -72,19 +77,33 @@ class Training:
         return self.mode != "per_silo"
 
 
-def ordered_flows(rows: DataFrame, order: Sequence[str], split: str, cfg: RunConfig) -> DataFrame:
-    """Rows of one split with `flow_id` and `n_rows` per silo, in file order.
+def ordered_flows(rows: DataFrame, order: Sequence[str], split: str | None, cfg: RunConfig) -> DataFrame:
+    """Rows of one split (or of all) with `flow_id` and `n_rows` per silo, in file order, in an aligned index.
 
     Training rows are capped first, then reduced to complete benign rows and
-    numbered again; holdout rows are only capped.
+    numbered again; other rows are only capped.
     """
-    part = rows.filter(F.col("split") == split)
+    part = rows.filter(F.col("split") == split) if split else rows
     cap = cfg.max_train_rows if split == "train" else cfg.max_holdout_rows
     if cap:
         part = prefix_index(part, ["silo"], order, name="file_pos", total=None).filter(F.col("file_pos") < cap)
     if split == "train":
         part = drop_incomplete(benign_only(part))
-    return prefix_index(part, ["silo"], order, name="flow_id")
+    indexed = prefix_index(part, ["silo"], order, name="flow_id")
+    return aligned_index(indexed, cfg.step, ["silo"], "flow_id") if cfg.aligned else indexed
+
+
+def in_place(states: Sequence[DataFrame], cfg: RunConfig, join: Callable[..., DataFrame]) -> DataFrame:
+    """`join(*states)`, where every state has about one row a silo.
+
+    Windows of an aligned index stay whole if the states are broadcast, which their size
+    decides; if one is too large, the windows are put together again after the joins.
+    """
+    hinted = [small(s) for s in states]
+    if not cfg.aligned or all(h is not None for h in hinted):
+        return join(*[s if h is None else h for s, h in zip(states, hinted, strict=True)])
+    whole = ["silo", "window_id"]
+    return join(*states).repartition(*whole).sortWithinPartitions(*whole, "pos_in_window")
 
 
 def encoded(windowed: DataFrame, encoder: DataFrame, cfg: RunConfig, shared: bool) -> DataFrame:
@@ -95,7 +114,8 @@ def encoded(windowed: DataFrame, encoder: DataFrame, cfg: RunConfig, shared: boo
 
 
 def encoded_windows(flows: DataFrame, encoder: DataFrame, cfg: RunConfig, shared: bool) -> DataFrame:
-    return encoded(row_windows(flows, cfg.window, cfg.step, pos="flow_id"), encoder, cfg, shared)
+    windowed = row_windows(flows, cfg.window, cfg.step, pos="flow_id")
+    return in_place([encoder], cfg, lambda state: encoded(windowed, state, cfg, shared))
 
 
 def prepare(flows: DataFrame, cfg: RunConfig, shared: bool, cuts: DataFrame | None = None) -> Prepared:
@@ -156,8 +176,11 @@ def training_part(
 ) -> DataFrame:
     """Encoded windows of the training or validation part; the split is decided before the encoding."""
     windowed = row_windows(flows, cfg.window, cfg.step, pos="flow_id")
-    chosen = split_flows(windowed, cuts, ["silo"], cfg.seed).filter(F.col("part") == part)
-    return encoded(chosen, encoder, cfg, shared)
+
+    def chosen(ends: DataFrame, state: DataFrame) -> DataFrame:
+        return encoded(split_flows(windowed, ends, ["silo"], cfg.seed).filter(F.col("part") == part), state, cfg, shared)
+
+    return in_place([cuts, encoder], cfg, chosen)
 
 
 def _named_model(edges: DataFrame, mode: str) -> DataFrame:
@@ -209,7 +232,7 @@ def transfer_scores(holdout: DataFrame, training: Training) -> DataFrame:
     )
     edges = encode(crossed, training.encoder, cfg.features, ["enc"])
     edges = edges.withColumns({"model": F.col("enc"), "label": F.col(LABEL).cast("int")})
-    return reconstruct.score_flows(edges, training.coefficients, cfg.context)
+    return reconstruct.score_flows(edges, training.coefficients, replace(cfg.context, rows=None))
 
 
 def transfer_matrix(scores: DataFrame) -> DataFrame:

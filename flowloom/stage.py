@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,11 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
 _recorded: list[list[str]] = []
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` once and return a reader of the written table."""
+def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Write `df` once and return a reader of the written table; `options` are the writer's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     for record in _recorded:
         record.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -51,6 +52,35 @@ def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Most bytes of a written state table (about one row a silo) that may be broadcast on request.
+SMALL_BYTES = 1 << 25
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate before anything runs: the file size for a written table or a scan, of the columns that are read."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def small(table: DataFrame) -> DataFrame | None:
+    """`table` with a broadcast hint if its files have at most SMALL_BYTES, else None."""
+    return F.broadcast(table) if estimated_bytes(table) <= SMALL_BYTES else None
+
+
+#: Bytes of one partition of a table that is sorted or dealt anew.
+PARTITION_BYTES = 1 << 27
+
+
+def read_bytes(df: DataFrame) -> int:
+    """Bytes of all files that a plan reads; joins do not multiply it, as they do the estimate of their result."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.length()))
+
+
+def partition_count(df: DataFrame) -> int:
+    """Partitions for rows about as wide as the files they come from, at least the session's shuffle partitions."""
+    return max(task_count(df.sparkSession), min(-(-read_bytes(df) // PARTITION_BYTES), 1 << 20))
+
+
 @contextmanager
 def own_tables(spark: SparkSession) -> Iterator[None]:
     """Removes the tables that `materialize` writes inside, at the end: for loops that never end, like streams."""
