@@ -190,7 +190,7 @@ def _domain(text: str, at: re.Match) -> tuple[int, list[tuple[int, int, str]]] |
     """
     label = _LABEL.match(text, at.end())
     edits: list[tuple[int, int, str]] = []
-    best = None
+    best = None  # end, and how many edits lead there
     while label and (dot := _DOT.match(text, label.end())) and (label := _LABEL.match(text, dot.end())):
         if dot.lastgroup:
             edits.append((dot.start(), dot.end(), "."))
@@ -198,8 +198,8 @@ def _domain(text: str, at: re.Match) -> tuple[int, list[tuple[int, int, str]]] |
         whole = not text[label.end() : label.end() + 1].isalnum() and text[label.end() : label.end() + 1] != "_"
         known = whole and _END.match(label[0])
         if (edits or not worded) and (known or not (worded or dot.lastgroup == "word")):
-            best = label.end(), edits[:]
-    return best
+            best = label.end(), len(edits)
+    return (best[0], edits[: best[1]]) if best else None
 
 
 def write_signs(given: Rewritten) -> Rewritten:
