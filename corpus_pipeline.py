@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.llm import decontaminate, near_copies, packing, pii, quality_rules
+from flowloom.llm import decontaminate, packing, pii, quality_rules, simhash
 from flowloom.llm.common import read
 from flowloom.session import tune
 from flowloom.stage import materialize
@@ -26,9 +26,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near copies (five-word shingles, Jaccard 0.8 or more) stays."""
+    """One document of every group of linked fingerprints (three-word shingles, two bits at most) stays."""
     tune(spark)
-    return near_copies.first_of_groups(docs)
+    return simhash.first_of_groups(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
