@@ -4,16 +4,13 @@ Method: every line is normalised (A-Z lower-cased, digits to 0, runs of blanks t
 and hashed.  Per host, the different documents that hold a line are counted; lines above
 the limit (an absolute number, so that copies and the size of a host do not move it) are removed, and a document of which too little is left is rejected.
 
-A document that was copied ought to count once, else the lines of a page with a thousand
-near copies would look like boilerplate and all copies would go.  A document is told by its
-own lines: those that are not, whole or by their first or second half, on more documents
-of the host than the limit (the halves find lines in which a word was changed).
-- With own lines that make up more than a tenth of its words, or two or more that make up
-  at least a twentieth, it is labelled with its smallest (largest) own line hash.
-- With less it is a near copy or has shared lines only: it is labelled with the rarest
-  shared line that it holds, which near copies of one page mostly have in common.
-The number of documents that hold a line is the number of different labels, the larger one
-of the two labellings.  Documents that differ in less than this are one document.
+A document that was copied counts once, else the lines of a page with a thousand near copies
+would look like boilerplate and all copies would go.  A document is told by all of its lines
+together, as a set; lines in which a word was changed stand for the line that they were.  Such
+a line has its first or its last words (END_WORDS of them) in common with a line above the
+limit and is taken for that line.  So exact copies and copies with changed words are one
+document, and any other line, one line more or less, or another choice from a pool of
+lines make a different one, whatever share of the text that is.
 
 Defined results: null and empty texts have no words and fail the base rule; a null host
 is a host of its own; repeated rows get the same figures each; an empty table gives an
@@ -36,8 +33,8 @@ from flowloom.stage import materialize
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
-#: Least number of words in half a line that is looked up.
-HALF = 3
+#: Words at either end of a line that are looked up, fewer for short lines, which need twice as many.
+END_WORDS, SHORT_END_WORDS = 4, 3
 _FOLD = bytes(0x30 if 0x30 <= b <= 0x39 else b for b in LOWER_ASCII)
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -60,13 +57,13 @@ def line_hash(normal: bytes) -> int:
     return int.from_bytes(md5(normal).digest()[:8], "big") >> 1
 
 
-def half_hashes(normal: bytes) -> tuple[int | None, int | None]:
-    """Hashes of the first and the second half of a line, none if a half has fewer than HALF words."""
+def end_hashes(normal: bytes) -> tuple[int | None, int | None]:
+    """Hashes of the first and the last words of a line; none if the two would overlap."""
     words = normal.split(b" ")
-    if len(words) < 2 * HALF:
+    n = END_WORDS if len(words) >= 2 * END_WORDS else SHORT_END_WORDS
+    if len(words) < 2 * n:
         return None, None
-    middle = len(words) // 2
-    return line_hash(b"<" + b" ".join(words[:middle])), line_hash(b">" + b" ".join(words[middle:]))
+    return line_hash(b"<" + b" ".join(words[:n])), line_hash(b">" + b" ".join(words[-n:]))
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -128,7 +125,7 @@ def _figures() -> Callable[[pa.RecordBatch], list]:
                 if normal:
                     key = line_hash(normal)
                     if key not in lines:
-                        head, tail = half_hashes(normal)
+                        head, tail = end_hashes(normal)
                         lines[key] = {"line": key, "words": 0, "head": head, "tail": tail}
                     lines[key]["words"] += normal.count(b" ") + 1
             row = (md5(text).hexdigest(), *base_figures(text), [*lines.values()])
@@ -140,7 +137,7 @@ def _figures() -> Callable[[pa.RecordBatch], list]:
 
 
 def figures(docs: DataFrame, host: str = "source") -> DataFrame:
-    """One row per document, written: base figures, hashes of lines and half lines, words of the lines."""
+    """One row per document, written: base figures, hashes of lines and of their ends, words of the lines."""
     slim = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -153,24 +150,24 @@ def figures(docs: DataFrame, host: str = "source") -> DataFrame:
 def frequent_lines(facts: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(host, line) of the lines above the limit, written."""
     lines = facts.select("row", "host", F.explode("lines").alias("at"))
-    keys = F.explode(F.array_compact(F.array("at.line", "at.head", "at.tail"))).alias("key")
-    keyed = lines.select("row", "host", F.col("at.line").alias("line"), F.col("at.words").alias("words"), keys)
+    keyed = lines.select("row", "host", F.col("at.line").alias("line"), F.posexplode(F.array("at.line", "at.head", "at.tail")).alias("end", "key")).filter("key is not null")
     # the count with all copies is never below the number of documents, so few lines are looked at closely
     often = keyed.groupBy("host", "key").agg(F.count("*").alias("holders"))
-    often = materialize(often.filter(F.col("holders") > limits.most_docs), "quality-often")
+    often = materialize(often.filter(F.col("holders") > limits.most_docs).select("host", "key"), "quality-often")
     hits = materialize(keyed.join(often, ["host", "key"]), "quality-hits")
 
-    shared = hits.groupBy("row").agg(F.min(F.struct("holders", "key")).alias("rarest"), F.collect_set("line").alias("shared"))
-    own = F.filter("lines", lambda x: ~F.array_contains("shared", x["line"]))
-    words = lambda of: F.aggregate(of, F.lit(0).cast("long"), lambda n, x: n + x["words"])
-    told = facts.join(shared, "row").withColumn("own", own).select("row", "rarest", "own", words("own").alias("own_words"), words("lines").alias("words"))
-    rich = (10 * F.col("own_words") > F.col("words")) | ((F.size("own") > 1) & (20 * F.col("own_words") >= F.col("words")))
-    sides = {side: F.when(rich, F.struct(F.lit(0).cast("long").alias("holders"), end("own.line").alias("key"))).otherwise(F.col("rarest")).alias(side) for side, end in (("low", F.array_min), ("high", F.array_max))}
-    told = told.select("row", *sides.values())
-    held = materialize(hits.filter("key = line").join(told, "row").select("host", "line", "low", "high").distinct(), "quality-held")
-    counts = [held.groupBy("host", "line").agg(F.countDistinct(side).alias("docs")) for side in ("low", "high")]
-    above = counts[0].unionByName(counts[1]).filter(F.col("docs") > limits.most_docs)
-    return materialize(above.select("host", "line").distinct(), "quality-lines")
+    # the line that an end stands for: the least of those that are themselves above the limit, or the end itself
+    whole = hits.filter("end = 0").select("host", "line").distinct()
+    stands = materialize(hits.filter("end > 0").join(whole, ["host", "line"]).groupBy("host", "key").agg(F.min("line").alias("stands")), "quality-ends")
+    ends = hits.join(stands, ["host", "key"], "left").withColumn("stands", F.coalesce("stands", "key"))
+    by = lambda end: F.max(F.when(F.col("end") == end, F.col("stands")))
+    taken = ends.groupBy("row", "line").agg(F.coalesce(by(2), by(1), F.col("line")).alias("stands"))
+    shared = taken.groupBy("row").agg(F.collect_set("line").alias("shared"), F.collect_set("stands").alias("stand"))
+    own = F.filter(F.transform("lines", lambda x: x["line"]), lambda x: ~F.array_contains("shared", x))
+    told = facts.join(shared, "row").select("row", F.md5(F.array_join(F.sort_array(F.array_union("stand", own)).cast("array<string>"), " ")).alias("document"))
+    held = hits.filter("end = 0").select("row", "host", "line").join(materialize(told, "quality-told"), "row")
+    counts = held.groupBy("host", "line").agg(F.countDistinct("document").alias("docs"))
+    return materialize(counts.filter(F.col("docs") > limits.most_docs).select("host", "line"), "quality-lines")
 
 
 def verdicts(facts: DataFrame, frequent: DataFrame, limits: Limits = Limits()) -> DataFrame:

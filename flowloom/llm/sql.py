@@ -27,25 +27,32 @@ WITH docs AS (
 ), dup AS (
   SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM with_word WHERE normal <> '' GROUP BY rid
 ), lines AS (
-  SELECT rid, host, md5(text) AS text_key, substr(md5(normal), 1, 16) AS h, sum(len(string_split(normal, ' '))) AS words
+  SELECT rid, host, md5(text) AS text_key, normal, sum(len(string_split(normal, ' '))) AS words
   FROM with_word JOIN docs USING (rid) WHERE normal <> '' GROUP BY ALL
-), hosts AS (
-  SELECT host, greatest(10.0, count(*) / 100) AS most FROM docs GROUP BY host
+), split AS (
+  SELECT rid, host, normal, string_split(normal, ' ') AS ws, CASE WHEN len(string_split(normal, ' ')) >= 8 THEN 4 ELSE 3 END AS n FROM lines
+), keys AS (
+  SELECT rid, host, normal, 0 AS place, normal AS key FROM lines
+  UNION ALL SELECT rid, host, normal, 1, '<' || array_to_string(ws[:n], ' ') FROM split WHERE len(ws) >= 2 * n
+  UNION ALL SELECT rid, host, normal, 2, '>' || array_to_string(ws[len(ws) - n + 1:], ' ') FROM split WHERE len(ws) >= 2 * n
 ), often AS (
-  SELECT host, h, any_value(most) AS most FROM lines JOIN hosts USING (host) GROUP BY host, h HAVING count(*) > any_value(most)
-), held AS (
-  SELECT DISTINCT l.host, l.h, o.most, l.text_key, low, high
-  FROM lines l JOIN often o USING (host, h)
-  JOIN (SELECT a.rid, a.h, min(b.h) AS low, max(b.h) AS high FROM lines a LEFT JOIN lines b ON a.rid = b.rid AND a.h <> b.h GROUP BY a.rid, a.h) x
-    ON x.rid = l.rid AND x.h = l.h
-), sided AS (
-  SELECT host, h, most, 0 AS side, low AS label FROM held UNION ALL SELECT host, h, most, 1, high FROM held
+  SELECT host, key FROM keys GROUP BY host, key HAVING count(*) > 10
+), hits AS (
+  SELECT * FROM keys JOIN often USING (host, key)
+), whole AS (
+  SELECT DISTINCT host, normal FROM hits WHERE place = 0
+), ends AS (
+  SELECT host, key, min(substr(md5(normal), 1, 16)) AS stands FROM hits JOIN whole USING (host, normal) WHERE place > 0 GROUP BY ALL
+), taken AS (
+  SELECT rid, normal, coalesce(max(coalesce(stands, key)) FILTER (WHERE place = 2), max(coalesce(stands, key)) FILTER (WHERE place = 1), substr(md5(normal), 1, 16)) AS stands
+  FROM hits LEFT JOIN ends USING (host, key) GROUP BY rid, normal
+), told AS (
+  SELECT rid, md5(string_agg(DISTINCT coalesce(stands, substr(md5(normal), 1, 16)), ' ' ORDER BY coalesce(stands, substr(md5(normal), 1, 16)))) AS document
+  FROM lines LEFT JOIN taken USING (rid, normal) WHERE rid IN (SELECT rid FROM hits) GROUP BY rid
 ), frequent AS (
-  SELECT DISTINCT host, h FROM (
-    SELECT host, h, most, side, count(*)::DOUBLE AS n FROM sided GROUP BY host, h, most, side, label
-  ) GROUP BY host, h, most, side HAVING sum(n) * sum(n) / sum(n * n) > most
+  SELECT host, normal FROM hits JOIN told USING (rid) WHERE place = 0 GROUP BY host, normal HAVING count(DISTINCT document) > 10
 ), gone AS (
-  SELECT rid, sum(words) AS removed FROM lines JOIN frequent USING (host, h) GROUP BY rid
+  SELECT rid, sum(words) AS removed FROM lines JOIN frequent USING (host, normal) GROUP BY rid
 ), facts AS (
   SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '{_BLANK}', '', 'g')) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
