@@ -292,8 +292,8 @@ def stream_score(spark, sf):
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path)
     root = f"{shared_dir(spark)}/scored-{uuid.uuid4().hex}"
 
-    def score(batch, batch_id):
-        return score_batch(batch, encoder, model, EVENT_SPEC, EVENT_CONFIG.dim, batch_id, "event_id")
+    def score(batch, keep):
+        return score_batch(batch, encoder, model, EVENT_SPEC, EVENT_CONFIG.dim, "event_id", keep)
 
     start_scoring(stream, score, f"{root}/out", f"{root}/progress").awaitTermination()
     return spark.read.parquet(f"{root}/out")

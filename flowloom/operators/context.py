@@ -3,7 +3,9 @@
 Flows of an aligned index (`windows.aligned_index`) already lie window by window; others are
 shuffled by (group, window) and sorted.  A task then holds whole windows, each at most
 `size` flows, and the sums over hosts and hops of
-all windows of a batch are a few NumPy calls.  The same quantities written as
+all windows of a batch are a few NumPy calls.  Hop vectors are sums of start vectors, and those
+lie in the four dimensions of the octets whatever the size of the projection M: hops work on
+coordinates u of u * M, sums of products and scores are taken from coordinates too.  The same quantities written as
 window functions need six sorts of two rows per flow and took several times as
 long (see README).  A graph that is not bounded by a window is `wholegraph`'s.
 """
@@ -47,6 +49,21 @@ class ContextSpec:
     def size(self) -> int:
         return 1 + 3 * self.width + 2 * self.dim
 
+    @property
+    def projection(self) -> np.ndarray:
+        """4 x dim matrix that turns coordinates into vectors."""
+        found = S.projection(self.dim)
+        return np.eye(4) if found is None else found
+
+    @property
+    def lift(self) -> np.ndarray:
+        """Matrix that turns predictors with coordinates of both ends into predictors with their vectors."""
+        plain = 1 + 3 * self.width
+        out = np.zeros((plain + 8, self.size))
+        out[:plain, :plain] = np.eye(plain)
+        out[plain : plain + 4, plain : plain + self.dim] = out[plain + 4 :, plain + self.dim :] = self.projection
+        return out
+
 
 def window_partitions(edges: DataFrame, spec: ContextSpec, payload: Sequence[str] = INPUT) -> DataFrame:
     """Whole windows in one partition each, in order; at most one shuffle for a window graph."""
@@ -114,19 +131,20 @@ def _others_mean(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.where(others[:, None] > 0, (sums[keys] - values) / np.maximum(others, 1)[:, None], 0.0)
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    length = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return vectors / np.where(length < 1e-9, 1.0, length)
+def _embeddings(src: np.ndarray, dst: np.ndarray, start: np.ndarray, weights: Sequence[float], projection: np.ndarray) -> np.ndarray:
+    """Coordinates: r(1) = P e0, r(d+1) = P (r(d) - e(d)); the result is the weighted sum of the e(d)."""
+    products = projection @ projection.T
 
+    def unit(u: np.ndarray) -> np.ndarray:
+        length = np.sqrt(np.maximum(((u @ products) * u).sum(axis=1, keepdims=True), 0.0))
+        return u / np.where(length < 1e-9, 1.0, length)
 
-def _embeddings(src: np.ndarray, dst: np.ndarray, start: np.ndarray, weights: Sequence[float]) -> np.ndarray:
-    """r(1) = P e0, r(d+1) = P (r(d) - e(d)); result is the weighted sum of the e(d)."""
-    e = _unit(start)
+    e = unit(start)
     total, message = e * weights[0], e
     for weight in weights[1:]:
         sums, counts = _sum_by(src, message[dst], len(start))
         r = sums / np.maximum(counts, 1)[:, None]
-        e = _unit(r) * weight
+        e = unit(r) * weight
         total, message = total + e, r - e
     return total
 
@@ -140,12 +158,17 @@ class _Graph:
     src: np.ndarray
     dst: np.ndarray
     first: np.ndarray  # place where a node is seen first: sources by row, then destinations by row
-    vectors: np.ndarray
+    places: np.ndarray  # coordinates of the nodes
+    projection: np.ndarray
 
     @property
     def first_row(self) -> np.ndarray:
         return self.first % self.table.num_rows
 
+    @property
+    def vectors(self) -> np.ndarray:
+        return self.places @ self.projection
+
     def node_ids(self) -> np.ndarray:
         """Number of every node inside its window, in the order of first appearance."""
         window = self.window[self.first_row]
@@ -158,7 +181,7 @@ class _Graph:
 
 def _graphs(batches: Iterator[pa.RecordBatch], spec: ContextSpec) -> Iterator[_Graph]:
     weights = hop_weights(spec.hops, spec.weights)
-    projection = S.projection(spec.dim)
+    projection = spec.projection
     for table, window in _whole_windows(batches, spec):
         n = table.num_rows
         ips = pa.concat_arrays([table[c].combine_chunks().cast(pa.string()) for c in (SRC, DST)])
@@ -167,15 +190,14 @@ def _graphs(batches: Iterator[pa.RecordBatch], spec: ContextSpec) -> Iterator[_G
         place = np.concatenate((window, window)) * (int(ip.max()) + 1) + ip
         _, first, node = np.unique(place, return_index=True, return_inverse=True)
         start = np.array([octets(a) for a in coded.dictionary.to_pylist()])[ip[first]]
-        start = start if projection is None else start @ projection
         src, dst = node[:n], node[n:]
-        yield _Graph(table, window, src, dst, first, _embeddings(src, dst, start, weights))
+        yield _Graph(table, window, src, dst, first, _embeddings(src, dst, start, weights, projection), projection)
 
 
 def context_blocks(
     batches: Iterator[pa.RecordBatch], spec: ContextSpec
 ) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """(rows, predictors, targets) of whole windows."""
+    """(rows, predictors with coordinates of both ends, targets) of whole windows; `spec.lift` makes the predictors."""
     for g in _graphs(batches, spec):
         y = matrix(g.table["features"], spec.width)
         n_nodes, n_windows = len(g.first), int(g.window[-1]) + 1
@@ -185,8 +207,8 @@ def context_blocks(
                 _others_mean(g.src, y, n_nodes),
                 _others_mean(g.dst, y, n_nodes),
                 _others_mean(g.window, y, n_windows),
-                g.vectors[g.src],
-                g.vectors[g.dst],
+                g.places[g.src],
+                g.places[g.dst],
             )
         )
         yield g.table, x, y
@@ -212,10 +234,11 @@ def endpoint_context(edges: DataFrame, spec: ContextSpec) -> DataFrame:
     """
     prepared = window_partitions(edges, spec)
     kept = [*spec.group, *INPUT]
+    lift = spec.lift
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, x, _ in context_blocks(batches, spec):
-            yield from _with_columns(table.select(kept), {"predictors": _rows(x)})
+            yield from _with_columns(table.select(kept), {"predictors": _rows(x @ lift)})
 
     schema = prepared.select(*kept, F.lit(None).cast("array<double>").alias("predictors")).schema
     return prepared.mapInArrow(run, schema)
@@ -244,12 +267,12 @@ def graph_windows(edges: DataFrame, spec: ContextSpec, payload: Sequence[str] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _graphs(batches, spec):
-            ids = g.node_ids()
+            ids, vectors = g.node_ids(), g.vectors
             named = {
                 "src_node": pa.array(ids[g.src]),
                 "dst_node": pa.array(ids[g.dst]),
-                "src_embedding": _rows(g.vectors[g.src]),
-                "dst_embedding": _rows(g.vectors[g.dst]),
+                "src_embedding": _rows(vectors[g.src]),
+                "dst_embedding": _rows(vectors[g.dst]),
             }
             yield from _with_columns(g.table.select(kept), named)
 

@@ -27,6 +27,10 @@ def gram_sums(edges: DataFrame, spec: ContextSpec, key: str) -> DataFrame:
     """(key, i, j, value): sums of products of the entries i <= j of [predictors, targets] per key."""
     prepared = window_partitions(edges, spec)
     total = spec.size + spec.width
+    # from the entries with coordinates to those with vectors; the targets stay
+    lift = np.eye(len(spec.lift) + spec.width, total, spec.size - len(spec.lift))
+    lift[: len(spec.lift)] = 0.0
+    lift[: len(spec.lift), : spec.size] = spec.lift
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -37,7 +41,8 @@ def gram_sums(edges: DataFrame, spec: ContextSpec, key: str) -> DataFrame:
             for code, name in enumerate(codes.dictionary.to_pylist()):
                 rows = both[which == code]
                 sums[name] = sums.get(name, 0) + rows.T @ rows
-        for name, m in sums.items():
+        for name, reduced in sums.items():
+            m = lift.T @ reduced @ lift
             # the matrix is symmetric: row i starts at its diagonal entry
             ends = np.concatenate(([0], np.cumsum(np.arange(total, 0, -1)))).astype(np.int32)
             upper = pa.ListArray.from_arrays(pa.array(ends), pa.array(m[np.triu_indices(total)]))
@@ -314,6 +319,7 @@ def score_flows(edges: DataFrame, coefficients: DataFrame, spec: ContextSpec, mo
         spec = replace(spec, rows=None)
         prepared = window_partitions(own.join(models, "_model", "left"), spec, (*INPUT, "_coef"))
     kept = [*spec.group, "flow_id", "label"]
+    lift = spec.lift
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, x, y in context_blocks(batches, spec):
@@ -328,7 +334,7 @@ def score_flows(edges: DataFrame, coefficients: DataFrame, spec: ContextSpec, mo
                     found = table["_coef"].combine_chunks().take(pa.array(rows)).drop_null()
                     coef = found[0].values.to_numpy().reshape(spec.size, spec.width) if len(found) else None
                 if coef is not None:
-                    error[rows] = ((x[rows] @ coef - y[rows]) ** 2).sum(axis=1)
+                    error[rows] = ((x[rows] @ (lift @ coef) - y[rows]) ** 2).sum(axis=1)
             score = error / table["n_features"].to_numpy()
             yield from _with_columns(table.select(kept), {"score": pa.array(score)})
 

@@ -9,35 +9,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from flowloom.operators.combine import combine_by_flow
 from flowloom.operators.context import ContextSpec
 from flowloom.operators.features import encode
-from flowloom.operators.reconstruct import score_predictors
-from flowloom.operators.wholegraph import single_graph
+from flowloom.operators.wholegraph import HUB_ROWS, Keep, find_hubs, score_frame, written
 from flowloom.sources.flows import FeatureSpec
-from flowloom.stage import materialize, own_tables
+from flowloom.stage import own_tables
 
 
 def score_batch(
-    flows: DataFrame, encoder: DataFrame, coef: np.ndarray, features: FeatureSpec, dim: int, batch_id: int, flow_key: str
+    flows: DataFrame, encoder: DataFrame, coef: np.ndarray, features: FeatureSpec, dim: int, flow_key: str, keep: Keep = written, hub_rows: int = HUB_ROWS
 ) -> DataFrame:
     """Flows of one batch as one graph, with `probability_anomalous` (a reconstruction error).
 
     `encoder` holds one row, `coef` the coefficients of the model; `flow_key` is a unique
-    number of the flow.  The plan is the same for batches of any size.
+    number of the flow.  Between hops the hosts' state is persisted, no table is written, and
+    nothing in the plan depends on the batch, so all batches share their compiled code.
     """
-    spec = ContextSpec(("window_id",), features.width, dim)
-    batch = materialize(flows.withColumn("window_id", F.lit(batch_id).cast("bigint")), "batch")
-    edges = encode(batch.withColumns({"enc": F.lit("all"), "label": F.lit(0)}), encoder, features, ["enc"])
-    edges = edges.withColumns({"flow_id": F.col(flow_key).cast("bigint"), "pos_in_window": F.lit(0)})
-    scored = score_predictors(single_graph(edges, spec), coef, spec)
-    scores = scored.select("window_id", F.col("flow_id").alias(flow_key), "score")
-    return combine_by_flow(batch, scores, ["window_id", flow_key])
+    spec = ContextSpec((), features.width, dim)
+    keyed = flows.withColumns({"enc": F.lit("all"), "flow_id": F.col(flow_key).cast("bigint")})
+    edges = keep(encode(keyed, F.broadcast(encoder), features, ["enc"]))
+    # a host can be a hub only in a batch of many flows
+    scored = score_frame(edges, coef, spec, find_hubs(edges, [], edges.count(), hub_rows), keep)
+    return scored.select(*flows.columns, F.col("score").alias("probability_anomalous"))
 
 
 def start_scoring(
     stream: DataFrame,
-    score: Callable[[DataFrame, int], DataFrame],
+    score: Callable[[DataFrame, Keep], DataFrame],
     output: str,
     checkpoint: str,
     available_now: bool = True,
@@ -45,13 +43,22 @@ def start_scoring(
     """Score every micro-batch into its own folder of `output`.
 
     A batch that is replayed after a failure overwrites its own folder, so the
-    output holds every flow once.  The tables written on the way to a batch's
-    scores are removed once the scores stand.
+    output holds every flow once.  A table of hubs, where there are any, is removed once the
+    scores stand.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         with own_tables(batch.sparkSession):
-            score(batch, batch_id).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+            held: list[DataFrame] = []
+
+            def keep(df: DataFrame) -> DataFrame:
+                # lost blocks are computed again from the source of the batch
+                held.append(df.persist())
+                return held[-1]
+
+            score(batch, keep).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+            for df in held:
+                df.unpersist()
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

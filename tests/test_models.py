@@ -1,5 +1,7 @@
 """Graph and model operators against direct NumPy computations."""
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -74,13 +76,58 @@ def test_embeddings_equal_matrix_form(spark, dim):
         np.testing.assert_allclose(np.vstack(mine.embedding), want, atol=1e-9)
 
 
-def test_frame_as_one_graph_equals_window(spark):
+@pytest.mark.parametrize("hub_rows", [wholegraph.HUB_ROWS, 3])
+def test_frame_as_one_graph_equals_window(spark, monkeypatch, hub_rows):
+    """Also when hosts with more than a few edges are split."""
+    monkeypatch.setattr(wholegraph, "find_hubs", partial(wholegraph.find_hubs, least=hub_rows))
     pdf = random_edges(windows=1)
     edges = spark.createDataFrame(pdf, SCHEMA)
     spec = ContextSpec(("window_id",), 3, 8)
     a = context.endpoint_context(edges, spec).toPandas().sort_values("flow_id")
     b = wholegraph.single_graph(edges, spec).toPandas().sort_values("flow_id")
     np.testing.assert_allclose(np.vstack(a.predictors), np.vstack(b.predictors), atol=1e-9)
+    hubs = wholegraph.find_hubs(edges, ["window_id"], len(pdf))
+    assert (hubs.table is None) == (hub_rows > len(pdf))
+    if hubs.table is not None:
+        assert hubs.table.filter("parts > 1").count() > 0
+    coef = np.random.default_rng(4).normal(size=(spec.size, 3))
+    want = ((np.vstack(a.predictors) @ coef - np.vstack(a.features)) ** 2).sum(1) / a.n_features
+    scored = wholegraph.score_frame(edges, coef, spec, hubs).toPandas().sort_values("flow_id")
+    np.testing.assert_allclose(scored.score, want, atol=1e-9)
+
+
+def test_a_split_window_is_an_error(spark):
+    """Flows that are said to lie window by window and do not are refused, wherever the cut is."""
+    pdf = random_edges(windows=2)
+    spec = ContextSpec(GROUP, 3, 4, rows=len(pdf) // 2)
+    whole = spark.createDataFrame(pdf.sort_values(["window_id", "pos_in_window"]), SCHEMA).coalesce(1)
+    assert context.graph_windows(whole, spec).count() == len(pdf)
+    with pytest.raises(Exception, match="a window has not"):
+        context.graph_windows(whole.repartition(3, "flow_id"), spec).count()
+
+
+def test_more_models_than_are_sent_are_joined(spark):
+    pdf = random_edges(windows=4)
+    spec = ContextSpec(("model", *GROUP), 3, 4)
+    edges = spark.createDataFrame(pdf, SCHEMA).withColumn("model", F.concat(F.lit("m"), F.col("window_id").cast("string")))
+    rng = np.random.default_rng(5)
+    rows = [(f"m{w}", i, rng.normal(size=3).tolist()) for w in range(3) for i in range(spec.size)]
+    models = spark.createDataFrame(rows, rec.COEFFICIENTS)
+    a, b = (rec.score_flows(edges, models, spec, most=most).toPandas().sort_values("flow_id").score for most in (1 << 20, 8))
+    np.testing.assert_allclose(a, b, atol=1e-12)
+    assert 0 < a.isna().sum() < len(a)
+
+
+def test_aligned_index_of_a_dominant_silo_is_spread(spark):
+    from flowloom.operators.windows import aligned_index
+
+    rows = spark.range(60_000).select(F.when(F.col("id") % 10 < 9, "big").otherwise("small").alias("silo"), F.col("id").alias("at"))
+    indexed = rows.withColumn("row_pos", F.row_number().over(Window.partitionBy("silo").orderBy("at")) - 1)
+    got = aligned_index(indexed, 100, ["silo"]).withColumn("task", F.spark_partition_id())
+    windows = got.groupBy("silo", F.expr("row_pos div 100").alias("w")).agg(F.countDistinct("task").alias("tasks"))
+    assert windows.filter("tasks > 1").count() == 0
+    sizes = [r["count"] for r in got.groupBy("task").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 60_000 / 2
 
 
 def test_predictors_do_not_see_their_own_flow(spark):
@@ -196,7 +243,7 @@ def test_strong_pull_stays_near_the_global_parameters(spark, sf):
 @pytest.mark.parametrize("kept", [3, 6])
 def test_few_windows_do_not_give_the_target_away(spark, sf, mode, kept):
     """With 3 or 6 training windows a client, no model is much worse than the mean on validation windows."""
-    flows = C.train_flows(spark, sf).filter(F.col("flow_id") < 200 * (kept + 2)).withColumn("n_rows", F.lit(200 * (kept + 2)).cast("long"))
+    flows = C.train_flows(spark, sf).filter(F.col("flow_id") < 200 * (kept + 2)).withColumn("n_rows", F.least("n_rows", F.lit(200 * (kept + 2)).cast("long")))
     ready = plan.prepare_clients(flows, C.CONFIG)
     result = _rounds(ready, rounds=3, mode=mode)
     for client, rows in ready.val_gram.toPandas().groupby("client"):

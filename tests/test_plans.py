@@ -1,11 +1,12 @@
 """Shapes of physical plans: what must hold on tables of any size."""
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from flowloom.catalog import common as C
-from flowloom.operators import context, evaluate
+from flowloom.operators import context, evaluate, reconstruct
 from flowloom.operators.features import encode
 from flowloom.operators.windows import row_windows
 from flowloom.sources.flows import as_flows, lineitem_rows
@@ -24,7 +25,7 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 
 def test_index_result_needs_no_shuffle(spark, sf):
     text = plan(C.train_flows(spark, sf))
-    assert "hashpartitioning" not in text and "SinglePartition" not in text and "BroadcastHashJoin" in text
+    assert "hashpartitioning" not in text and "SinglePartition" not in text and "Join" not in text
 
 
 def test_tumbling_windows_are_a_projection(spark, sf):
@@ -37,12 +38,17 @@ def test_encoding_broadcasts_the_state_by_its_size(spark, sf):
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "hashpartitioning" not in text
 
 
-def test_window_graph_shuffles_once(spark, sf):
-    edges = C.train_edges(spark, sf)
-    spec = context.ContextSpec(C.GROUP, C.SPEC.width, 4)
-    for df in (context.endpoint_context(edges, spec), context.graph_windows(edges, spec)):
-        text = plan(df)
-        assert text.count("hashpartitioning(silo") == 1 and "SinglePartition" not in text
+def test_window_graph_of_an_aligned_index_has_no_exchange(spark, sf):
+    """Flows that were laid window by window are not shuffled; without that there is one shuffle."""
+    edges = C.train_edges(spark, sf).withColumn("model", F.col("silo"))
+    aligned = context.ContextSpec(("model", *C.GROUP), C.SPEC.width, 4, rows=C.CONFIG.window)
+    models = spark.createDataFrame([("A", i, [0.0] * C.SPEC.width) for i in range(aligned.size)], reconstruct.COEFFICIENTS)
+    for spec, exchanges in ((aligned, 0), (replace(aligned, rows=None), 1)):
+        for df in (context.endpoint_context(edges, spec), context.graph_windows(edges, spec), reconstruct.score_flows(edges, models, spec)):
+            text = plan(df)
+            assert text.count("Exchange hashpartitioning") == exchanges and "SinglePartition" not in text
+        sums = plan(reconstruct.gram_sums(edges, spec, "model"))
+        assert sums.count("Exchange hashpartitioning(model") == 1 + exchanges
 
 
 def test_curves_have_no_single_task_step(spark, sf):
