@@ -155,7 +155,7 @@ def silo_metrics(spark, sf):
     history = rows.agg(
         F.avg("l_tax").alias("val_mse"), F.avg("l_discount").alias("train_mse"), F.count(F.lit(1)).alias("n_val_edges")
     )
-    out = fed.silo_metrics(history, ["train_mse", "val_mse"])
+    out = fed.silo_metrics(history, ["train_mse", "val_mse"], silos=["A", "N", "R"])
     return out.select("round", *[F.expr(f"CASE WHEN round(`{c}`, 6) = 0 THEN 0.0D ELSE round(`{c}`, 6) END").alias(c) for c in out.columns if c != "round"])
 
 

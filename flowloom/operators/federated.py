@@ -58,9 +58,12 @@ def fed_average(updates: DataFrame, weighting: str = "equal", keys: Sequence[str
 
 
 def _differences(updates: DataFrame, base: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Changes of all parameters; one that the base lacks fails the query instead of leaving the norm."""
     start = base.select(*keys, *PARAMETER, F.col("value").alias("base"))
-    joined = updates.join(start, [*keys, *PARAMETER])
-    return joined.withColumn("delta", F.col("value") - F.col("base"))
+    joined = updates.join(start, [*keys, *PARAMETER], "left")
+    name = F.concat_ws(" ", F.lit("no base value for parameter"), "key", F.col("pos").cast("string"))
+    known = F.when(F.col("base").isNull(), F.raise_error(name).cast("double")).otherwise(F.col("base"))
+    return joined.withColumn("base", known).withColumn("delta", F.col("value") - F.col("base"))
 
 
 def update_norms(updates: DataFrame, base: DataFrame, keys: Sequence[str] = ("round",)) -> DataFrame:
@@ -111,10 +114,14 @@ def clip_and_noise(
     return mean.select(*keys, *PARAMETER, value.alias("value"))
 
 
-def silo_metrics(history: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("round",)) -> DataFrame:
-    """One column '<metric>/<silo>' per client and metric, and the loss weighted by validation edges."""
+def silo_metrics(history: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("round",), silos: Sequence[str] | None = None) -> DataFrame:
+    """One column '<metric>/<silo>' per client and metric, and the loss weighted by validation edges.
+
+    Without `silos` the columns are those of the history, which a pass over its clients lists first.
+    """
+    names = [f"{m}/{s}" for m in metrics for s in silos] if silos is not None else None
     named = F.array(*[F.struct(F.concat(F.lit(f"{m}/"), F.col("silo")).alias("name"), F.col(m).alias("v")) for m in metrics])
-    wide = history.select(*keys, F.inline(named)).groupBy(*keys).pivot("name").agg(F.max("v"))
+    wide = history.select(*keys, F.inline(named)).groupBy(*keys).pivot("name", names).agg(F.max("v"))
     return wide.join(weighted_loss(history, keys), list(keys))
 
 

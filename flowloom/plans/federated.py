@@ -9,8 +9,9 @@ value.  Tables of clients have one row per parameter and client and are written
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,8 @@ from flowloom.operators.features import fit_encoder
 from flowloom.operators.split import shard_cuts, shard_flows
 from flowloom.operators.windows import window_list
 from flowloom.plans.training import RunConfig, in_place, training_part, window_cuts
-from flowloom.stage import materialize, task_count
+from flowloom.sources.state import RoundLog
+from flowloom.stage import materialize, shared_dir, task_count
 
 MEAN, SCALE = "encoder.batch_norm.running_mean", "encoder.batch_norm.running_scale"
 BASIS, HEAD, COEF = "encoder.basis", "decoder.head", "decoder.coef"
@@ -216,38 +218,46 @@ def _validate(gram: DataFrame, shared: dict, private: DataFrame | None, spec: Co
 
 
 def federated_fit(
-    train_gram: DataFrame, val_gram: DataFrame, weights: DataFrame, spec: ContextSpec, cfg: FederatedConfig
+    train_gram: DataFrame, val_gram: DataFrame, weights: DataFrame, spec: ContextSpec, cfg: FederatedConfig, log: str | None = None
 ) -> FederatedResult:
     """All rounds; the last one is kept.
 
     `train_gram`, `val_gram`: sums per `client` (and the client's `penalty`); `weights`: (client, weight), the
-    training windows of a client, used by 'examples'.
+    training windows of a client, used by 'examples'.  With `log`, a folder, every round is
+    committed there and a run goes on after the last committed round of an earlier one with the
+    same settings; the number of rounds may be raised.
     """
     spark = train_gram.sparkSession
+    settings = {k: v for k, v in asdict(cfg).items() if k != "rounds"} | {"size": spec.size, "width": spec.width}
+    rounds = RoundLog(spark, log or f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", settings)
     start = _long("server", initial_parameters(spec, cfg)).drop(columns="client")
-    shared = materialize(spark.createDataFrame(start, "key string, pos int, value double"), "round")
+    shared = rounds.read(rounds.last, "parameters") if rounds.last else spark.createDataFrame(start, "key string, pos int, value double")
     values = shared_values(shared)
-    private: DataFrame | None = None
-    history, norms = [], []
+    private = rounds.read(rounds.last, "private") if rounds.last else None
+    history = [rounds.read(n, "history") for n in range(1, min(rounds.last, cfg.rounds) + 1)]
+    norms = [rounds.read(n, "norms") for n in range(1, min(rounds.last, cfg.rounds) + 1)]
+    if rounds.last > cfg.rounds:
+        raise ValueError(f"the log holds {rounds.last} rounds, more than the {cfg.rounds} asked for")
     is_metric = F.col("key").startswith("metric.")
-    for number in range(1, cfg.rounds + 1):
+    for number in range(rounds.last + 1, cfg.rounds + 1):
         local = materialize(_local_round(train_gram, values, private, spec, cfg), "local")
         updates = local.filter(~is_metric & fed.is_exchanged(cfg.mode)).join(weights, "client")
         own = local.filter(~is_metric & ~fed.is_exchanged(cfg.mode))
-        private = None if cfg.mode == "na" else own
+        private = None if cfg.mode == "na" else rounds.write(own, number, "private")
         base = shared.filter(fed.is_exchanged(cfg.mode))
         if cfg.clip is None:
             merged = fed.fed_average(updates, cfg.weighting, keys=())
         else:
             noise_seed = cfg.seed * 1_000_003 + number
             merged = fed.clip_and_noise(updates, base, cfg.clip, cfg.sigma, noise_seed, cfg.weighting, keys=())
-        norms.append(materialize(fed.update_norms(updates, base, keys=()).withColumn("round", F.lit(number)), "norms"))
+        norms.append(rounds.write(fed.update_norms(updates, base, keys=()).withColumn("round", F.lit(number)), number, "norms"))
         # parameters that are never exchanged keep their first value in the global table
         kept = shared.filter(~fed.is_exchanged(cfg.mode))
-        shared = materialize(merged.unionByName(kept), "round")
+        shared = rounds.write(merged.unionByName(kept), number, "parameters")
         values = shared_values(shared)
         measured = local.filter(is_metric).unionByName(_validate(val_gram, values, private, spec))
-        history.append(materialize(measured.withColumn("round", F.lit(number)), "history"))
+        history.append(rounds.write(measured.withColumn("round", F.lit(number)), number, "history"))
+        rounds.commit(number)
     return FederatedResult(shared, private, _round_history(history), _all(norms))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,54 @@ def write_metrics(metrics: DataFrame, json_path: str, csv_path: str, columns: Se
     metrics.select(*present).write.mode("overwrite").option("header", True).csv(csv_path)
 
 
+class RoundLog:
+    """Tables of a run of rounds below `root`, each round with a marker once all of its tables are written.
+
+    A run that finds a log goes on after the last marked round; a round without a marker is
+    written again.  The marker holds the settings of the run, and a log of other settings is refused.
+    """
+
+    MARKER = "committed.json"
+
+    def __init__(self, spark: SparkSession, root: str, settings: Mapping) -> None:
+        self.spark, self.root, self.settings = spark, root.rstrip("/"), json.dumps(dict(settings), sort_keys=True)
+        known = self._marked()
+        self.last = max(known, default=0)
+        for number in known[-1:]:
+            if (found := spark.read.text(f"{self._folder(number)}/{self.MARKER}").first()[0]) != self.settings:
+                raise ValueError(f"the log at {root} is of a run with other settings: {found}")
+
+    def _folder(self, number: int) -> str:
+        return f"{self.root}/round={number:06d}"
+
+    def _files(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _marked(self) -> list[int]:
+        place, files = self._files(self.root)
+        if not files.exists(place):
+            return []
+        names = [s.getPath().getName() for s in files.listStatus(place)]
+        numbers = sorted(int(n.removeprefix("round=")) for n in names if n.startswith("round="))
+        return [n for n in numbers if files.exists(self._files(f"{self._folder(n)}/{self.MARKER}")[0])]
+
+    def write(self, table: DataFrame, number: int, name: str) -> DataFrame:
+        table.write.mode("overwrite").parquet(f"{self._folder(number)}/{name}")
+        return self.spark.read.schema(table.schema).parquet(f"{self._folder(number)}/{name}")
+
+    def read(self, number: int, name: str) -> DataFrame | None:
+        place, files = self._files(f"{self._folder(number)}/{name}")
+        return self.spark.read.parquet(place.toString()) if files.exists(place) else None
+
+    def commit(self, number: int) -> None:
+        place, files = self._files(f"{self._folder(number)}/{self.MARKER}")
+        out = files.create(place, True)
+        out.writeBytes(self.settings)
+        out.close()
+        self.last = number
+
+
 def pending(silos: DataFrame, done: DataFrame, key: str = "silo") -> DataFrame:
     """Silos without stored metrics."""
     return silos.join(done.select(key).distinct(), key, "left_anti")

@@ -254,6 +254,35 @@ def test_few_windows_do_not_give_the_target_away(spark, sf, mode, kept):
         assert last <= 1.2 * variance, client
 
 
+@pytest.mark.parametrize("settings", [{"mode": "fedbn"}, {"mode": "na", "clip": 5.0, "sigma": 0.01}])
+def test_a_resumed_run_equals_an_unbroken_one(spark, sf, tmp_path, settings):
+    """Stopped after round 2 and started again: the same parameters, private parts, norms and history."""
+    ready = federation._clients(spark, sf)
+
+    def run(rounds, log=None, **more):
+        cfg = plan.FederatedConfig(rounds=rounds, **(settings | more))
+        return plan.federated_fit(ready.train_gram, ready.val_gram, ready.weights, SPEC, cfg, log)
+
+    def rows(df):
+        return None if df is None else sorted(map(tuple, df.collect()), key=str)
+
+    log = str(tmp_path / "log")
+    run(2, log)
+    (tmp_path / "log" / "round=000003").mkdir()  # a round that was broken off
+    resumed, whole = run(3, log), run(3)
+    for part in ("parameters", "private", "norms", "history"):
+        a, b = rows(getattr(resumed, part)), rows(getattr(whole, part))
+        assert a == b if a is None else all(x == pytest.approx(y, rel=1e-9) if isinstance(x, float) else x == y for p, q in zip(a, b, strict=True) for x, y in zip(p, q, strict=True))
+    with pytest.raises(ValueError, match="other settings"):
+        run(4, log, mu=1.0)
+
+
+def test_a_parameter_without_a_base_is_an_error(spark):
+    updates = spark.createDataFrame([(1, "c", "k", 0, 1.0), (1, "c", "k", 1, 1.0)], "round int, client string, key string, pos int, value double")
+    with pytest.raises(Exception, match="no base value"):
+        fed.update_norms(updates, updates.filter("pos = 0")).collect()
+
+
 def test_private_parameters_stay_out_of_the_average(spark, sf):
     ready = federation._clients(spark, sf)
     result = _rounds(ready, rounds=1, mode="fedrep")
