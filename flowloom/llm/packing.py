@@ -42,8 +42,8 @@ from flowloom.stage import materialize, task_count
 CAPACITY, END = 4096, 1
 #: Lengths from this part of the capacity on are large; numbers of groups of which the best plan is taken.
 LARGE, GROUPS = 1 / 4, (8, 16, 32)
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Words whose ids a task remembers, and words in one call of the encoder.
+REMEMBERED, CALL_WORDS = 400_000, 20_000
 
 # ---- token ids
 
@@ -80,30 +80,43 @@ class WordIds:
                 ranks[bytes(byte_of[c] for c in body) + b"\0" * ends] = number
         self.special = tuple(special)
         self.ranks = tiktoken.Encoding("words", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={})
+        self.last = np.zeros(max(ranks.values()) + 1, bool)
+        self.last[[n for token, n in ranks.items() if token.endswith(b"\0")]] = True
         self.known: dict[bytes, bytes] = {}
 
     def word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if self._PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            ids = self.ranks.encode_ordinary("".join(f"{p}\0" for p in self._PIECE.findall(text.lower())))
-        else:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        """Ids of one word by the tokenizer itself."""
+        return np.array(self.whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        """Remembers the ids of unknown words; up to CALL_WORDS plain ones go into one call of the encoder."""
+        plain: list[tuple[bytes, list[str]]] = []
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            if self._PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+                plain.append((word, self._PIECE.findall(text.lower())))
+            else:
+                self.known[word] = self.word(word)
+        for k in range(0, len(plain), CALL_WORDS):
+            call = plain[k : k + CALL_WORDS]
+            ids = self.ranks.encode_to_numpy("".join([f"{p}\0" for _, own in call for p in own])).astype("<u4")
+            # every piece ends with the one token that holds its zero byte
+            piece_ends = np.flatnonzero(self.last[ids]) + 1
+            ends = piece_ends[np.cumsum([len(own) for _, own in call]) - 1].tolist()
+            for (word, _), a, b in zip(call, [0, *ends], ends, strict=False):
+                self.known[word] = ids[a:b].tobytes()
+
+    def batch(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of every text."""
+        split = [t.split() for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        self.learn(set().union(*split) - self.known.keys())
+        known = self.known
+        return [b"".join([known[w] for w in words]) for words in split]
 
     def __call__(self, text: bytes) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        known = self.known
-        words = text.split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self.word(w)
-        return b"".join([known[w] for w in words])
+        return self.batch([text])[0]
 
 
 def byte_letters() -> dict[str, int]:
@@ -131,8 +144,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool
 
         def work(batch: pa.RecordBatch) -> list:
             out: list[list] = [[] for _ in schema]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                whole = encode(text) + end
+            for doc, whole in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1).to_pylist()), strict=True):
+                whole += end
                 for k, a in enumerate(range(0, len(whole), 4 * capacity)):
                     part = whole[a : a + 4 * capacity]
                     row = [doc, k, a // 4, len(part) // 4, zlib.crc32(part)]
