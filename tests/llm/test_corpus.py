@@ -183,6 +183,16 @@ def test_ids_of_any_text(text):
     assert np.frombuffer(encode(text.encode()), "<u4").tolist() == encode.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_a_batch_are_those_of_single_words(monkeypatch):
+    rng = random.Random(14)
+    texts = [" ".join("".join(rng.choices("abcé'12<|>ß日.,S ", k=rng.randint(1, 9))) for _ in range(60)).encode() for _ in range(80)]
+    monkeypatch.setattr(packing, "CALL_WORDS", 50)
+    encode = packing.WordIds(WORD_BPE)
+    got = encode.batch(texts)
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encode.whole.encode(text.decode(), add_special_tokens=False).ids
+
+
 # ---- toxicity
 
 
@@ -222,12 +232,9 @@ def test_toxicity(spark, make, odd, nothing):
 # ---- language
 
 
-def plain_length(text, grams, symbols=59, order=3):
+def plain_length(text, grams, symbols=256, order=3):
     """Code length by the definition: longest seen context first, escapes of method C below."""
-    def fold(b):
-        return b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 + (b & 31) if b >= 128 else 0
-
-    stream = [0] * order + [fold(b) for b in text]
+    stream = [32] * order + [*text]
     bits = 0.0
     for k in range(order, len(stream)):
         for size in range(order, -2, -1):
@@ -248,20 +255,39 @@ def plain_length(text, grams, symbols=59, order=3):
 def test_code_lengths(spark):
     texts = {"de": ["Die Straße ist grün", "über Äpfel"], "en": ["the cat sat", "on the mat 12"], "zz": [""]}
     rows = [(lang, t.encode()) for lang, own in texts.items() for t in own]
-    model = language_id.fit(spark.createDataFrame(rows, "lang string, text binary"))
+    (model,) = language_id.models(spark.createDataFrame(rows, "lang string, text binary"))
     assert model.langs == ["de", "en"]
-    probes = [b"the mat", "grüße".encode(), b"", b"zzzz qqq", b"Die Katze"]
+    probes = [b"the mat", "grüße".encode(), b"", b"zzzz qqq", b"Die Katze", bytes(range(256)), "日本 Straße".encode()]
     got = model.lengths(probes)
     for k, lang in enumerate(model.langs):
         grams = [defaultdict(Counter) for _ in range(4)]
         for t in texts[lang]:
-            s = [0, 0, 0, *language_id._SYMBOL[np.frombuffer(t.encode(), np.uint8)].tolist()]
+            s = [32, 32, 32, *t.encode()]
             for at in range(3, len(s)):
                 for size in range(4):
                     grams[size][tuple(s[at - size : at])][s[at]] += 1
         assert got[:, k] == pytest.approx([plain_length(p, grams) for p in probes], rel=1e-5)
 
 
+def test_strings_of_high_counts_are_kept(spark):
+    rng = random.Random(15)
+    rows = [(f"{lang}", f"{lang} {rng.randrange(10**6)} common words".encode()) for lang in ("a", "b") for _ in range(300)]
+    table = spark.createDataFrame(rows, "lang string, text binary")
+    (whole,) = language_id.models(table)
+    (small,) = language_id.models(table, most=60)
+    assert len(small.four.keys) <= 120 < len(whole.four.keys) and set(small.four.keys) < set(whole.four.keys)
+    assert np.frombuffer(b"comm", ">u4")[0] in small.four.keys
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sets(st.integers(0, 2**32 - 1), max_size=300), st.lists(st.integers(0, 2**32 - 1), max_size=50))
+def test_index_finds_its_keys(keys, others):
+    known = np.array(sorted(keys), np.uint32)
+    index = language_id.Index(known)
+    asked = np.array([*keys, *others], np.uint32)
+    assert [int(known[r]) if r >= 0 else None for r in index.find(asked)] == [k if k in keys else None for k in asked.tolist()]
+
+
 def test_language_id(make, odd, nothing):
     rng = random.Random(11)
     parts = {"en": ["the", "and", "ing", "tion", "er"], "fr": ["le", "eau", "tion", "é", "oi"], "de": ["der", "sch", "ung", "ü", "ei"]}
@@ -275,6 +301,8 @@ def test_language_id(make, odd, nothing):
     held = [k for k in langs if zlib.crc32(str(k).encode()) % 4 == 2]
     assert {k for k, r in found.items() if r.held_out} == set(held)
     assert sum(found[k].lang_pred == langs[k] for k in held if langs[k]) >= 0.95 * sum(langs[k] is not None for k in held)
+    blocks = {r.doc_id: r for r in language_id.language_id(make(rows), langs=2).collect()}  # two passes
+    assert all(blocks[k].lang_pred == r.lang_pred and blocks[k].score == pytest.approx(r.score, abs=1e-9) for k, r in found.items())
     got = {r.doc_id: r for r in language_id.language_id(odd).collect()}
     texts = {r.doc_id: r.text for r in odd.collect()}
     for k, r in got.items():
