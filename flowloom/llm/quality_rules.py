@@ -6,9 +6,9 @@ the limit (an absolute number, so that copies and the size of a host do not move
 
 A document that was copied counts once, else the lines of a page with a thousand near copies
 would look like boilerplate and all copies would go.  A document is told by all of its lines
-together, as a set; lines in which a word was changed stand for the line that they were.  Such
-a line has its first or its last words (END_WORDS of them) in common with a line above the
-limit and is taken for that line.  So exact copies and copies with changed words are one
+together, as a set; lines in which words were changed stand for the line that they were.  Such
+a line has its first or its last words, or those around the longest word of one of up to CORES
+parts between them, in common with a line above the limit and is taken for that line.  So exact copies and copies with changed words are one
 document, and any other line, one line more or less, or another choice from a pool of
 lines make a different one, whatever share of the text that is.
 
@@ -33,8 +33,9 @@ from flowloom.stage import materialize
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
-#: Words at either end of a line that are looked up, fewer for short lines, which need twice as many.
-END_WORDS, SHORT_END_WORDS = 4, 3
+#: Words at either end of a line that are looked up, fewer for short lines, which need twice as many;
+#: parts of the rest, and words that each of them needs (a rest with fewer for all is one part).
+END_WORDS, SHORT_END_WORDS, CORES, CORE_WORDS = 4, 3, 3, 3
 _FOLD = bytes(0x30 if 0x30 <= b <= 0x39 else b for b in LOWER_ASCII)
 _SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -57,13 +58,20 @@ def line_hash(normal: bytes) -> int:
     return int.from_bytes(md5(normal).digest()[:8], "big") >> 1
 
 
-def end_hashes(normal: bytes) -> tuple[int | None, int | None]:
-    """Hashes of the first and the last words of a line; none if the two would overlap."""
+def window_hashes(normal: bytes) -> list[int | None]:
+    """Hashes of the first and the last words of a line, and of three words in each part between; none where they would overlap."""
     words = normal.split(b" ")
     n = END_WORDS if len(words) >= 2 * END_WORDS else SHORT_END_WORDS
-    if len(words) < 2 * n:
-        return None, None
-    return line_hash(b"<" + b" ".join(words[:n])), line_hash(b">" + b" ".join(words[-n:]))
+    out: list[int | None] = [None] * (2 + CORES)
+    if len(words) >= 2 * n:
+        out[:2] = line_hash(b"<" + b" ".join(words[:n])), line_hash(b">" + b" ".join(words[-n:]))
+        rest = words[n:-n]
+        parts = CORES if len(rest) >= CORES * CORE_WORDS else int(len(rest) >= CORE_WORDS)
+        for k in range(parts):
+            part = rest[k * len(rest) // parts : (k + 1) * len(rest) // parts]
+            longest = part.index(max(part, key=len))
+            out[2 + k] = line_hash(b"%d|" % k + b" ".join(part[max(0, longest - 1) : longest + 2]))
+    return out
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -110,7 +118,7 @@ _FIGURES = pa.schema(
         ("row", pa.int64()), ("doc_id", pa.int64()), ("host", pa.string()), ("text_key", pa.string()),
         ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()),
         ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()),
-        ("lines", pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64()), ("head", pa.int64()), ("tail", pa.int64())]))),
+        ("lines", pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64()), ("windows", pa.list_(pa.int64()))]))),
     ]
 )
 
@@ -125,8 +133,7 @@ def _figures() -> Callable[[pa.RecordBatch], list]:
                 if normal:
                     key = line_hash(normal)
                     if key not in lines:
-                        head, tail = end_hashes(normal)
-                        lines[key] = {"line": key, "words": 0, "head": head, "tail": tail}
+                        lines[key] = {"line": key, "words": 0, "windows": window_hashes(normal)}
                     lines[key]["words"] += normal.count(b" ") + 1
             row = (md5(text).hexdigest(), *base_figures(text), [*lines.values()])
             for column, value in zip(out, row, strict=True):
@@ -137,7 +144,7 @@ def _figures() -> Callable[[pa.RecordBatch], list]:
 
 
 def figures(docs: DataFrame, host: str = "source") -> DataFrame:
-    """One row per document, written: base figures, hashes of lines and of their ends, words of the lines."""
+    """One row per document, written: base figures, hashes of lines and of windows in them, words of the lines."""
     slim = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -150,22 +157,25 @@ def figures(docs: DataFrame, host: str = "source") -> DataFrame:
 def frequent_lines(facts: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(host, line) of the lines above the limit, written."""
     lines = facts.select("row", "host", F.explode("lines").alias("at"))
-    keyed = lines.select("row", "host", F.col("at.line").alias("line"), F.posexplode(F.array("at.line", "at.head", "at.tail")).alias("end", "key")).filter("key is not null")
+    keyed = lines.select("row", "host", F.col("at.line").alias("line"), F.posexplode(F.concat(F.array("at.line"), "at.windows")).alias("place", "key")).filter("key is not null")
     # the count with all copies is never below the number of documents, so few lines are looked at closely
     often = keyed.groupBy("host", "key").agg(F.count("*").alias("holders"))
     often = materialize(often.filter(F.col("holders") > limits.most_docs).select("host", "key"), "quality-often")
     hits = materialize(keyed.join(often, ["host", "key"]), "quality-hits")
 
-    # the line that an end stands for: the least of those that are themselves above the limit, or the end itself
-    whole = hits.filter("end = 0").select("host", "line").distinct()
-    stands = materialize(hits.filter("end > 0").join(whole, ["host", "line"]).groupBy("host", "key").agg(F.min("line").alias("stands")), "quality-ends")
-    ends = hits.join(stands, ["host", "key"], "left").withColumn("stands", F.coalesce("stands", "key"))
-    by = lambda end: F.max(F.when(F.col("end") == end, F.col("stands")))
-    taken = ends.groupBy("row", "line").agg(F.coalesce(by(2), by(1), F.col("line")).alias("stands"))
+    # what a line stands for follows from the line alone, so each is looked at once, however many rows hold it
+    kinds = materialize(hits.select("host", "line", "place", "key").distinct(), "quality-kinds")
+    whole = kinds.filter("place = 0").select("host", "line")
+    # a window stands for the least of the lines that are themselves above the limit, or for itself
+    stands = materialize(kinds.filter("place > 0").join(whole, ["host", "line"]).groupBy("host", "key").agg(F.min("line").alias("stands")), "quality-windows")
+    by = [F.max(F.when(F.col("place") == k, F.coalesce("stands", "key"))) for k in (2, 1, *range(3, 3 + CORES))]
+    families = kinds.join(stands, ["host", "key"], "left").groupBy("host", "line").agg(F.coalesce(*by, F.col("line")).alias("stands"))
+    rows = materialize(hits.groupBy("row", "host", "line").agg(F.min("place").alias("place")), "quality-rows")
+    taken = rows.join(materialize(families, "quality-families"), ["host", "line"])
     shared = taken.groupBy("row").agg(F.collect_set("line").alias("shared"), F.collect_set("stands").alias("stand"))
     own = F.filter(F.transform("lines", lambda x: x["line"]), lambda x: ~F.array_contains("shared", x))
     told = facts.join(shared, "row").select("row", F.md5(F.array_join(F.sort_array(F.array_union("stand", own)).cast("array<string>"), " ")).alias("document"))
-    held = hits.filter("end = 0").select("row", "host", "line").join(materialize(told, "quality-told"), "row")
+    held = rows.filter("place = 0").select("row", "host", "line").join(materialize(told, "quality-told"), "row")
     counts = held.groupBy("host", "line").agg(F.countDistinct("document").alias("docs"))
     return materialize(counts.filter(F.col("docs") > limits.most_docs).select("host", "line"), "quality-lines")
 

@@ -31,10 +31,17 @@ WITH docs AS (
   FROM with_word JOIN docs USING (rid) WHERE normal <> '' GROUP BY ALL
 ), split AS (
   SELECT rid, host, normal, string_split(normal, ' ') AS ws, CASE WHEN len(string_split(normal, ' ')) >= 8 THEN 4 ELSE 3 END AS n FROM lines
+), parts AS (
+  SELECT rid, host, normal, k, rest[k * len(rest) // m + 1:(k + 1) * len(rest) // m] AS part FROM (
+    SELECT *, unnest(range(m)) AS k FROM (
+      SELECT rid, host, normal, ws[n + 1:len(ws) - n] AS rest, CASE WHEN len(ws) - 2 * n >= 9 THEN 3 WHEN len(ws) - 2 * n >= 3 THEN 1 ELSE 0 END AS m FROM split WHERE len(ws) >= 2 * n))
+), cores AS (
+  SELECT *, list_position(list_transform(part, lambda x: strlen(x)), list_max(list_transform(part, lambda x: strlen(x)))) AS longest FROM parts
 ), keys AS (
   SELECT rid, host, normal, 0 AS place, normal AS key FROM lines
   UNION ALL SELECT rid, host, normal, 1, '<' || array_to_string(ws[:n], ' ') FROM split WHERE len(ws) >= 2 * n
   UNION ALL SELECT rid, host, normal, 2, '>' || array_to_string(ws[len(ws) - n + 1:], ' ') FROM split WHERE len(ws) >= 2 * n
+  UNION ALL SELECT rid, host, normal, 3 + k, k || '|' || array_to_string(part[greatest(1, longest - 1):longest + 1], ' ') FROM cores
 ), often AS (
   SELECT host, key FROM keys GROUP BY host, key HAVING count(*) > 10
 ), hits AS (
@@ -44,7 +51,8 @@ WITH docs AS (
 ), ends AS (
   SELECT host, key, min(substr(md5(normal), 1, 16)) AS stands FROM hits JOIN whole USING (host, normal) WHERE place > 0 GROUP BY ALL
 ), taken AS (
-  SELECT rid, normal, coalesce(max(coalesce(stands, key)) FILTER (WHERE place = 2), max(coalesce(stands, key)) FILTER (WHERE place = 1), substr(md5(normal), 1, 16)) AS stands
+  SELECT rid, normal, coalesce(max(coalesce(stands, key)) FILTER (WHERE place = 2), max(coalesce(stands, key)) FILTER (WHERE place = 1),
+    max(coalesce(stands, key)) FILTER (WHERE place = 3), max(coalesce(stands, key)) FILTER (WHERE place = 4), max(coalesce(stands, key)) FILTER (WHERE place = 5), substr(md5(normal), 1, 16)) AS stands
   FROM hits LEFT JOIN ends USING (host, key) GROUP BY rid, normal
 ), told AS (
   SELECT rid, md5(string_agg(DISTINCT coalesce(stands, substr(md5(normal), 1, 16)), ' ' ORDER BY coalesce(stands, substr(md5(normal), 1, 16)))) AS document
