@@ -1,8 +1,9 @@
 """Token counts: exact lengths of whole texts under a public byte-level vocabulary.
 
 Method: an Arrow function groups the texts of a batch into calls of about equal bytes,
-cuts long texts at safe boundaries and keeps lengths only.  A blank between two letters
-of the Latin-1 range is safe: the pre-tokenizer always starts a new piece at that blank.
+cuts long texts at safe boundaries and keeps lengths only.  A single blank or line end
+between two letters or digits of any script is safe: the pre-tokenizer always starts a new
+piece there.  A text without any, as of a script without blanks, is one piece.
 
 Texts of Latin-1 characters are counted by the rank form of the same vocabulary, which
 merges alike and much faster; pieces with any other character go to the tokenizer itself.
@@ -29,7 +30,7 @@ from flowloom.llm.common import map_batches
 
 #: Bytes in one call of the encoder, and the most of one piece where a safe boundary exists.
 CALL_BYTES, PIECE_CHARS = 1 << 18, 1 << 15
-_SAFE = re.compile(r"(?<=[a-zA-ZÀ-ÖØ-öø-ÿ]) (?=[a-zA-ZÀ-ÖØ-öø-ÿ])")
+_SAFE = re.compile(r"(?<=[^\W_])[ \n](?=[^\W_])")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7EÀ-ÿ]*")
 
 
@@ -83,7 +84,7 @@ def count_batch(texts: list[str], path: str) -> list[int]:
         for part in pieces(text):
             plain = ranks is not None and _PLAIN.fullmatch(part) is not None
             calls[plain].append((at, part))
-            sizes[plain] += len(part)
+            sizes[plain] += len(part) if part.isascii() else len(part.encode())
             if sizes[plain] >= CALL_BYTES:
                 flush(plain)
     flush(True)
