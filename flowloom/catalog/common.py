@@ -40,12 +40,19 @@ def query(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 _kept: dict[tuple, DataFrame] = {}
 
 
+def _state_of(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of the files of a folder, so that a changed folder is read again."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(place)))
+
+
 def once(fn: QueryFn) -> QueryFn:
     """Keep a written input table for the other queries of the same session and folder."""
 
     @wraps(fn)
     def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, spark.sparkContext.startTime, sf_dir, fn.__name__)
+        key = (spark.sparkContext.applicationId, spark.sparkContext.startTime, sf_dir, _state_of(spark, sf_dir), fn.__name__)
         if key not in _kept:
             _kept[key] = fn(spark, sf_dir)
         return _kept[key]
@@ -143,6 +150,22 @@ windowed AS (
   SELECT *, flow_id // 200 AS window_id, flow_id % 200 AS pos
   FROM flows WHERE (flow_id // 200) * 200 + 200 <= n_rows)"""
 
+#: The same flows in windows of 200 that begin at every 100th.
+OVERLAPPING_SQL = f"""{TRAIN_SQL},
+windowed AS (
+  SELECT *, flow_id - window_id * 100 AS pos FROM (SELECT *, unnest([flow_id // 100 - 1, flow_id // 100]) AS window_id FROM flows)
+  WHERE window_id >= 0 AND window_id * 100 + 200 <= n_rows)"""
+
+#: All flows of a silo as one window.
+FRAME_WINDOW_SQL = f"""{TRAIN_SQL},
+windowed AS (SELECT *, 0 AS window_id, flow_id AS pos FROM flows)"""
+
+#: Every window once for each silo `model` whose encoder it gets.
+CROSSED_SQL = f"""{TRAIN_SQL},
+windowed AS (
+  SELECT f.* EXCLUDE (silo), m.silo || '>' || f.silo AS silo, f.silo AS test_silo, m.silo AS model, flow_id // 200 AS window_id, flow_id % 200 AS pos
+  FROM flows f, (SELECT DISTINCT silo FROM flows) m WHERE (flow_id // 200) * 200 + 200 <= n_rows)"""
+
 NUMERIC_SQL = (
     "CAST(min_ttl AS DOUBLE)",
     "ln(1 + greatest(duration, 0.0))",
@@ -171,14 +194,14 @@ def _moments_sql() -> str:
     return f"moments AS (SELECT silo, {', '.join(cols)} FROM flows GROUP BY silo)"
 
 
-def features_sql(windowed: bool = True) -> str:
-    """CTEs ending in `edges`: windowed training flows with the scaled vector f0 .. f17."""
+def features_sql(windowed: str = WINDOWED_SQL, encoder: str = "silo") -> str:
+    """CTEs ending in `edges`: windowed training flows with the scaled vector f0 .. f17, by the encoder of the silo in that column."""
     scaled = ", ".join(f"({e} - m{i}) / s{i} AS f{i}" for i, e in enumerate(NUMERIC_SQL))
     hot = [f"CASE WHEN pcode = {i} THEN 1.0 ELSE 0.0 END" for i in range(5)]
     hot += [f"CASE WHEN bucket = {i} THEN 1.0 ELSE 0.0 END" for i in range(3)]
     hot += [f"CASE WHEN qcode = {i} THEN 1.0 ELSE 0.0 END" for i in range(6)]
     blocks = ", ".join(f"CAST({h} AS DOUBLE) AS f{4 + i}" for i, h in enumerate(hot))
-    return f"""{WINDOWED_SQL},
+    return f"""{windowed},
 {_moments_sql()},
 {vocab_sql()},
 lists AS (
@@ -190,7 +213,7 @@ coded AS (
     coalesce(nullif(list_position(pvocab, protocol), 0), 5) - 1 AS pcode,
     CASE WHEN src_port <= 1023 THEN 0 WHEN src_port <= 49151 THEN 1 ELSE 2 END AS bucket,
     CASE WHEN dst_port > 49151 THEN 5 ELSE coalesce(nullif(list_position(qvocab, dst_port), 0), 5) - 1 END AS qcode
-  FROM {'windowed' if windowed else 'flows'} w JOIN moments m ON w.silo = m.silo JOIN lists l ON w.silo = l.silo),
+  FROM windowed w JOIN moments m ON w.{encoder} = m.silo JOIN lists l ON w.{encoder} = l.silo),
 edges AS (SELECT *, {scaled}, {blocks} FROM coded)"""
 
 

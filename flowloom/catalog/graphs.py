@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowloom.catalog.common import (
-    CONFIG, GROUP, SPEC, WINDOWED_SQL, each6, embeddings_sql, features_sql, flows_sql, holdout_flows, nodes_sql, q6,
-    query, r6_all, r6_items, table, train_edges, train_windows,
+    CONFIG, CROSSED_SQL, FRAME_WINDOW_SQL, GROUP, OVERLAPPING_SQL, SPEC, TRAIN_SQL, WINDOWED_SQL, each6, embeddings_sql, features_sql, flows_sql, nodes_sql, q6,
+    query, r6_all, r6_items, silo_encoder, table, train_edges, train_flows, train_windows,
 )
 from flowloom.functions.scalar import r6
 from flowloom.operators import combine, graph, reconstruct, wholegraph
 from flowloom.operators import context
 from flowloom.operators.context import ContextSpec
+from flowloom.operators.features import encode
+from flowloom.plans import training
 from flowloom.sources.flows import DST, SRC
+from flowloom.stage import materialize
 
 G = list(GROUP)
 SPEC4 = ContextSpec(GROUP, SPEC.width, 4, rows=CONFIG.window)
@@ -83,14 +88,14 @@ def graph_windows(spark, sf):
     )
 
 
-FRAME_SQL = f"""WITH {flows_sql("split = 'holdout'")},
+FRAME_SQL = f"""WITH {TRAIN_SQL},
   windowed AS (SELECT *, flow_id AS pos FROM flows), {nodes_sql(group='silo')}, {embeddings_sql(group=('silo',))}
   SELECT silo, node_id, ip, {each6('v', 4)} FROM emb"""
 
 
 @query("single_graph", FRAME_SQL)
 def single_graph(spark, sf):
-    flows = holdout_flows(spark, sf)
+    flows = train_flows(spark, sf)
     nodes = wholegraph.frame_nodes(flows, ["silo"], "flow_id")
     out = wholegraph.frame_embeddings(flows, nodes, ["silo"], 4)
     return out.select("silo", "node_id", "ip", *r6_items("embedding", 4, "v"))
@@ -106,7 +111,7 @@ def window_mean(spark, sf):
     return out.select(*G, "n_edges", *r6_items("context", SPEC.width, "c"))
 
 
-def _context_cte() -> str:
+def _context_cte(windowed: str = WINDOWED_SQL, encoder: str = "silo") -> str:
     """`pred`: every flow with its contexts (a, b, w), end vectors (sv, dv) and features."""
 
     def other(i: int, keys: str) -> str:
@@ -116,7 +121,7 @@ def _context_cte() -> str:
     parts = {"a": "silo, window_id, src", "b": "silo, window_id, dst", "w": "silo, window_id"}
     cols = ", ".join(f"{other(i, k)} AS {p}{i}" for p, k in parts.items() for i in range(18))
     ends = ", ".join(f"{p}.v{i} AS {p}v{i}" for p in ("s", "d") for i in range(4))
-    return f"""WITH {features_sql()}, {nodes_sql()}, {embeddings_sql()}, ctx AS (SELECT *, {cols} FROM edges),
+    return f"""WITH {features_sql(windowed, encoder)}, {nodes_sql()}, {embeddings_sql()}, ctx AS (SELECT *, {cols} FROM edges),
     pred AS (SELECT e.*, {ends} FROM ctx e
       JOIN emb s ON {ON.format('s')} AND e.src = s.ip JOIN emb d ON {ON.format('d')} AND e.dst = d.ip)"""
 
@@ -144,13 +149,24 @@ def fixed_coefficient(i: int, j: int) -> float:
     return ((7 * i + 3 * j) % 11 - 5) / 100
 
 
-def _score_sql() -> str:
+def _fixed_error() -> str:
+    """Error of a flow of `pred` under the fixed coefficients."""
     entries = ["1.0", *PREDICTORS]
     errors = []
     for j in range(18):
         predicted = " + ".join(f"{fixed_coefficient(i, j)} * {x}" for i, x in enumerate(entries))
         errors.append(f"({predicted} - f{j}) ** 2")
-    return f"{_context_cte()} SELECT silo, window_id, flow_id, label, {q6('(' + ' + '.join(errors) + ') / 18')} AS score FROM pred"
+    return "(" + " + ".join(errors) + ") / 18"
+
+
+def _score_sql() -> str:
+    return f"{_context_cte()} SELECT silo, window_id, flow_id, label, {q6(_fixed_error())} AS score FROM pred"
+
+
+def fixed_models(silos, spec: ContextSpec):
+    """The same coefficients for every row of (model)."""
+    coef = [[fixed_coefficient(i, j) for j in range(spec.width)] for i in range(spec.size)]
+    return silos.select("model", F.posexplode(F.lit(coef)).alias("i", "coef"))
 
 
 @query("endpoint_context", _context_sql())
@@ -179,17 +195,74 @@ def score_flows(spark, sf):
     """Scores under coefficients that are the same for all silos."""
     edges = train_edges(spark, sf).withColumn("model", F.col("silo"))
     spec = context.ContextSpec(("model", *G), SPEC.width, 4, rows=CONFIG.window)
-    coef = [[fixed_coefficient(i, j) for j in range(spec.width)] for i in range(spec.size)]
-    models = edges.select("model").distinct().select("model", F.posexplode(F.lit(coef)).alias("i", "coef"))
-    out = reconstruct.score_flows(edges, models, spec)
+    out = reconstruct.score_flows(edges, fixed_models(edges.select("model").distinct(), spec), spec)
     return out.select(*G, "flow_id", "label", r6(F.col("score")).alias("score"))
 
 
+@query(
+    "overlap_scores",
+    f"""{_context_cte(OVERLAPPING_SQL)}, scored AS (SELECT silo, flow_id, label, {_fixed_error()} AS score FROM pred)
+    SELECT silo, flow_id, count(*) AS n_windows, {q6('max(score)')} AS largest, {q6('avg(score)')} AS mean, max(label) AS label FROM scored GROUP BY silo, flow_id""",
+)
+def overlap_scores(spark, sf):
+    """Overlapping windows: a flow has a score for every window it lies in, reduced to the largest and to the mean."""
+    cfg = replace(CONFIG, step=100)
+    edges = training.encoded_windows(train_flows(spark, sf), silo_encoder(spark, sf).withColumnRenamed("silo", "enc"), cfg, False)
+    scores = materialize(reconstruct.score_flows(edges, fixed_models(edges.select("model").distinct(), cfg.context), cfg.context), "scores")
+    both = training.flow_scores(scores, "max").withColumnRenamed("score", "largest").join(training.flow_scores(scores, "avg").select("silo", "flow_id", F.col("score").alias("mean")), ["silo", "flow_id"])
+    counted = both.join(scores.groupBy("silo", "flow_id").agg(F.count(F.lit(1)).alias("n_windows")), ["silo", "flow_id"])
+    return r6_all(counted, ["largest", "mean"])
+
+
+@query(
+    "validation_error",
+    f"""{_context_cte()}, windows AS (SELECT DISTINCT silo, window_id FROM pred),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY silo ORDER BY md5('42|' || silo || '|' || CAST(window_id AS VARCHAR)), window_id) - 1 AS r, count(*) OVER (PARTITION BY silo) AS n FROM windows)
+    SELECT p.silo, {q6(f'avg({_fixed_error()})')} AS val_mse, count(*) AS n_edges FROM pred p JOIN ranked w ON p.silo = w.silo AND p.window_id = w.window_id
+    WHERE r >= floor(n * 0.8) GROUP BY p.silo""",
+)
+def validation_error(spark, sf):
+    """Element mean of the squared error over the validation windows, under the fixed coefficients."""
+    flows = train_flows(spark, sf)
+    encoder = silo_encoder(spark, sf).withColumnRenamed("silo", "enc")
+    edges = training.training_part(flows, encoder, training.window_cuts(flows, CONFIG), CONFIG, False, "val")
+    scores = reconstruct.score_flows(edges, fixed_models(edges.select("model").distinct(), CONFIG.context), CONFIG.context)
+    return r6_all(reconstruct.validation_mse(scores, ["silo"]), ["val_mse"])
+
+
+@query(
+    "transfer_errors",
+    f"""{_context_cte(CROSSED_SQL, 'model')} SELECT model AS train_silo, test_silo, count(*) AS n, {q6(f'avg({_fixed_error()})')} AS mean_score,
+      {q6(f'max({_fixed_error()})')} AS max_score FROM pred GROUP BY model, test_silo""",
+)
+def transfer_errors(spark, sf):
+    """Every silo's flows under every silo's encoder, and the fixed coefficients."""
+    encoder = silo_encoder(spark, sf).withColumnRenamed("silo", "enc")
+    models = materialize(fixed_models(encoder.select(F.col("enc").alias("model")), CONFIG.context), "coefficients")
+    trained = training.Training("per_silo", CONFIG, encoder, None, None, models)
+    scores = training.transfer_scores(train_flows(spark, sf), trained)
+    found = scores.groupBy(F.col("model").alias("train_silo"), F.col("silo").alias("test_silo"))
+    return r6_all(found.agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.max("score").alias("max_score")), ["mean_score", "max_score"])
+
+
+@query(
+    "frame_predictors",
+    f"{_context_cte(FRAME_WINDOW_SQL)} SELECT silo, flow_id, {', '.join(f'{q6(c)} AS {c}' for c in PREDICTORS)} FROM pred",
+)
+def frame_predictors(spark, sf):
+    """All flows of a silo as one graph: predictors by joins and aggregates."""
+    flows = train_flows(spark, sf).withColumns({"window_id": F.lit(0).cast("bigint"), "pos_in_window": F.col("flow_id")})
+    edges = encode(flows, silo_encoder(spark, sf), SPEC, ["silo"])
+    out = wholegraph.single_graph(edges, ContextSpec(("silo",), SPEC.width, 4))
+    x = F.col("predictors")
+    return out.select("silo", "flow_id", *[r6(x.getItem(1 + i)).alias(n) for i, n in enumerate(PREDICTORS)])
+
+
 @query(
     "endpoint_gather",
     f"""WITH {features_sql()}, {nodes_sql()}, {embeddings_sql()},
-    ctx AS (SELECT silo, window_id, {', '.join(f'avg(f{i}) AS c{i}' for i in range(4))} FROM edges GROUP BY silo, window_id)
-    SELECT e.silo, e.window_id, e.flow_id, {', '.join(f'{q6(f"{p}.v{i}")} AS {p}{i}' for p in 'sd' for i in range(4))}, {each6('c', 4)}
+    ctx AS (SELECT silo, window_id, {', '.join(f'avg(f{i}) AS c{i}' for i in range(18))} FROM edges GROUP BY silo, window_id)
+    SELECT e.silo, e.window_id, e.flow_id, {', '.join(f'{q6(f"{p}.v{i}")} AS {p}{i}' for p in 'sd' for i in range(4))}, {each6('c', 18)}
     FROM windowed e JOIN emb s ON {ON.format('s')} AND e.src = s.ip JOIN emb d ON {ON.format('d')} AND e.dst = d.ip
     JOIN ctx ON {ON.format('ctx')}""",
 )
@@ -199,7 +272,7 @@ def endpoint_gather(spark, sf):
     contexts = graph.window_mean(train_edges(spark, sf), G, SPEC.width)
     out = combine.endpoint_gather(edges, nodes, contexts, G)
     return out.select(
-        *G, "flow_id", *r6_items("src_embedding", 4, "s"), *r6_items("dst_embedding", 4, "d"), *r6_items("context", 4, "c")
+        *G, "flow_id", *r6_items("src_embedding", 4, "s"), *r6_items("dst_embedding", 4, "d"), *r6_items("context", SPEC.width, "c")
     )
 
 

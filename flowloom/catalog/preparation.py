@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowloom.catalog.common import (
-    ORDER_SQL, SPEC, NAMED, NUMERIC_SQL, TRAIN_SQL, all_flows, each6, features_sql, flows_sql, octet_sql,
+    ORDER_SQL, SPEC, NAMED, NUMERIC_SQL, TRAIN_SQL, all_flows, each6, features_sql, flows_sql, holdout_flows, octet_sql,
     q6, query, r6_all, r6_items, silo_encoder, table, train_edges, train_flows, train_windows, vocab_sql,
 )
 from flowloom.functions import scalar as S
 from flowloom.functions.scalar import r6
 from flowloom.operators import features as FE
-from flowloom.operators.windows import row_windows
+from flowloom.operators.windows import coverage, row_windows
 from flowloom.sources.flows import (
     DST, LABEL, ORDER_KEY, SRC, FeatureSpec, as_flows, benign_only, drop_incomplete, dropped_counts, lineitem_rows,
     numeric_value, pool_silos, read_flows, read_head,
@@ -55,6 +55,34 @@ def read_head_query(spark, sf):
     return benign_only(head).select("silo", "split", "flow_id", *ORDER_KEY, LABEL)
 
 
+@query(
+    "feature_spec",
+    f"""WITH {ALL_SQL} SELECT silo, split, flow_id, {q6('ln(1 + greatest(CAST(min_ttl AS DOUBLE), 0.0))')} AS "MIN_TTL",
+      {q6('ln(1 + greatest(in_bytes + out_bytes, 0.0))')} AS "TOTAL_BYTES", {q6('ln(1 + greatest(duration, 0.0))')} AS "FLOW_DURATION_MILLISECONDS", 3 + 5 AS width
+    FROM flows""",
+)
+def feature_spec(spark, sf):
+    """A comma-separated column list with every numeric column compressed."""
+    spec = FeatureSpec.resolve("MIN_TTL, PROTOCOL ,TOTAL_BYTES,FLOW_DURATION_MILLISECONDS", "all")
+    values = [r6(numeric_value(spec, name)).alias(name) for name in spec.numeric]
+    return all_flows(spark, sf).select("silo", "split", "flow_id", *values, F.lit(spec.width).alias("width"))
+
+
+@query(
+    "unscored_flows",
+    f"""WITH {flows_sql("split = 'holdout'")}, steps AS (SELECT unnest([200, 100, 150]) AS step, unnest([200, 200, 100]) AS size),
+    placed AS (SELECT *, flow_id // step AS w FROM flows, steps)
+    SELECT CAST(step AS INTEGER) AS step, CAST(size AS INTEGER) AS size, silo, count(*) AS n_rows, CASE WHEN count(*) >= size THEN (count(*) - size) // step + 1 ELSE 0 END AS n_windows,
+      count(*) FILTER (WHERE (w * step + size <= n_rows AND flow_id - w * step < size) OR (w >= 1 AND (w - 1) * step + size <= n_rows AND flow_id - (w - 1) * step < size)) AS n_covered
+    FROM placed GROUP BY step, size, silo""",
+)
+def unscored_flows(spark, sf):
+    """Flows in full windows, for tumbling, overlapping windows and windows with gaps."""
+    sizes = holdout_flows(spark, sf).groupBy("silo").agg(F.max("n_rows").alias("n_rows"))
+    parts = [coverage(sizes, ["silo"], size, step).withColumns({"step": F.lit(step), "size": F.lit(size)}) for step, size in ((200, 200), (100, 200), (150, 100))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("step", "size", "silo", "n_rows", "n_windows", "n_covered")
+
+
 @query("benign_only", f"WITH {ALL_SQL} SELECT silo, split, flow_id, in_pkts FROM flows WHERE label = 0")
 def benign_only_query(spark, sf):
     return benign_only(all_flows(spark, sf)).select("silo", "split", "flow_id", F.col("IN_PKTS").alias("in_pkts"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.catalog.common import (
-    CONFIG, GROUP, ORDER_SQL, SPEC, TRAIN_SQL, all_flows, features_sql, flows_sql, holdout_flows, once,
-    q6, query, r6_all, table, train_edges, train_flows,
+    CONFIG, GROUP, NUMERIC_SQL, ORDER_SQL, SPEC, TRAIN_SQL, all_flows, features_sql, flows_sql, holdout_flows, once,
+    q6, query, r6_all, table, train_edges, train_flows, vocab_sql,
 )
 from flowloom.functions.scalar import r6
 from flowloom.operators import evaluate as ev
@@ -543,33 +545,39 @@ def transfer_matrix(spark, sf):
 
 @query(
     "save_load_state",
-    f"""WITH {TRAIN_SQL} SELECT silo, 'MIN_TTL' AS feature, {q6('avg(CAST(min_ttl AS DOUBLE))')} AS mean, 18 AS n_features FROM flows GROUP BY silo""",
+    f"""WITH {TRAIN_SQL}, {vocab_sql()}, numbered AS (SELECT silo, col, value, row_number() OVER (PARTITION BY silo, col ORDER BY CASE WHEN col = 'PROTOCOL' THEN value ELSE rank END) - 1 AS slot FROM vocab)
+    {' UNION ALL '.join(f"""SELECT silo, 'mean' AS part, '{n}' AS name, {i} AS slot, {q6(f'avg({e})')} AS value FROM flows GROUP BY silo
+      UNION ALL SELECT silo, 'scale', '{n}', {i}, {q6(f'stddev_pop({e})')} FROM flows GROUP BY silo""" for i, (n, e) in enumerate(zip(SPEC.numeric, NUMERIC_SQL, strict=True)))}
+    UNION ALL SELECT silo, 'vocab', col, CAST(slot AS INTEGER), CAST(value AS DOUBLE) FROM numbered""",
 )
 def save_load_state(spark, sf):
-    """An encoder written as rows and restored is the encoder it was."""
+    """A scaler and vocabularies written as rows, and an encoder restored from them: every number of it."""
+    import uuid
+
     from flowloom.catalog.common import silo_encoder
     from flowloom.operators.features import scaler_rows
     from flowloom.stage import shared_dir
 
-    import uuid
-
     root = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
-    flows = train_flows(spark, sf)
-    tables = state.encoder_state(flows, silo_encoder(spark, sf), SPEC, ["silo"])
+    tables = state.encoder_state(train_flows(spark, sf), silo_encoder(spark, sf), SPEC, ["silo"])
+    state.save_scaler(tables.pop("scaler_state"), f"{root}/scaler")
     state.save_state(tables, root, "first")
-    restored = state.restore_encoder(state.load_state(spark, root, "first", list(tables)), SPEC, ["silo"])
-    rows = scaler_rows(restored, SPEC, ["silo"]).filter(F.col("pos") == 0)
-    return rows.join(restored.select("silo", "n_features"), "silo").select("silo", "feature", r6(F.col("mean")).alias("mean"), "n_features")
-
-
+    read = state.load_state(spark, root, "first", list(tables)) | {"scaler_state": state.load_scaler(spark, f"{root}/scaler")}
+    restored = state.restore_encoder(read, SPEC, ["silo"])
+    scaler = scaler_rows(restored, SPEC, ["silo"])
+    parts = [scaler.select("silo", F.lit(p).alias("part"), F.col("feature").alias("name"), F.col("pos").alias("slot"), r6(F.col(p)).alias("value")) for p in ("mean", "scale")]
+    for column, name in (("protocol_vocab", "PROTOCOL"), ("port_vocab", "L4_DST_PORT")):
+        listed = restored.select("silo", F.posexplode(column).alias("slot", "value"))
+        parts.append(listed.select("silo", F.lit("vocab").alias("part"), F.lit(name).alias("name"), "slot", F.col("value").cast("double").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
     "write_metrics",
-    f"""WITH {BYTES_SQL}, {curve_cte()} SELECT silo AS dataset, {q6('auc_roc')} AS auc_roc, {q6('pr_auc')} AS pr_auc, n_eval_edges FROM best""",
+    f"""WITH {BYTES_SQL}, {curve_cte()} SELECT silo AS dataset, {q6('auc_roc')} AS auc_roc, {q6('pr_auc')} AS pr_auc, n_eval_edges, tp, fp FROM best""",
 )
 def write_metrics(spark, sf):
-    """Metric rows written as JSON and CSV, and the CSV read back."""
+    """Metric rows written as JSON and CSV, and both read back: the CSV has the listed columns that are there."""
     import uuid
 
     from flowloom.stage import shared_dir
@@ -579,4 +587,6 @@ def write_metrics(spark, sf):
     columns = ["dataset", "auc_roc", "pr_auc", "n_eval_edges", "not_there"]
     state.write_metrics(rows, f"{root}/json", f"{root}/csv", columns)
     schema = "dataset string, auc_roc double, pr_auc double, n_eval_edges bigint"
-    return spark.read.schema(schema).option("header", True).csv(f"{root}/csv")
+    listed = spark.read.schema(schema).option("header", True).csv(f"{root}/csv")
+    whole = spark.read.schema(rows.schema).json(f"{root}/json")
+    return listed.join(whole.select("dataset", "tp", "fp"), "dataset").select("dataset", "auc_roc", "pr_auc", "n_eval_edges", "tp", "fp")

@@ -14,11 +14,6 @@ WELL_KNOWN_PORT_MAX = 1023
 REGISTERED_PORT_MAX = 49151
 
 
-def total(a: str, b: str) -> Column:
-    """Sum of two counters in double."""
-    return F.col(a).cast("double") + F.col(b).cast("double")
-
-
 def log1p_clip(c: Column) -> Column:
     """log(1 + max(c, 0)); a null stays null (`greatest` alone would make it 0)."""
     return F.when(c.isNotNull(), F.log1p(F.greatest(c, F.lit(0.0))))

@@ -55,6 +55,17 @@ def row_windows(
     return tagged.filter(fits).withColumn("pos_in_window", at).filter(F.col("pos_in_window") < size)
 
 
+def coverage(sizes: DataFrame, keys: Sequence[str], size: int, step: int, total: str = "n_rows") -> DataFrame:
+    """(keys, n_rows, n_windows, n_covered, n_uncovered): rows that lie in a full window and rows that get no score.
+
+    From the group sizes alone: rows behind the last full window, and those in gaps of step > size.
+    """
+    windows = F.when(F.col(total) >= size, F.expr(f"({total} - {size}) div {step} + 1")).otherwise(0).cast("long")
+    counted = sizes.select(*keys, F.col(total).cast("long").alias("n_rows"), windows.alias("n_windows"))
+    covered = F.when(F.col("n_windows") == 0, 0).otherwise((F.col("n_windows") - 1) * min(step, size) + size).cast("long")
+    return counted.withColumn("n_covered", covered).withColumn("n_uncovered", F.col("n_rows") - F.col("n_covered"))
+
+
 # Windows listed by one task at a time.
 BLOCK = 100_000
 

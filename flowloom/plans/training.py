@@ -13,7 +13,7 @@ from flowloom.operators.context import ContextSpec
 from flowloom.operators.features import encode, fit_encoder
 from flowloom.operators.prefix import prefix_index
 from flowloom.operators.split import split_cuts, split_flows
-from flowloom.operators.windows import aligned_index, row_windows, window_list
+from flowloom.operators.windows import aligned_index, coverage, row_windows, window_list
 from flowloom.sources.flows import LABEL, FeatureSpec, benign_only, drop_incomplete
 from flowloom.stage import materialize, small
 
@@ -203,6 +203,11 @@ def score_holdout(flows: DataFrame, training: Training) -> DataFrame:
     return reconstruct.score_flows(_named_model(edges, training.mode), training.coefficients, cfg.context)
 
 
+def unscored(flows: DataFrame, cfg: RunConfig) -> DataFrame:
+    """(silo, n_rows, n_windows, n_covered, n_uncovered): how many flows of `score_holdout`'s input get no score."""
+    return coverage(flows.groupBy("silo").agg(F.max("n_rows").alias("n_rows")), ["silo"], cfg.window, cfg.step)
+
+
 def evaluate_holdout(scores: DataFrame, training: Training, pooled: bool = False) -> tuple[DataFrame, DataFrame]:
     """(metrics, sweep) per silo, and for all silos together if `pooled`."""
     scores = materialize(scores.select("model", "silo", "flow_id", "label", "score"), "scores")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import scalar as S
 from flowloom.operators.prefix import prefix_index
+from flowloom.stage import materialize
 
 SRC, DST, LABEL = "IPV4_SRC_ADDR", "IPV4_DST_ADDR", "Label"
 
@@ -162,10 +163,34 @@ def as_flows(rows: DataFrame) -> DataFrame:
     )
 
 
+#: How much larger than asked the part below the first bound is meant to be, and by how much it grows if it is too small.
+HEAD_ROOM = 4
+
+
 def read_head(flows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int | None) -> DataFrame:
-    """The first `n` rows of every group in file order; 0 or None keeps all."""
-    indexed = prefix_index(flows, keys, order, name="flow_id")
-    return indexed.filter(F.col("flow_id") < n) if n else indexed
+    """The first `n` rows of every group in file order, with `flow_id` and the group's `n_rows`; 0 or None keeps all.
+
+    Only rows up to a bound of the first order column are sorted: an approximate quantile per
+    group that leaves HEAD_ROOM times `n` rows below it, widened until every group has `n` rows
+    at or below its bound (equal values all count, so the head is exact).
+    """
+    if not n:
+        return prefix_index(flows, keys, order, name="flow_id")
+    first = order[0]
+    sizes = materialize(flows.groupBy(*keys).agg(F.count("*").alias("n_rows")), "sizes")
+    room = HEAD_ROOM
+    while True:
+        share = [min(1.0, room * n / r.n_rows) for r in sizes.groupBy().agg(F.max("n_rows").alias("n_rows")).collect() if r.n_rows]
+        # one quantile serves all groups if it is the one of the largest; smaller groups get more rows than they need
+        bounds = flows.groupBy(*keys).agg(F.percentile_approx(first, F.lit(share[0] if share else 1.0), 10_000).alias("_bound"))
+        bounds = materialize(bounds.join(sizes, list(keys)), "bounds")
+        below = flows.join(bounds, list(keys)).filter((F.col(first) <= F.col("_bound")) | F.col(first).isNull())
+        short = below.groupBy(*keys).agg(F.count("*").alias("held"), F.max("n_rows").alias("n_rows")).filter((F.col("held") < n) & (F.col("held") < F.col("n_rows")))
+        if short.isEmpty():
+            break
+        room *= HEAD_ROOM
+    indexed = prefix_index(below.drop("_bound"), keys, order, name="flow_id", total=None)
+    return indexed.filter(F.col("flow_id") < n)
 
 
 def benign_only(flows: DataFrame, label: str = LABEL) -> DataFrame:
