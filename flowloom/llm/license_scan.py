@@ -64,8 +64,8 @@ TEMPLATES = (
 
 
 # Words that tell the variants of a license apart, by one spelling each; a number behind "version" or "v" tells too.
-_TELLING = {"lesser": "lesser", "affero": "affero", "library": "lesser"} | {"noncommercial": "nc", "nc": "nc", "sharealike": "sa", "sa": "sa", "noderivatives": "nd", "noderivs": "nd", "nd": "nd"}
-_PAIRS = {"non commercial": "nc", "share alike": "sa", "no derivatives": "nd"}
+TELLING = {"lesser": "lesser", "affero": "affero", "library": "lesser"} | {"noncommercial": "nc", "nc": "nc", "sharealike": "sa", "sa": "sa", "noderivatives": "nd", "noderivs": "nd", "nd": "nd"}
+PAIRS = {"non commercial": "nc", "share alike": "sa", "no derivatives": "nd"}
 
 
 def tells(words: list[bytes]) -> list[tuple[int, str]]:
@@ -76,15 +76,20 @@ def tells(words: list[bytes]) -> list[tuple[int, str]]:
         before = plain[k - 1] if k else ""
         if w == "library" and before != "gnu":  # "gnu library" is the older name of the lesser license
             continue
-        if w in _TELLING:
-            found.append((k, _TELLING[w]))
-        elif f"{before} {w}" in _PAIRS:
-            found.append((k, _PAIRS[f"{before} {w}"]))
+        if w in TELLING:
+            found.append((k, TELLING[w]))
+        elif f"{before} {w}" in PAIRS:
+            found.append((k, PAIRS[f"{before} {w}"]))
         elif before in ("version", "v") and w.isdigit():
             found.append((k, f"version {w}"))
     return found
 
 
+def wanted_tells(templates=TEMPLATES, first: int = len(PHRASES)) -> dict[int, set[str]]:
+    """What the telling words of every template say; templates are numbered behind the phrases."""
+    return {n: {what for _, what in tells(text.encode().translate(PLAIN_WORDS).split())} for n, (_, text) in enumerate(templates, first)}
+
+
 def verified(spans: list[dict], telling: list[tuple[int, str]], wanted: dict[int, set[str]]) -> list[str]:
     """Labels of the candidate spans that hold the telling words of their template and no others, the best of overlapping ones."""
     right = []
@@ -207,7 +212,7 @@ def license_scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataF
     added = spans(votes).groupBy(*key).agg(F.collect_set(F.when(F.col("accepted"), F.struct("template", "label", "size", F.col("first").cast("long").alias("first"), F.col("end").cast("long").alias("end"), "cover"))).alias("added"), F.max("cover").alias("cover"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), text_bytes().alias("text"))
     counted = map_batches(slim, _WORDS, _count_batch)
-    wanted = {n: {what for _, what in tells(text.encode().translate(PLAIN_WORDS).split())} for n, (_, text) in enumerate(templates, len(phrases))}
+    wanted = wanted_tells(templates, len(phrases))
 
     @F.pandas_udf("array<string>")
     def labels_of(spans: pd.Series, telling: pd.Series) -> pd.Series:

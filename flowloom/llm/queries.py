@@ -40,7 +40,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-@query("op6_license_scan", sql.licenses(license_scan.PHRASES, license_scan.TEMPLATES))
+@query("op6_license_scan", sql.licenses(license_scan.PHRASES, license_scan.TEMPLATES, license_scan.TELLING, license_scan.PAIRS, license_scan.wanted_tells()))
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents"))
 

@@ -154,14 +154,18 @@ FROM docs LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
 """
 
 
-def licenses(phrases: Iterable[tuple[str, str]], templates: Iterable[tuple[str, str]]) -> str:
-    """Base places and diagonals of the given phrases and templates, three-word runs as text."""
+def licenses(phrases: Iterable[tuple[str, str]], templates: Iterable[tuple[str, str]], telling: dict[str, str], pairs: dict[str, str], wanted: dict[int, set[str]]) -> str:
+    """Base places and diagonals of the given phrases and templates, three-word runs as text; spans verified by their telling words, one after the other."""
+    words_of = " ".join(f"WHEN '{word}' THEN '{what}'" for word, what in telling.items())
+    pairs_of = " ".join(f"WHEN '{words}' THEN '{what}'" for words, what in pairs.items())
+    own = ", ".join(f"({n}, '{','.join(sorted(own))}', {any(x.startswith('version') for x in own)})" for n, own in wanted.items())
     named = [(n, label, text.split(), phrase) for n, (text, label, phrase) in enumerate([(t, k, True) for t, k in phrases] + [(t, k, False) for k, t in templates])]
     rows = ", ".join(
         f"({n}, {at}, '{' '.join(words[at : at + 3])}', '{label}', {len(words)}, {phrase})" for n, label, words, phrase in named for at in range(len(words) - 2)
     )
     return f"""
-WITH positions(template, place, gram, label, size, phrase) AS (VALUES {rows}
+WITH RECURSIVE positions(template, place, gram, label, size, phrase) AS (VALUES {rows}
+), wanted(template, own, versioned) AS (VALUES {own}
 ), docs AS (
   SELECT row_number() OVER () AS rid, doc_id, {_words("text")} AS words FROM documents
 ), grams AS (
@@ -179,10 +183,31 @@ WITH positions(template, place, gram, label, size, phrase) AS (VALUES {rows}
 ), runs AS (
   SELECT rid, template, diagonal, sum(fresh) OVER (PARTITION BY rid, template ORDER BY diagonal) AS run FROM diagonals
 ), spans AS (
-  SELECT rid, label, size, count(DISTINCT place + k) / size AS cover, max(diagonal + place + 3) - min(diagonal + place) AS length
+  SELECT rid, template, label, size, count(DISTINCT place + k) / size AS cover, min(diagonal + place) AS first, max(diagonal + place + 3) AS "end"
   FROM votes JOIN runs USING (rid, template, diagonal), range(3) AS covered(k) WHERE NOT phrase GROUP BY rid, template, label, size, run
+), word_places AS (
+  SELECT rid, pos - 1 AS spot, words[pos] AS word, CASE WHEN pos > 1 THEN words[pos - 1] ELSE '' END AS before
+  FROM (SELECT rid, words, unnest(range(1, len(words) + 1)) AS pos FROM docs WHERE rid IN (SELECT rid FROM spans))
+), tells AS (
+  SELECT rid, spot, CASE WHEN word = 'library' AND before <> 'gnu' THEN NULL ELSE coalesce(CASE word {words_of} END, CASE before || ' ' || word {pairs_of} END,
+    CASE WHEN before IN ('version', 'v') AND regexp_full_match(word, '[0-9]+') THEN 'version ' || word END) END AS what FROM word_places
+), told AS (
+  SELECT s.rid, s.template, s.label, s.size, s.cover, s.first, s."end", w.own,
+    coalesce(string_agg(DISTINCT what, ',' ORDER BY what) FILTER (WHERE w.versioned OR what NOT LIKE 'version%'), '') AS here
+  FROM spans s JOIN wanted w USING (template) LEFT JOIN tells t ON t.rid = s.rid AND t.spot >= s.first AND t.spot < s."end"
+  WHERE s.cover >= 0.8 AND s."end" - s.first <= 1.25 * s.size + 4 GROUP BY ALL
+), ordered AS (
+  SELECT rid, label, first, "end", row_number() OVER (PARTITION BY rid ORDER BY cover DESC, "end" - first - cover * size, size DESC, first, template) AS k FROM told WHERE here = own
+), walk AS (
+  SELECT DISTINCT rid, 0::BIGINT AS k, []::STRUCT(label VARCHAR, first BIGINT, "end" BIGINT)[] AS kept FROM ordered
+  UNION ALL
+  SELECT w.rid, o.k, CASE WHEN len(list_filter(w.kept, lambda x: x.label <> o.label AND x."end" > o.first AND o."end" > x.first)) > 0 THEN w.kept
+    ELSE list_append(w.kept, {{'label': o.label, 'first': o.first, 'end': o."end"}}) END
+  FROM walk w JOIN ordered o ON o.rid = w.rid AND o.k = w.k + 1
+), found AS (
+  SELECT rid, unnest(list_transform(arg_max(kept, k), lambda x: x.label)) AS label FROM walk GROUP BY rid
 ), labelled AS (
-  SELECT rid, label, true AS base FROM places UNION SELECT rid, label, false FROM spans WHERE cover >= 0.8 AND length <= 1.25 * size + 4
+  SELECT rid, label, true AS base FROM places UNION SELECT rid, label, false FROM found
 ), joined AS (
   SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
   FROM labelled GROUP BY rid

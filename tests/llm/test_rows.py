@@ -6,13 +6,17 @@ import time
 from collections import Counter
 
 import brute
+import duckdb
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from flowloom.llm import decontaminate, license_scan, pii, quality_rules, token_counts
+from flowloom.llm.queries import ORACLES, QUERIES
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -304,3 +308,52 @@ def test_phrases_need_enough_words():
     with pytest.raises(ValueError):
         license_scan.template_rows([("two words", "x")], [])
     assert re.match("gpl", license_scan.TEMPLATES[0][0])
+
+
+# ---- SQL of rules that the given tables hardly exercise
+
+
+def same_as_sql(spark, name, rows, folder):
+    """The query and its SQL on documents (text, source)."""
+    from oracle import difference
+
+    columns = {"doc_id": [*range(len(rows))], "text": [t for t, _ in rows], "lang": ["en"] * len(rows), "source": [s for _, s in rows], "n_chars": [0] * len(rows)}
+    pq.write_table(pa.table(columns), f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    return difference(QUERIES[name](spark, str(folder)).toPandas(), con.sql(ORACLES[name]).df())
+
+
+def test_altered_license_texts_equal_the_sql(spark, tmp_path):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            words = rng.choice(license_scan.TEMPLATES)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                at, how = rng.randrange(len(words)), rng.random()
+                if how < 0.4:
+                    words[at] = rng.choice(["lesser", "noncommercial", "sharealike", "2", "3", "library", "non commercial", "version 9"])
+                elif how < 0.7:
+                    words.insert(at, rng.choice(["the", "nc", "x"]))
+                else:
+                    del words[at]
+            parts.append(" ".join(words))
+        rows.append((" ".join(parts), "s"))
+    assert same_as_sql(spark, "op6_license_scan", rows, tmp_path) is None
+
+
+def test_shared_and_changed_lines_equal_the_sql(spark, tmp_path):
+    rng = random.Random(4)
+    pool = [" ".join("".join(rng.choices("abcdé", k=rng.randint(1, 6))) for _ in range(rng.randint(1, 24))) for _ in range(40)]
+    rows = []
+    for k in range(700):
+        lines = rng.choices(pool[:12] if k % 3 else pool, k=rng.randint(1, 6)) + [f"own {k} line of a text"] * (k % 2)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(lines))
+            words = lines[at].split()
+            words[rng.randrange(len(words))] = rng.choice(["X", "y1", "zz", ""])
+            lines[at] = " ".join(words)
+        rows.append(("\n".join(lines), rng.choice(["a", "a", "b", None])))
+    assert same_as_sql(spark, "op1_quality_rules", rows + rows[:40] + [(None, None), ("", "a")], tmp_path) is None
