@@ -65,11 +65,17 @@ PARTS = {"weak": WEAK, "mixed": MIXED, "identifier": IDENTIFIER, "endpoint": END
 SPAN = "array<struct<start:int,end:int>>"
 
 
-def places(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
-    """(start, end) in code points of the leftmost non-overlapping matches; then those whose text does not pass `keep` are dropped."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    steps = F.zip_with(gaps, found, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
+#: Matches whose places are summed up in one go; longer lists are summed chunk by chunk, so their cost stays nearly linear.
+CHUNK = 256
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _walked(steps: Column, first: Column) -> Column:
+    """(start, end, match) of matches whose gaps and sizes begin at `first`."""
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
     def step(state: Column, x: Column) -> Column:
@@ -77,13 +83,33 @@ def places(text: Column, pattern: str, keep: Callable[[Column], Column] | None =
         end = start + F.length(x["match"])
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("spans"))
 
-    # the last gap has no match behind it
-    matched = F.filter(steps, lambda x: x["match"].isNotNull())
-    spans = F.aggregate(matched, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
-    if keep is not None:
-        spans = F.filter(spans, lambda s: keep(s["match"]))
-    spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(SPAN))
+    return F.aggregate(steps, F.struct(first.alias("at"), none.alias("spans")), step, lambda s: s["spans"])
+
+
+def _placed(steps: Column) -> Column:
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")), lambda c: F.slice(steps, c * CHUNK + 1, CHUNK))
+
+    def offsets(chunks: Column) -> Column:
+        sizes = F.transform(chunks, lambda own: F.aggregate(own, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["match"])))
+        sums = F.aggregate(sizes, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
+        return _bound(sums, lambda firsts: F.flatten(F.transform(chunks, lambda own, k: _walked(own, F.get(firsts, k)))))
+
+    return _bound(chunks, offsets)
+
+
+def places(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """(start, end) in code points of the leftmost non-overlapping matches; then those whose text does not pass `keep` are dropped."""
+
+    def spans(found: Column) -> Column:
+        # the text between the matches tells where they are; behind the last gap there is none
+        gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.size(found))
+        steps = F.zip_with(gaps, found, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
+        every = _bound(steps, _placed)
+        passed = every if keep is None else F.filter(every, lambda s: keep(s["match"]))
+        named = F.transform(passed, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+        return F.when(F.size(found) > 0, named).otherwise(F.array().cast(SPAN))
+
+    return _bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
 
 def _tagged(spans: Column, kind: str) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import brute
@@ -185,6 +186,15 @@ def test_a_text_of_many_parts_meets_in_cells(make):
     assert got[1].n_linked in (near - 1, near)  # the last ones that reach both parts
 
 
+def test_places_of_many_matches_are_right(make):
+    """More matches than are summed up in one go, in one long text."""
+    text = "é " + " ".join("0123456789abcdef" * (1 + k % 3) for k in range(40_000))
+    start = time.perf_counter()
+    got = scanned(make, [text])[0]
+    assert time.perf_counter() - start < 120
+    assert got.n_hex == 40_000 and got.base_sha256 == hashlib.sha256(",".join(plain_secrets(text)).encode()).hexdigest()
+
+
 # ---- alignment
 
 
