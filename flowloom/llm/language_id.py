@@ -237,6 +237,14 @@ def _kept(table: DataFrame, most: int) -> DataFrame:
     return graded.join(cuts, "lang").filter("grade >= least").select("lang", "gram", "n")
 
 
+def _columns(table: DataFrame) -> Counts:
+    """Strings, rising, and their counts of one language."""
+    rows = table.select("gram", "n").toArrow()
+    grams = rows["gram"].to_numpy()
+    order = np.argsort(grams)
+    return grams[order].astype(np.uint32), rows["n"].to_numpy()[order].astype(np.float64)
+
+
 def models(labelled: DataFrame, most: int = MOST, langs: int = LANGS) -> Iterator[Model]:
     """Statistics of all rows of (lang, text as bytes), one model for each block of languages in the order of their names."""
     fours = materialize(gram_counts(labelled), "four-bytes")
@@ -245,12 +253,7 @@ def models(labelled: DataFrame, most: int = MOST, langs: int = LANGS) -> Iterato
     kept = [materialize(_kept(t, most), "kept-strings") for t in (fours, threes)]
     for k in range(0, len(names), langs):
         block = names[k : k + langs]
-        tables = [t.filter(F.col("lang").isin(block)).toPandas().sort_values("gram") for t in kept]
-        parts = []
-        for lang in block:
-            own = [t[t["lang"] == lang] for t in tables]
-            parts.append((lang, *((t["gram"].to_numpy(np.uint32), t["n"].to_numpy(np.float64)) for t in own)))
-        yield build(parts)
+        yield build([(lang, *(_columns(t.filter(F.col("lang") == lang)) for t in kept)) for lang in block])
 
 
 def has_letter(text: bytes) -> bool:
