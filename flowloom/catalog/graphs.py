@@ -111,6 +111,23 @@ def window_mean(spark, sf):
     return out.select(*G, "n_edges", *r6_items("context", SPEC.width, "c"))
 
 
+PANE_SQL = f"""{TRAIN_SQL},
+windowed AS (SELECT * FROM (SELECT *, unnest(range(flow_id // 80 - 2, flow_id // 80 + 1)) AS window_id FROM flows)
+  WHERE window_id >= 0 AND flow_id < window_id * 80 + 200 AND window_id * 80 + 200 <= n_rows)"""
+
+
+@query(
+    "pane_means",
+    f"""WITH {features_sql(PANE_SQL)} SELECT silo, window_id, count(*) AS n_edges,
+      {', '.join(f'{q6(f"avg(f{i})")} AS c{i}' for i in range(18))} FROM edges GROUP BY silo, window_id""",
+)
+def pane_means(spark, sf):
+    """Means of windows of 200 flows that begin at every 80th, from panes of 40."""
+    edges = encode(train_flows(spark, sf), silo_encoder(spark, sf), SPEC, ["silo"])
+    out = graph.pane_means(edges, ["silo"], 200, 80, SPEC.width)
+    return out.select(*G, "n_edges", *r6_items("context", SPEC.width, "c"))
+
+
 def _context_cte(windowed: str = WINDOWED_SQL, encoder: str = "silo") -> str:
     """`pred`: every flow with its contexts (a, b, w), end vectors (sv, dv) and features."""
 

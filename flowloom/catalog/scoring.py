@@ -185,6 +185,20 @@ def roc_curve(spark, sf):
     return r6_all(points.withColumn("threshold", shown), ["fpr", "tpr"])
 
 
+@query(
+    "roc_corners",
+    f"""WITH {BYTES_SQL}, {curve_cte()},
+    steps AS (SELECT *, lead(dp) OVER w AS dp_next, lead(dn) OVER w AS dn_next FROM curve WINDOW w AS (PARTITION BY silo ORDER BY score DESC))
+    SELECT silo, threshold, {q6('fp / nullif(n, 0)')} AS fpr, {q6('tp / nullif(p, 0)')} AS tpr
+    FROM (SELECT silo, score AS threshold, tp, fp, p, n FROM steps WHERE dp_next IS NULL OR CAST(dp AS HUGEINT) * dn_next <> CAST(dn AS HUGEINT) * dp_next
+      UNION ALL SELECT silo, -1.0, 0, 0, 1, 1 FROM areas)""",
+)
+def roc_corners(spark, sf):
+    points = ev.roc_curve(byte_scores(spark, sf), ["silo"], thin=True)
+    shown = F.when(F.col("threshold") == float("inf"), -1.0).otherwise(F.col("threshold"))
+    return r6_all(points.withColumn("threshold", shown), ["fpr", "tpr"])
+
+
 @query("roc_auc", f"WITH {BYTES_SQL}, {curve_cte()} SELECT silo, {q6('auc_roc')} AS auc_roc FROM best")
 def roc_auc(spark, sf):
     return rounded_metrics(ev.metrics(byte_scores(spark, sf), ["silo"])).select("silo", "auc_roc")
@@ -213,7 +227,8 @@ def metrics(spark, sf):
     {curve_cte(scores='both_')} {METRICS_SQL}""",
 )
 def pooled_eval(spark, sf):
-    return rounded_metrics(ev.metrics(ev.with_pooled(byte_scores(spark, sf)), ["silo"])).select(*METRIC_COLS)
+    counts = materialize(ev.score_counts(byte_scores(spark, sf), ["silo"]), "counts")
+    return rounded_metrics(ev.metrics(ev.pooled_counts(counts, ["silo"]), ["silo"])).select(*METRIC_COLS)
 
 
 @query(

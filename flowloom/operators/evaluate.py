@@ -23,6 +23,29 @@ def label_counts(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     return scores.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _by_class(rows: DataFrame) -> tuple[Column, Column]:
+    """Aggregates for the attacks and the other flows among scored flows (`label`) or `score_counts`."""
+    if "n_pos" in rows.columns:
+        return F.sum("n_pos"), F.sum("n_neg")
+    return F.count_if(F.col("label") == 1), F.count_if(F.col("label") != 1)
+
+
+def score_counts(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, score, n_pos, n_neg): flows per distinct score.
+
+    Curves, areas, confusion and sweeps take these rows in place of scored flows, so one look at
+    the flows serves all of them.  Counts by more keys may be counted again by fewer.
+    """
+    positives, negatives = _by_class(scores)
+    return scores.groupBy(*keys, "score").agg(positives.alias("n_pos"), negatives.alias("n_neg"))
+
+
+def pooled_counts(counts: DataFrame, keys: Sequence[str], silo: str = "silo") -> DataFrame:
+    """`score_counts`, and the same rolled up over `silo` under the name of the pooled group."""
+    rest = [k for k in keys if k != silo]
+    return counts.unionByName(score_counts(counts, rest).withColumn(silo, F.lit(POOLED)))
+
+
 def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
@@ -66,9 +89,8 @@ def confusion(scores: DataFrame, thresholds: DataFrame, keys: Sequence[str]) ->
         return F.size(F.filter("_levels", lambda level: level <= F.col(value)))
 
     placed = scores.filter(F.col("score").isNotNull()).join(materialize(levels, "levels"), list(keys))
-    steps = placed.groupBy(*keys, passed("score").alias("_step")).agg(
-        F.count_if(F.col("label") == 1).alias("_pos"), F.count_if(F.col("label") != 1).alias("_neg")
-    )
+    positives, negatives = _by_class(placed)
+    steps = placed.groupBy(*keys, passed("score").alias("_step")).agg(positives.alias("_pos"), negatives.alias("_neg"))
     ranked = thresholds.join(levels, list(keys)).withColumn("_rank", passed("threshold")).drop("_levels")
     attack = F.col("_step") >= F.col("_rank")
     none = F.lit(0).cast("long")
@@ -81,25 +103,39 @@ def confusion(scores: DataFrame, thresholds: DataFrame, keys: Sequence[str]) ->
     return counted.withColumns(confusion_metrics(*[F.col(c) for c in ("tp", "fp", "tn", "fn")]))
 
 
-def score_curve(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+def score_curve(scores: DataFrame, keys: Sequence[str], neighbours: bool = False) -> DataFrame:
     """One row per distinct score, from high to low: what `score >= threshold` catches.
 
     tp, fp are running counts; tp_here, fp_here belong to the score itself;
-    positives, negatives are the group's totals.
+    positives, negatives are the group's totals.  `neighbours` adds tp_next, fp_next, the
+    counts of the next lower score (null at the lowest).
     """
-    distinct = scores.groupBy(*keys, "score").agg(
-        F.count_if(F.col("label") == 1).alias("tp_here"), F.count_if(F.col("label") != 1).alias("fp_here")
-    )
+    distinct = score_counts(scores, keys).withColumnsRenamed({"n_pos": "tp_here", "n_neg": "fp_here"})
     running = prefix_sums(
         distinct, keys, ["-score"], {"tp": "tp_here", "fp": "fp_here"},
         {"positives": "tp_here", "negatives": "fp_here"},
+        following={"tp_next": "tp_here", "fp_next": "fp_here"} if neighbours else None,
     )
     return running.withColumnRenamed("score", "threshold")
 
 
-def roc_curve(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, threshold, fpr, tpr), with the start (0, 0) at threshold +inf."""
-    curve = score_curve(scores, keys)
+def corners(curve: DataFrame) -> DataFrame:
+    """The points of a `score_curve` with neighbours at which the ROC line turns, and the last one.
+
+    Steps are whole counts, so directions are compared exactly.
+    """
+    here, after = [[F.col(c).cast("decimal(19,0)") for c in pair] for pair in (("tp_here", "fp_here"), ("tp_next", "fp_next"))]
+    turns = here[0] * after[1] != here[1] * after[0]
+    return curve.filter(F.col("tp_next").isNull() | turns)
+
+
+def roc_curve(scores: DataFrame, keys: Sequence[str], thin: bool = False) -> DataFrame:
+    """(keys, threshold, fpr, tpr), with the start (0, 0) at threshold +inf.
+
+    `thin` leaves out points on the straight line between their neighbours; areas stay the same.
+    """
+    curve = score_curve(scores, keys, thin)
+    curve = corners(curve) if thin else curve
     points = curve.select(
         *keys,
         "threshold",
@@ -159,11 +195,6 @@ def metrics(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
     return curve_metrics(score_curve(scores, keys), keys)
 
 
-def with_pooled(scores: DataFrame, silo: str = "silo") -> DataFrame:
-    """The scores, and all of them once more under the name of the pooled group."""
-    return scores.unionByName(scores.withColumn(silo, F.lit(POOLED)))
-
-
 def exact_quantiles(
     rows: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float], counts: str = "n_edges"
 ) -> DataFrame:

@@ -11,12 +11,14 @@ position brings the two ends of a flow together (a look at the other end).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowloom.functions import scalar as S
+from flowloom.operators.windows import row_windows
 from flowloom.sources.flows import DST, SRC
 
 WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
@@ -138,6 +140,24 @@ def window_mean(edges: DataFrame, group: Sequence[str], width: int) -> DataFrame
     )
 
 
+def pane_means(
+    edges: DataFrame, keys: Sequence[str], size: int, step: int, width: int, pos: str = "flow_id", total: str = "n_rows"
+) -> DataFrame:
+    """`window_mean` of all full windows of indexed edges, for overlapping windows without a row per flow and window.
+
+    Flows are added up once, in panes of gcd(size, step) positions; every window is made of whole
+    panes, so windows of panes are row windows over the panes.
+    """
+    pane = gcd(size, step)
+    sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(S.items("features", width))]
+    panes = edges.groupBy(*keys, F.expr(f"{pos} div {pane}").alias("pane"), F.expr(f"{total} div {pane}").alias("n_panes")).agg(
+        F.count(F.lit(1)).alias("n"), *sums
+    )
+    windows = row_windows(panes, size // pane, step // pane, pos="pane", total="n_panes")
+    means = [F.sum(f"s{i}") / F.sum("n") for i in range(width)]
+    return windows.groupBy(*keys, "window_id").agg(F.sum("n").alias("n_edges"), F.array(*means).alias("context"))
+
+
 def attention_aggregate(
     edges: DataFrame, group: Sequence[str], dim: int, width: int, edge_weights: Sequence[float] | None = None
 ) -> DataFrame:

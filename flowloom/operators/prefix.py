@@ -97,16 +97,21 @@ def prefix_sums(
     sums: Mapping[str, str],
     totals: Mapping[str, str] | None = None,
     partitions: int | None = None,
+    following: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Inclusive running sums `{new column: summed column}` in `order` per key group.
 
-    `totals` adds group totals in the same way.  Rows with equal order keys must
-    have been aggregated to one row before.
+    `totals` adds group totals in the same way, `following` values of the next row of the
+    group (null behind its last row): inside a partition by `lead`, for a group's last row there
+    from the group's first row in the next partition that has any, one such row per (partition,
+    group).  Rows with equal order keys must have been aggregated to one row before.
     """
-    totals = totals or {}
+    totals, following = totals or {}, following or {}
     rows = _sorted_table(df, keys, order, partitions, False)
     summed = sorted({*sums.values(), *totals.values()})
-    per_part = rows.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_s_{c}") for c in summed]).coalesce(1)
+    seen = F.struct(*sorted(set(following.values())))
+    head = [F.min(F.struct("_mid", seen.alias("row")))["row"].alias("_head")] if following else []
+    per_part = rows.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_s_{c}") for c in summed], *head).coalesce(1)
     running = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     offsets = materialize(
@@ -115,13 +120,15 @@ def prefix_sums(
             *keys,
             *[(F.sum(f"_s_{c}").over(running) - F.col(f"_s_{c}")).alias(f"_base_{c}") for c in summed],
             *[F.sum(f"_s_{c}").over(whole).alias(f"_total_{c}") for c in summed],
+            *([F.lead("_head").over(whole.orderBy("_part")).alias("_border")] if following else []),
         ),
         "offsets",
     )
-    local = (
-        Window.partitionBy("_part", *keys).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    rows = rows.select("*", *[F.sum(c).over(local).alias(f"_local_{c}") for c in summed])
+    inside = Window.partitionBy("_part", *keys).orderBy("_mid")
+    local = inside.rowsBetween(Window.unboundedPreceding, 0)
+    after = [F.lead(seen).over(inside).alias("_after")] if following else []
+    rows = rows.select("*", *[F.sum(c).over(local).alias(f"_local_{c}") for c in summed], *after)
     computed = {out: F.col(f"_base_{c}") + F.col(f"_local_{c}") for out, c in sums.items()}
     computed |= {out: F.col(f"_total_{c}") for out, c in totals.items()}
+    computed |= {out: F.coalesce("_after", "_border")[c] for out, c in following.items()}
     return _attach(rows, offsets, keys, computed)

@@ -13,6 +13,7 @@ from flowloom.operators.context import ContextSpec
 from flowloom.operators.features import encode, fit_encoder
 from flowloom.operators.prefix import prefix_index
 from flowloom.operators.split import split_cuts, split_flows
+from flowloom.operators.transfer import crossed_scores
 from flowloom.operators.windows import aligned_index, coverage, row_windows, window_list
 from flowloom.sources.flows import LABEL, FeatureSpec, benign_only, drop_incomplete
 from flowloom.stage import materialize, small
@@ -209,13 +210,16 @@ def unscored(flows: DataFrame, cfg: RunConfig) -> DataFrame:
 
 
 def evaluate_holdout(scores: DataFrame, training: Training, pooled: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(metrics, sweep) per silo, and for all silos together if `pooled`."""
-    scores = materialize(scores.select("model", "silo", "flow_id", "label", "score"), "scores")
-    scores = evaluate.scrub_scores(evaluate.with_pooled(scores) if pooled else scores, ["silo"])
-    models = scores.select("silo", "model").distinct()
+    """(metrics, sweep) per silo, and for all silos together if `pooled`; the flows are looked at once."""
+    keys = ["model", "silo"]
+    counts = materialize(evaluate.score_counts(scores, keys), "counts")
+    if pooled:
+        counts = evaluate.pooled_counts(counts, keys)
+    models = counts.select(*keys).distinct()
     thresholds = models.join(training.thresholds, "model").select("silo", "quantile", "threshold").distinct()
-    found = materialize(evaluate.metrics(scores, ["silo"]), "metrics")
-    return found, evaluate.threshold_sweep(scores, thresholds, ["silo"], found)
+    counts = materialize(evaluate.score_counts(evaluate.scrub_scores(counts, ["silo"]), ["silo"]), "counts")
+    found = materialize(evaluate.metrics(counts, ["silo"]), "metrics")
+    return found, evaluate.threshold_sweep(counts, thresholds, ["silo"], found)
 
 
 def flow_scores(scores: DataFrame, how: str = "max") -> DataFrame:
@@ -227,17 +231,12 @@ def flow_scores(scores: DataFrame, how: str = "max") -> DataFrame:
 def transfer_scores(holdout: DataFrame, training: Training) -> DataFrame:
     """Holdout scores under every silo's own encoder and model: `model` is the training silo.
 
-    Every flow is encoded once per training silo, which is what the matrix asks for;
-    the silos are those of the encoder table.
+    The silos are those of the encoder table; window graphs are built once for all of them.
     """
     cfg = training.config
-    silos = sorted(r[0] for r in training.encoder.select("enc").distinct().collect())
-    crossed = row_windows(holdout, cfg.window, cfg.step, pos="flow_id").withColumn(
-        "enc", F.explode(F.array(*[F.lit(s) for s in silos]))
-    )
-    edges = encode(crossed, training.encoder, cfg.features, ["enc"])
-    edges = edges.withColumns({"model": F.col("enc"), "label": F.col(LABEL).cast("int")})
-    return reconstruct.score_flows(edges, training.coefficients, replace(cfg.context, rows=None))
+    windowed = row_windows(holdout, cfg.window, cfg.step, pos="flow_id")
+    spec = replace(cfg.context, group=("silo", "window_id"))
+    return crossed_scores(windowed, training.encoder, training.coefficients, cfg.features, spec)
 
 
 def transfer_matrix(scores: DataFrame) -> DataFrame:

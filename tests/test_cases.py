@@ -1,6 +1,7 @@
 """Small cases with known answers."""
 
 import math
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -229,3 +230,88 @@ def test_flow_without_encoder_is_an_error(spark):
     assert features.encode(rows, encoder, spec, ["silo"]).count() == 2
     with pytest.raises(PySparkException):
         features.encode(rows, encoder.filter("silo = 'a'"), spec, ["silo"]).collect()
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_next_row_over_partition_borders(spark, partitions):
+    rows = spark.range(300).select((F.col("id") % 3).alias("k"), F.xxhash64("id").alias("o"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("v"))
+    got = prefix_sums(rows, ["k"], ["-o"], {"upto": "v"}, partitions=partitions, following={"after": "v", "o_after": "o"}).collect()
+    for k in range(3):
+        group = sorted((r for r in got if r.k == k), key=lambda r: -r.o)
+        assert [(r.after, r.o_after) for r in group[:-1]] == [(r.v, r.o) for r in group[1:]]
+        assert (group[-1].after, group[-1].o_after) == (None, None)
+
+
+def test_thin_curve_keeps_the_corners(spark):
+    rng = random.Random(5)
+    cases = {"mixed": [(float(rng.randint(0, 60)), int(rng.random() < 0.3)) for _ in range(400)], "flat": [(0.5, i % 2) for i in range(4)]}
+    cases |= {"straight": [(float(i // 2), i % 2) for i in range(40)], "positive": [(float(i), 1) for i in range(5)]}
+    rows = spark.createDataFrame([(name, s, label) for name, c in cases.items() for s, label in c], "silo string, score double, label int")
+    got = {}
+    for r in evaluate.roc_curve(rows, ["silo"], thin=True).collect():
+        got.setdefault(r.silo, set()).add(r.threshold)
+    for name, case in cases.items():
+        points = [(float("inf"), 0, 0)]
+        for score in sorted({s for s, _ in case}, reverse=True):
+            points.append((score, sum(l for s, l in case if s >= score), sum(1 - l for s, l in case if s >= score)))
+        turns = [b[0] for a, b, c in zip(points, points[1:], points[2:]) if (b[1] - a[1]) * (c[2] - b[2]) != (b[2] - a[2]) * (c[1] - b[1])]
+        assert got[name] == {float("inf"), *turns, points[-1][0]}
+    assert got["straight"] == {float("inf"), 0.0}
+
+
+def test_counts_serve_like_scored_flows(spark):
+    rng = random.Random(6)
+    values = [float("nan"), float("inf"), float("-inf"), None, *[i / 7 for i in range(30)]]
+    rows = [(silo, rng.choice(values if silo == "b" else values[4:]), int(rng.random() < 0.4)) for silo in "aab" for _ in range(100)]
+    flows = spark.createDataFrame(rows, "silo string, score double, label int")
+    twice = evaluate.scrub_scores(flows.unionByName(flows.withColumn("silo", F.lit(evaluate.POOLED))), ["silo"])
+    counts = evaluate.score_counts(flows, ["silo"])
+    counts = evaluate.scrub_scores(evaluate.pooled_counts(counts, ["silo"]), ["silo"])
+    levels = spark.createDataFrame([(s, q, q * 4) for s in ("a", "b", evaluate.POOLED) for q in (0.1, 0.5, 0.9)], "silo string, quantile double, threshold double")
+
+    def same(one, other):
+        one, other = [df.orderBy(*[c for c in ("silo", "quantile") if c in df.columns]).collect() for df in (one, other)]
+        assert len(one) == len(other) > 0
+        for a, b in zip(one, other):
+            assert all(x == y or abs(x - y) < 1e-12 for x, y in zip(a[1:], b[1:]))
+
+    same(evaluate.metrics(twice, ["silo"]), evaluate.metrics(counts, ["silo"]))
+    same(evaluate.confusion(twice, levels, ["silo"]), evaluate.confusion(counts, levels, ["silo"]))
+
+
+@pytest.mark.parametrize("n, size, step", [(25, 6, 4), (24, 6, 4), (30, 5, 5), (30, 4, 6), (9, 10, 4), (31, 7, 3)])
+def test_panes_equal_windows_with_a_row_per_flow(spark, n, size, step):
+    flows = numbered(spark, n).withColumn("features", F.array(F.col("row_pos").cast("double"), F.sin("row_pos")))
+    want = graph.window_mean(row_windows(flows, size, step), ["silo", "window_id"], 2).collect()
+    got = {r.window_id: r for r in graph.pane_means(flows, ["silo"], size, step, 2, pos="row_pos").collect()}
+    assert len(got) == len(want)
+    for r in want:
+        assert got[r.window_id].n_edges == r.n_edges and got[r.window_id].context == pytest.approx(r.context)
+
+
+def test_shared_vector_gives_every_encoders_vector(spark):
+    """Codes that one silo lists, filled slots, ephemeral and missing ports, a number far from zero."""
+    import numpy as np
+
+    from flowloom.operators import transfer
+
+    rng = random.Random(7)
+    spec = FeatureSpec(top_protocols=3, top_ports=3)
+    names = list(dict.fromkeys([*spec.source_columns(["MIN_TTL", "PROTOCOL", "L4_SRC_PORT", "L4_DST_PORT", "IN_BYTES", "OUT_BYTES", "IN_PKTS", "OUT_PKTS", "FLOW_DURATION_MILLISECONDS"])]))
+    draw = {"PROTOCOL": [6, 17, 1, 47], "L4_SRC_PORT": [80, 5000, 60000], "L4_DST_PORT": [22, 53, 80, 443, 8080, 50000, None]}
+    rows = [(silo, *[rng.choice(draw[c][at:]) if c in draw else 1e6 + rng.randint(1, 9) for c in names]) for at, silo in enumerate("ab") for _ in range(60)]
+    flows = spark.createDataFrame(rows, ", ".join(["silo string", *[f"{c} {'int' if c in draw else 'double'}" for c in names]]))
+    flows = features.derive_totals(flows) if hasattr(features, "derive_totals") else flows
+    encoder = features.fit_encoder(flows, spec, ["silo"]).withColumnRenamed("silo", "enc")
+    encoders = encoder.collect()
+    for group in (encoders, encoders[:1]):
+        shared = transfer.SharedVector.of(group, spec)
+        given = shared.attach(flows).select("features", *names).collect()
+        raw = np.array([r.features for r in given])
+        assert raw.shape[1] == shared.width
+        for e in group:
+            own = spark.createDataFrame(given).drop("features").withColumn("enc", F.lit(e.enc))
+            want = np.array([r.features for r in features.encode(own, encoder, spec, ["enc"]).collect()])
+            np.testing.assert_allclose(raw @ shared.encoder_matrix(e), want, atol=1e-9)
+    assert [len(g) for g in transfer.passes(encoders, spec, 1)] == [1, 1]
+    assert [len(g) for g in transfer.passes(encoders, spec)] == [2]

@@ -6,8 +6,9 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from flowloom.catalog import common as C
-from flowloom.operators import context, evaluate, reconstruct
+from flowloom.operators import context, evaluate, graph, reconstruct
 from flowloom.operators.features import encode
+from flowloom.operators.transfer import crossed_scores
 from flowloom.operators.windows import row_windows
 from flowloom.sources.flows import as_flows, lineitem_rows
 
@@ -67,3 +68,23 @@ def test_results_do_not_depend_on_shuffle_partitions(spark, sf):
             assert evaluate.metrics(mixed, ["silo"]).orderBy("silo").select("silo", "tp", "fp", "threshold").collect() == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_crossed_scores_look_at_flows_once(spark, sf):
+    """All silos' models meet the flows where they lie: no exchange, no row per flow and model before the tasks."""
+    encoder = C.silo_encoder(spark, sf).withColumnRenamed("silo", "enc")
+    spec = replace(C.CONFIG.context, group=C.GROUP)
+    models = spark.createDataFrame([("A", i, [0.0] * C.SPEC.width) for i in range(spec.size)], reconstruct.COEFFICIENTS)
+    scores = crossed_scores(C.train_windows(spark, sf), encoder, models, C.SPEC, spec)
+    text = plan(scores)
+    assert "Exchange" not in text and "Generate" not in text and text.count("Scan parquet") == 1
+    assert sorted(r.model for r in scores.select("model").distinct().collect()) == ["A", "N", "R"]
+    assert scores.filter("model <> 'A' AND NOT isnan(score)").count() == 0
+
+
+def test_panes_are_summed_before_windows_are_made(spark, sf):
+    edges = encode(C.train_flows(spark, sf), C.silo_encoder(spark, sf), C.SPEC, ["silo"])
+    text = plan(graph.pane_means(edges, ["silo"], 200, 80, C.SPEC.width))
+    assert text.index("Generate explode") < text.rindex("HashAggregate") and text.count("HashAggregate") >= 4
+    below = text[text.index("Generate explode") :]
+    assert below.count("HashAggregate") == 2
