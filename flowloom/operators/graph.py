@@ -20,7 +20,10 @@ from pyspark.sql.window import Window
 from flowloom.functions import scalar as S
 from flowloom.operators.windows import row_windows
 from flowloom.sources.flows import DST, SRC
+from flowloom.stage import partition_count
 
+#: Bytes of files behind one partition of a window graph: a flow becomes two rows that carry vectors and lie in several sorts.
+ENDS_BYTES = 1 << 22
 WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
@@ -63,7 +66,7 @@ def _split_ends(edges: DataFrame, group: Sequence[str], payload: Sequence[str],
     With `dim`, a row carries `start` (vector of its own host), and the row of the
     source carries `message` (vector of the other end).
     """
-    edges = edges.repartition(*group)
+    edges = edges.repartition(partition_count(edges, ENDS_BYTES), *group)
     source = [F.lit(0).alias("end"), F.col(SRC).alias("ip"), F.col(DST).alias("peer_ip")]
     target = [F.lit(1).alias("end"), F.col(DST).alias("ip"), F.col(SRC).alias("peer_ip")]
     if dim:
