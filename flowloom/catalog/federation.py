@@ -14,7 +14,7 @@ from flowloom.operators import federated as fed
 from flowloom.operators import reconstruct as rec
 from flowloom.operators.features import fit_encoder
 from flowloom.operators.split import leave_one_out
-from flowloom.operators.windows import aligned_index, row_windows
+from flowloom.operators.windows import aligned_prefix_index, row_windows
 from flowloom.plans import federated as plan
 from flowloom.plans import training
 from flowloom.sources.flows import DST, SRC, FeatureSpec
@@ -269,10 +269,8 @@ def event_flows(spark, sf):
 def event_model(spark, sf):
     """Encoder and coefficients, fitted on windows of the event table."""
     from flowloom.operators.features import encode
-    from flowloom.operators.prefix import prefix_index
 
-    flows = prefix_index(event_flows(spark, sf).withColumn("silo", F.lit("events")), ["silo"], ["event_id"], name="flow_id")
-    flows = aligned_index(flows, EVENT_CONFIG.step, ["silo"], "flow_id")
+    flows = aligned_prefix_index(event_flows(spark, sf).withColumn("silo", F.lit("events")), ["silo"], ["event_id"], EVENT_CONFIG.step, name="flow_id")
     encoder = materialize(fit_encoder(flows.withColumn("enc", F.lit("all")), EVENT_SPEC, ["enc"]), "encoder")
     windowed = row_windows(flows, EVENT_CONFIG.window, EVENT_CONFIG.step, pos="flow_id").withColumn("enc", F.lit("all"))
     edges = encode(windowed, F.broadcast(encoder), EVENT_SPEC, ["enc"]).withColumns({"model": F.lit("events"), "label": F.lit(0)})

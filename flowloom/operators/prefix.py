@@ -27,7 +27,7 @@ def _order_columns(order: Sequence[str]) -> list[Column]:
 
 
 def _sorted_table(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None, number_copies: bool
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None, number_copies: bool, **options: str
 ) -> DataFrame:
     n = partitions or partition_count(df)
     by = [F.col(k).asc() for k in keys] + _order_columns(order)
@@ -41,7 +41,7 @@ def _sorted_table(
         .withColumn("_mid", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_mid", 33))
     )
-    return materialize(tagged, "sorted")
+    return materialize(tagged, "sorted", **options)
 
 
 def _same_group(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
@@ -67,7 +67,19 @@ def prefix_index(
     `order` must be unique inside a group; the query fails if it is not, because
     a position would then depend on chance.  `total` adds the size of the group.
     """
-    rows = _sorted_table(df, keys, order, partitions, True)
+    rows, offsets = indexed_parts(df, keys, order, partitions)
+    computed = {name: F.col("_base") + F.col("_mid") - F.col("_first")}
+    if total:
+        computed[total] = F.col("_total")
+    return _attach(rows, offsets, keys, computed)
+
+
+def indexed_parts(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None = None, **options: str
+) -> tuple[DataFrame, DataFrame]:
+    """The two written tables behind `prefix_index`: the sorted rows, and one row per (partition, key group) with the
+    position `_base` of its first row, its `_count` and the `_total` of the group.  `options` are the writer's."""
+    rows = _sorted_table(df, keys, order, partitions, True, **options)
     unique = F.assert_true(F.max("_copy") == 1, F.lit(f"order key {list(order)} is not unique"))
     per_part = rows.groupBy("_part", *keys).agg(
         F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_count"), unique.alias("_checked")
@@ -78,16 +90,14 @@ def prefix_index(
             "_part",
             *keys,
             "_first",
+            "_count",
             "_checked",
             (F.sum("_count").over(running) - F.col("_count")).alias("_base"),
             F.sum("_count").over(Window.partitionBy(*keys)).alias("_total"),
         ),
         "offsets",
     )
-    computed = {name: F.col("_base") + F.col("_mid") - F.col("_first")}
-    if total:
-        computed[total] = F.col("_total")
-    return _attach(rows, offsets, keys, computed)
+    return rows, offsets
 
 
 def prefix_sums(

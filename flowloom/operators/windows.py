@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.stage import materialize, partition_count
+from flowloom.operators.prefix import _attach, indexed_parts, prefix_index
+from flowloom.stage import materialize, partition_count, small
 
 #: Rows that stay together at least; so many blocks of a dominant group are spread over all partitions.
 ALIGNED_ROWS = 2_000
@@ -30,6 +31,29 @@ def aligned_index(indexed: DataFrame, step: int, keys: Sequence[str], pos: str =
     return materialize(dealt.sortWithinPartitions(*keys, pos), "aligned", **{"parquet.block.size": str(ROW_GROUP_BYTES)})
 
 
+def aligned_prefix_index(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], step: int, name: str = "row_pos", total: str = "n_rows", partitions: int | None = None
+) -> DataFrame:
+    """`aligned_index` of `prefix_index`, with one exchange of the rows instead of two.
+
+    The sorted files of the index hold most windows whole already; they get one row group each, so that
+    no reader splits them, and their rows are written again where they lie, with their positions.  Only the
+    windows on a border between two files, at most two a file and group, are dealt anew.
+    """
+    rows, offsets = indexed_parts(df, keys, order, partitions, **{"parquet.block.size": str(ROW_GROUP_BYTES)})
+    state = small(offsets)
+    if state is None:  # more groups than a broadcast should carry: a shuffle gives the positions
+        return aligned_index(prefix_index(df, keys, order, name=name, total=total, partitions=partitions), step, keys, name)
+    here = F.col("_base") + F.col("_mid") - F.col("_first")
+    start, end = F.expr(f"(_base + _mid - _first) div {step} * {step}"), F.col("_base") + F.col("_count")
+    # the window began in an earlier file, or goes on in a later one
+    torn = (start < F.col("_base")) | ((start + step > end) & (end < F.col("_total")))
+    placed = _attach(rows, state, keys, {name: here, total: F.col("_total"), "_torn": torn})
+    whole, border = (placed.filter(c).drop("_torn") for c in (~F.col("_torn"), F.col("_torn")))
+    dealt = border.repartition(*keys, F.expr(f"{name} div {step}")).sortWithinPartitions(*keys, name)
+    return materialize(whole.unionByName(dealt), "aligned", **{"parquet.block.size": str(ROW_GROUP_BYTES)})
+
+
 def row_windows(
     indexed: DataFrame, size: int, step: int, pos: str = "row_pos", total: str = "n_rows"
 ) -> DataFrame:

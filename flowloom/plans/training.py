@@ -14,7 +14,7 @@ from flowloom.operators.features import encode, fit_encoder
 from flowloom.operators.prefix import prefix_index
 from flowloom.operators.split import split_cuts, split_flows
 from flowloom.operators.transfer import crossed_scores
-from flowloom.operators.windows import aligned_index, coverage, row_windows, window_list
+from flowloom.operators.windows import aligned_prefix_index, coverage, row_windows, window_list
 from flowloom.sources.flows import LABEL, FeatureSpec, benign_only, drop_incomplete
 from flowloom.stage import materialize, small
 
@@ -90,8 +90,9 @@ def ordered_flows(rows: DataFrame, order: Sequence[str], split: str | None, cfg:
         part = prefix_index(part, ["silo"], order, name="file_pos", total=None).filter(F.col("file_pos") < cap)
     if split == "train":
         part = drop_incomplete(benign_only(part))
-    indexed = prefix_index(part, ["silo"], order, name="flow_id")
-    return aligned_index(indexed, cfg.step, ["silo"], "flow_id") if cfg.aligned else indexed
+    if cfg.aligned:
+        return aligned_prefix_index(part, ["silo"], order, cfg.step, name="flow_id")
+    return prefix_index(part, ["silo"], order, name="flow_id")
 
 
 def in_place(states: Sequence[DataFrame], cfg: RunConfig, join: Callable[..., DataFrame]) -> DataFrame:
