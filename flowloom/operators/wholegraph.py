@@ -30,7 +30,7 @@ from flowloom.operators.context import ContextSpec
 from flowloom.operators.graph import hop_weights
 from flowloom.operators.prefix import prefix_index
 from flowloom.sources.flows import DST, SRC
-from flowloom.stage import materialize
+from flowloom.stage import materialize, small
 
 Keep = Callable[[DataFrame], DataFrame]
 
@@ -165,7 +165,10 @@ def _met(edges: DataFrame, keys: list[str], spec: ContextSpec, pairs: DataFrame,
     for end, side in ((SRC, "src"), (DST, "dst")):
         sums = edges.groupBy(*keys, F.col(end).alias("ip")).agg(*[F.sum(F.col("features")[i]).alias(n) for i, n in enumerate(_names(side, w))], F.count(F.lit(1)).alias(f"{side}_n"))
         named = places.selectExpr(*keys, "ip", *[f"{t} AS {side}_{t}" for t in TOTAL])
-        out = hubs.join(out, sums.join(named, [*keys, "ip"]), end, F.col("flow_id"))
+        hosts = sums.join(named, [*keys, "ip"])
+        # a written table has a known size: as long as the hosts fit a broadcast, no edge is moved to them
+        few = small(hosts := written(hosts)) if keep is written else None
+        out = hubs.join(out, hosts, end, F.col("flow_id")) if few is None else out.join(few.withColumnRenamed("ip", end), [*keys, end])
     frame = edges.groupBy(*keys).agg(*[F.sum(F.col("features")[i]).alias(n) for i, n in enumerate(_names("frame", w))], F.count(F.lit(1)).alias("frame_n"))
     # one row a frame
     return out.join(F.broadcast(frame), keys) if keys else out.crossJoin(F.broadcast(frame))
