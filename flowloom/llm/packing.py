@@ -58,6 +58,8 @@ class WordIds:
     # The piece pattern of the vocabulary, for the characters that `_PLAIN` lets through.
     _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
     _PLAIN = re.compile(r"[\x21-\x7eÀ-ÿ]+")
+    # The same pattern for ASCII words one to a line.
+    _LINES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\n]+")
 
     def __init__(self, path: str) -> None:
         import json
@@ -79,6 +81,8 @@ class WordIds:
                 body = token.removesuffix(suffix) if ends else token
                 ranks[bytes(byte_of[c] for c in body) + b"\0" * ends] = number
         self.special = tuple(special)
+        # what `_LINES` must not see: control characters and special strings
+        self.odd = re.compile("|".join([r"[\x00-\x09\x0b-\x1f\x7f]", *map(re.escape, self.special)]))
         self.ranks = tiktoken.Encoding("words", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={})
         self.last = np.zeros(max(ranks.values()) + 1, bool)
         self.last[[n for token, n in ranks.items() if token.endswith(b"\0")]] = True
@@ -90,8 +94,19 @@ class WordIds:
 
     def learn(self, words: set[bytes]) -> None:
         """Remembers the ids of unknown words; up to CALL_WORDS plain ones go into one call of the encoder."""
+        ascii_words = [w for w in words if w.isascii()]
+        single = [w for w in words if not w.isascii()] if len(ascii_words) < len(words) else []
+        for k in range(0, len(ascii_words), CALL_WORDS):
+            call = ascii_words[k : k + CALL_WORDS]
+            lines = b"\n".join([*call, b""]).decode()
+            if self.odd.search(lines):
+                single += call
+                continue
+            marked = self._LINES.sub("\\g<0>\0", lines.lower())
+            signs = np.frombuffer(marked.encode(), np.uint8)
+            self.remember(call, marked.replace("\n", ""), np.cumsum(signs == 0)[signs == 10])
         plain: list[tuple[bytes, list[str]]] = []
-        for word in words:
+        for word in single:
             text = word.decode("utf-8", "replace")
             if self._PLAIN.fullmatch(text) and not any(s in text for s in self.special):
                 plain.append((word, self._PIECE.findall(text.lower())))
@@ -99,12 +114,15 @@ class WordIds:
                 self.known[word] = self.word(word)
         for k in range(0, len(plain), CALL_WORDS):
             call = plain[k : k + CALL_WORDS]
-            ids = self.ranks.encode_to_numpy("".join([f"{p}\0" for _, own in call for p in own])).astype("<u4")
-            # every piece ends with the one token that holds its zero byte
-            piece_ends = np.flatnonzero(self.last[ids]) + 1
-            ends = piece_ends[np.cumsum([len(own) for _, own in call]) - 1].tolist()
-            for (word, _), a, b in zip(call, [0, *ends], ends, strict=False):
-                self.known[word] = ids[a:b].tobytes()
+            self.remember([w for w, _ in call], "".join([f"{p}\0" for _, own in call for p in own]), np.cumsum([len(own) for _, own in call]))
+
+    def remember(self, words: list[bytes], marked: str, pieces: np.ndarray) -> None:
+        """Ids of words from one call: `marked` has their pieces, each with its zero byte, `pieces` how many up to each word's end."""
+        ids = self.ranks.encode_to_numpy(marked).astype("<u4")
+        # every piece ends with the one token that holds its zero byte
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)[pieces - 1]).tolist()
+        whole = ids.tobytes()
+        self.known.update(zip(words, [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def batch(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""

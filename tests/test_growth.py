@@ -115,3 +115,19 @@ def test_pending_silos_do_not_shuffle_flows(spark, monkeypatch, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert [r.silo for r in got] == ["A", "N", "R"] and got[0].auc_roc == 0.5
     assert "SortMergeJoin" not in seen[0] and "BroadcastHashJoin" in seen[0]
+
+
+def test_words_are_learnt_by_the_line():
+    """ASCII words go through one pattern for a whole call; control characters and special strings through the tokenizer."""
+    import public_tokenizers
+    from flowloom.llm.packing import WordIds
+
+    words = WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    calls = []
+    real = words.remember
+    words.remember = lambda found, marked, pieces: calls.append(len(found)) or real(found, marked, pieces)
+    texts = ["Don't STOP 's'll x9-9 ...", "a\x1cb <|endoftext|>no c\x7f", "Zé ß 漢字 it's", "", "we've 12,5\tdone\nnow"]
+    for some in ([t] for t in texts):
+        got = np.frombuffer(words.batch([some[0].encode()])[0], "<u4").tolist()
+        assert got == [i for w in some[0].encode().split() for i in words.whole.encode(w.decode(), add_special_tokens=False).ids]
+    assert calls[0] == 5  # all words of the first text in one call
